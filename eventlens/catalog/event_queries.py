@@ -98,7 +98,7 @@ def resample_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.SQL_BARS}
-SELECT instrument, ts, trade_date, price, volume, prev_price, {r6('return_=ret').replace('return_', '"return"')} FROM bars""")
+SELECT instrument, ts, trade_date, volume, {r6('price', 'prev_price', '"return"=ret')} FROM bars""")
 def bar_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fx.bars(spark, d))
 
@@ -394,8 +394,8 @@ def rival_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_MEAN},
-long AS (UNPIVOT INCLUDE NULLS (SELECT CAST(year(event_date) AS INTEGER) AS year, {', '.join(_CUT_COLUMNS)} FROM mean)
-  ON {', '.join(_CUT_COLUMNS)} INTO NAME name VALUE v)
+yearly AS (SELECT CAST(year(event_date) AS INTEGER) AS year, {', '.join(_CUT_COLUMNS)} FROM mean),
+long AS (SELECT year, name, v FROM yearly UNPIVOT INCLUDE NULLS (v FOR name IN ({', '.join(_CUT_COLUMNS)})))
 SELECT year, split_part(name, '_', 1) AS metric,
   regexp_extract(name, '^(car|cav)_(.+)_(with925|no925)_est(\\d+)$', 2) AS "window",
   regexp_extract(name, '^(car|cav)_(.+)_(with925|no925)_est(\\d+)$', 3) AS variant,

@@ -14,8 +14,11 @@ from eventlens.functions.codes import full_code
 from eventlens.operators.abnormal import abnormal_bars
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows, trading_calendar
+from eventlens.functions.text import word_tokens
 from eventlens.operators.cuts import CutSpec
+from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_ratios, voiced_pitch_stats
 from eventlens.operators.pairs import pair_events
+from eventlens.operators.verbal import lexicon_tone
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -186,7 +189,7 @@ SQL_ALIGNED = """al AS (
 
 def _estimate(k: int) -> str:
     inside = f"FILTER (WHERE a.trade_date BETWEEN r.est{k}_start AND r.est{k}_end)"
-    return f"""regr_count(a.ret, a.market_return) {inside} AS n_est{k},
+    return f"""CAST(regr_count(a.ret, a.market_return) {inside} AS BIGINT) AS n_est{k},
     regr_intercept(a.ret, a.market_return) {inside} AS alpha_est{k},
     regr_slope(a.ret, a.market_return) {inside} AS beta_est{k},
     count(a.volume) {inside} AS vol_n_est{k},
@@ -212,3 +215,193 @@ SQL_EVENT_BARS = f"""eb AS (
 SQL_STUDY = ",\n".join([SQL_CALENDAR, SQL_EVENTS, SQL_WINDOWS, SQL_PAIRS, SQL_PAIRED])
 SQL_ESTIMATION = ",\n".join([SQL_STUDY, SQL_BARS, SQL_MARKET, SQL_ALIGNED, SQL_ESTIMATES])
 SQL_ABNORMAL = ",\n".join([SQL_ESTIMATION, SQL_EVENT_BARS])
+
+
+# --- recordings --------------------------------------------------------------
+# Conversations stand for transcripts, documents for transcripts of one segment,
+# embeddings for signals and users' events for labelled video frames.
+
+TURNS_PER_TRANSCRIPT = 200
+FRAME_FPS = 2.5
+SIGNAL = {"rate": 16, "hop": 8, "frame_length": 16}
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segment rows from conversation turns; long ones are several recordings."""
+    turn = F.col("turn")
+    part = F.floor(turn / TURNS_PER_TRANSCRIPT)
+    start = (turn * 10).cast("double")
+    return table(spark, d, "conversations").select(
+        F.concat(F.lit("C"), F.col("conv_id"), F.lit("_"), part).alias("file_stem"),
+        (turn % TURNS_PER_TRANSCRIPT).cast("int").alias("seg_no"),
+        start.alias("start"),
+        (start + 1 + F.length("text") % 9).alias("end"),
+        "text",
+    )
+
+
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole transcripts; a recording has a bounded number of segments."""
+    rows = F.sort_array(F.collect_list(F.struct("seg_no", "start", "end", "text")))
+    return (
+        segments(spark, d)
+        .groupBy("file_stem")
+        .agg(rows.alias("rows"))
+        .select(
+            "file_stem",
+            F.transform(
+                "rows",
+                lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["text"].alias("text")),
+            ).alias("segments"),
+        )
+    )
+
+
+def document_segments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("file_stem"),
+        F.lit(0).alias("seg_no"),
+        F.lit(0.0).alias("start"),
+        (F.col("n_chars") / 15.0).alias("end"),
+        "text",
+    )
+
+
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent words of the documents, put into categories by their length.
+
+    Words of seven letters are in two categories.
+    """
+    documents = table(spark, d, "documents")
+    frequent = (
+        documents.select(F.explode(word_tokens(F.col("text"))).alias("word"))
+        .groupBy("word")
+        .count()
+        .where(F.col("count") >= F.lit(documents.count() / 5))
+    )
+    size = F.length("word")
+    category = (
+        F.when(size % 3 == 0, F.array(F.lit("positive")))
+        .when(size == 7, F.array(F.lit("negative"), F.lit("positive")))
+        .when(size % 3 == 1, F.array(F.lit("negative")))
+        .otherwise(F.array(F.lit("uncertainty")))
+    )
+    return frequent.select(F.explode(category).alias("category"), "word")
+
+
+def frame_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a video per user; frames without a face have no label."""
+    kind = F.col("event_type")
+    return table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("file_stem"),
+        F.col("event_id").alias("frame_idx"),
+        F.when(F.col("user_id") % 7 == 0, 0.0).otherwise(FRAME_FPS).alias("fps"),
+        F.when(kind == "purchase", "Happiness")
+        .when(kind == "signup", "surprise")
+        .when(kind == "error", "ANGER")
+        .when(kind == "view", "neutral")
+        .alias("emotion"),
+    )
+
+
+def signal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("file_stem"),
+        F.posexplode("embedding").alias("sample_idx", "x"),
+    ).withColumn("x", F.col("x").cast("double"))
+
+
+def pitch_frames(spark: SparkSession, d: str) -> DataFrame:
+    return signal(spark, d).select("file_stem", F.col("sample_idx").alias("frame_idx"), (F.col("x") * 1000 + 200).alias("f0"))
+
+
+def vocal(spark: SparkSession, d: str) -> DataFrame:
+    """Vocal features; without transcripts the speech rate is all NULL."""
+    pitch = voiced_pitch_stats(pitch_frames(spark, d))
+    energy = frame_rms_stats(signal(spark, d), **SIGNAL)
+    return pitch.join(energy, "file_stem").withColumn("speech_rate", F.lit(None).cast("double"))
+
+
+def verbal(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon_tone(document_segments(spark, d), lexicon(spark, d), "word")
+
+
+def visual(spark: SparkSession, d: str) -> DataFrame:
+    return label_ratios(every_kth_sample(frame_labels(spark, d)))
+
+
+SQL_SEGMENTS = f"""seg AS (
+  SELECT 'C' || conv_id || '_' || (turn // {TURNS_PER_TRANSCRIPT}) AS file_stem,
+    CAST(turn % {TURNS_PER_TRANSCRIPT} AS INTEGER) AS seg_no, CAST(turn * 10 AS DOUBLE) AS "start",
+    CAST(turn * 10 + 1 + length(text) % 9 AS DOUBLE) AS "end", text
+  FROM conversations)"""
+SQL_CLEAN = r"regexp_replace({t}, '[^\x{{4e00}}-\x{{9fa5}}a-zA-Z]', ' ', 'g')"
+SQL_WORDS = f"""tok AS (
+  SELECT doc_id, w AS word FROM (
+    SELECT doc_id, unnest(string_split({SQL_CLEAN.format(t='text')}, ' ')) AS w FROM documents)
+  WHERE w <> '')"""
+SQL_LEXICON = """freq AS (
+  SELECT word, length(word) AS n FROM tok GROUP BY word
+  HAVING count(*) >= (SELECT count(*) / 5 FROM documents)),
+lex AS (
+  SELECT 'positive' AS category, word FROM freq WHERE n % 3 = 0 OR n = 7
+  UNION ALL SELECT 'negative', word FROM freq WHERE n % 3 = 1
+  UNION ALL SELECT 'uncertainty', word FROM freq WHERE n % 3 = 2)"""
+SQL_FRAMES = f"""fr0 AS (
+  SELECT CAST(user_id AS VARCHAR) AS file_stem, event_id AS frame_idx,
+    CAST(CASE WHEN user_id % 7 = 0 THEN 25 ELSE {FRAME_FPS} END AS DOUBLE) AS fps,
+    CASE event_type WHEN 'purchase' THEN 'happy' WHEN 'signup' THEN 'surprise'
+      WHEN 'error' THEN 'angry' WHEN 'view' THEN 'neutral' END AS emotion
+  FROM events),
+fr AS (SELECT *, CAST(greatest(1, round_even(fps, 0)) AS BIGINT) AS step FROM fr0),
+kept AS (SELECT * FROM fr WHERE frame_idx % step = 0)"""
+SQL_VISUAL = """vis AS (
+  SELECT file_stem,
+    count(*) FILTER (WHERE emotion IN ('happy', 'surprise')) / nullif(count(emotion), 0) AS positive_ratio,
+    count(*) FILTER (WHERE emotion = 'angry') / nullif(count(emotion), 0) AS negative_ratio,
+    count(*) FILTER (WHERE emotion = 'neutral') / nullif(count(emotion), 0) AS neutral_ratio,
+    (count(*) FILTER (WHERE emotion IN ('happy', 'surprise')) - count(*) FILTER (WHERE emotion = 'angry'))
+      / nullif(count(emotion), 0) AS net_positive,
+    count(*) AS frames_analyzed, count(emotion) AS frames_with_face
+  FROM kept GROUP BY file_stem)"""
+_PAD = SIGNAL["frame_length"] // 2
+SQL_SIGNAL = f"""sig AS (
+  SELECT CAST(vec_id AS VARCHAR) AS file_stem, CAST(unnest(embedding) AS DOUBLE) AS x,
+    generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+pit AS (
+  SELECT file_stem, coalesce(avg(x * 1000 + 200) FILTER (WHERE x * 1000 + 200 > 50), 0.0) AS f0_mean,
+    coalesce(stddev_pop(x * 1000 + 200) FILTER (WHERE x * 1000 + 200 > 50), 0.0) AS f0_std
+  FROM sig GROUP BY file_stem),
+len AS (SELECT file_stem, count(*) AS n FROM sig GROUP BY file_stem),
+frm AS (SELECT file_stem, n, unnest(range(n // {SIGNAL['hop']} + 1)) AS f FROM len),
+en AS (
+  SELECT frm.file_stem, f, any_value(n) AS n, sqrt(coalesce(sum(x * x), 0) / {SIGNAL['frame_length']}) AS rms
+  FROM frm LEFT JOIN sig ON sig.file_stem = frm.file_stem
+    AND i >= f * {SIGNAL['hop']} - {_PAD} AND i < f * {SIGNAL['hop']} + {_PAD}
+  GROUP BY frm.file_stem, f),
+rms AS (
+  SELECT file_stem, avg(rms) AS rms_mean, stddev_pop(rms) AS rms_std, any_value(n) / {SIGNAL['rate']} AS duration_s
+  FROM en GROUP BY file_stem)"""
+SQL_TONE = """hit AS (
+  SELECT doc_id, word, word IN (SELECT word FROM lex WHERE category = 'positive') AS pos,
+    word IN (SELECT word FROM lex WHERE category = 'negative') AS neg,
+    word IN (SELECT word FROM lex WHERE category = 'uncertainty') AS unc FROM tok),
+cnt AS (SELECT doc_id, count(*) AS n, count_if(pos) AS p, count_if(neg) AS m, count_if(unc) AS u FROM hit GROUP BY doc_id),
+ton AS (
+  SELECT CAST(doc_id AS VARCHAR) AS file_stem, coalesce(p / n, 0) AS positive_ratio, coalesce(m / n, 0) AS negative_ratio,
+    coalesce(u / n, 0) AS uncertain_ratio, coalesce((p - m) / n, 0) AS tone_score, coalesce(n, 0) AS total_words
+  FROM documents LEFT JOIN cnt USING (doc_id))"""
+SQL_MATRIX = f"""{SQL_WORDS}, {SQL_LEXICON}, {SQL_TONE}, {SQL_SIGNAL}, {SQL_FRAMES}, {SQL_VISUAL},
+mat AS (
+  SELECT p.file_stem, p.f0_mean AS vocal_f0_mean, p.f0_std AS vocal_f0_std, r.rms_mean AS vocal_rms_mean,
+    r.rms_std AS vocal_rms_std, CAST(NULL AS DOUBLE) AS vocal_speech_rate,
+    t.positive_ratio AS verbal_positive_ratio, t.negative_ratio AS verbal_negative_ratio,
+    t.uncertain_ratio AS verbal_uncertain_ratio, t.tone_score AS verbal_tone_score,
+    v.positive_ratio AS visual_positive_ratio, v.negative_ratio AS visual_negative_ratio,
+    v.net_positive AS visual_net_positive
+  FROM pit p JOIN rms r USING (file_stem) JOIN ton t USING (file_stem) LEFT JOIN vis v USING (file_stem))"""
+MATRIX_COLUMNS = [
+    "vocal_f0_mean", "vocal_f0_std", "vocal_rms_mean", "vocal_rms_std", "vocal_speech_rate",
+    "verbal_positive_ratio", "verbal_negative_ratio", "verbal_uncertain_ratio", "verbal_tone_score",
+    "visual_positive_ratio", "visual_negative_ratio", "visual_net_positive",
+]
