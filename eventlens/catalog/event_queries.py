@@ -61,8 +61,9 @@ def parse_hhmm_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.SQL_EVENTS}, {fx.SQL_PAIRS} SELECT ipo_id, ipo_stkcd, rival_stkcd FROM prs")
 def pair_scan(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.Study(spark, d)
     path = scratch_path(spark, "pairs")
-    wide = fx.pairs(spark, d).withColumn("note", F.md5("ipo_id")).withColumn("weight", F.length("ipo_id"))
+    wide = s.pairs.withColumn("note", F.md5("ipo_id")).withColumn("weight", F.length("ipo_id"))
     sinks.sink_overwrite(wide, path)
     return tables.read_pairs(spark, path)
 
@@ -100,7 +101,8 @@ def resample_bars(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {fx.SQL_BARS}
 SELECT instrument, ts, trade_date, volume, {r6('price', 'prev_price', '"return"=ret')} FROM bars""")
 def bar_returns(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fx.bars(spark, d))
+    s = fx.Study(spark, d)
+    return rounded(s.bars)
 
 
 @query(f"""WITH {fx.SQL_CALENDAR}, {fx.SQL_EVENTS}, {fx.SQL_WINDOWS},
@@ -108,7 +110,8 @@ span AS (SELECT min(est1_start) AS a, max(event_end) AS b FROM win),
 {fx.sql_bars('mkt', "'MKT'", where=', span WHERE CAST(ts AS DATE) BETWEEN span.a AND span.b')}
 SELECT ts, volume, {r6('price', 'market_return=ret')} FROM mkt""")
 def market_bars(spark: SparkSession, d: str) -> DataFrame:
-    first, last = pairs.global_span(fx.windows(spark, d))
+    s = fx.Study(spark, d)
+    first, last = pairs.global_span(s.windows)
     raw = fx.ticks(spark, d).withColumn("instrument", F.lit("MKT"))
     spanned = tables.scan_bars(raw, first, last, ["MKT"])
     series = bar_ops.bar_returns(bar_ops.resample_bars(spanned, fx.FREQ))
@@ -119,7 +122,8 @@ def market_bars(spark: SparkSession, d: str) -> DataFrame:
 SELECT b.instrument, b.ts, b.volume, {r6('stock_return=b.ret', 'market_return=m.ret')}
 FROM bars b LEFT JOIN mkt m ON m.ts = b.ts""")
 def market_aligned(spark: SparkSession, d: str) -> DataFrame:
-    out = fx.aligned(spark, d)
+    s = fx.Study(spark, d)
+    out = s.aligned
     return rounded(out.select("instrument", "ts", "volume", F.col("return").alias("stock_return"), "market_return"))
 
 
@@ -194,7 +198,8 @@ SELECT ipo_id, rival_fc FROM prs p WHERE NOT EXISTS (
   SELECT 1 FROM events e WHERE e.event_type = 'click' AND e.value > 60 AND 'U' || e.user_id = p.ipo_id
     AND {fx.SQL_FULL.format(k='(e.event_id % 10)')} = p.rival_fc)""")
 def pending_items(spark: SparkSession, d: str) -> DataFrame:
-    items = fx.pairs(spark, d).select("ipo_id", full_code(F.col("rival_stkcd")).alias("rival_fc"))
+    s = fx.Study(spark, d)
+    items = s.pairs.select("ipo_id", full_code(F.col("rival_stkcd")).alias("rival_fc"))
     k = F.col("event_id") % 10
     earlier = (
         fx.table(spark, d, "events")
@@ -212,7 +217,8 @@ _BOUNDS = list(fx.SPEC.offsets())
 
 @query(f"WITH {fx.SQL_STUDY} SELECT ipo_id, event_date, day_idx, {', '.join(_BOUNDS)} FROM win")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    return fx.windows(spark, d).select("ipo_id", "event_date", "day_idx", *_BOUNDS)
+    s = fx.Study(spark, d)
+    return s.windows.select("ipo_id", "event_date", "day_idx", *_BOUNDS)
 
 
 _REACH = {"back_20": -20, "back_5": -5, "back_1": -1, "ahead_1": 1, "ahead_3": 3}
@@ -223,21 +229,24 @@ SELECT ipo_id, event_date, c.day_idx, {', '.join(f'{n}.trade_date AS {n}' for n
 FROM ev LEFT JOIN cal c ON c.trade_date = ev.event_date
 {' '.join(f'LEFT JOIN cal {n} ON {n}.day_idx = c.day_idx + ({k})' for n, k in _REACH.items())}""")
 def nth_trading_day(spark: SparkSession, d: str) -> DataFrame:
-    events = fx.events(spark, d).select("ipo_id", "event_date")
-    return offset_days(events, fx.calendar(spark, d), _REACH)
+    s = fx.Study(spark, d)
+    events = s.events.select("ipo_id", "event_date")
+    return offset_days(events, s.calendar, _REACH)
 
 
 @query(f"""WITH {fx.SQL_STUDY}
 SELECT ipo_id, ipo_stkcd, rival_stkcd, rival_fc, event_date, {', '.join(_BOUNDS)} FROM pw""")
 def pair_events(spark: SparkSession, d: str) -> DataFrame:
-    return fx.paired(spark, d).drop("day_idx")
+    s = fx.Study(spark, d)
+    return s.paired.drop("day_idx")
 
 
 @query(f"""WITH {fx.SQL_STUDY}
 SELECT rival_fc, min(est1_start) AS first_day, max(event_end) AS last_day, count(*) AS n_events
 FROM pw GROUP BY rival_fc""")
 def instrument_span(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.instrument_span(fx.paired(spark, d))
+    s = fx.Study(spark, d)
+    return pairs.instrument_span(s.paired)
 
 
 _GROUP = 32
@@ -251,7 +260,8 @@ SELECT rival_fc, n_parts,
   string_agg(event_date || ' ' || ipo_id || ' ' || est1_start || ' ' || event_end, ',' ORDER BY event_date, ipo_id) AS events
 FROM pw JOIN n USING (rival_fc) GROUP BY ALL""")
 def events_nested(spark: SparkSession, d: str) -> DataFrame:
-    nested = pairs.events_nested(fx.paired(spark, d), target=_GROUP)
+    s = fx.Study(spark, d)
+    nested = pairs.events_nested(s.paired, target=_GROUP)
     text = F.transform("events", lambda e: F.concat_ws(" ", e["event_date"], e["ipo_id"], e["est1_start"], e["event_end"]))
     return nested.select(
         "rival_fc", "n_parts", "part", F.size("events").cast("bigint").alias("n_events"), F.array_join(text, ",").alias("events")
@@ -264,10 +274,11 @@ SELECT rival_fc, p.ipo_id, ev.event_date,
 FROM prs p JOIN ev USING (ipo_id)
 WHERE p.ipo_id NOT IN (SELECT ipo_id FROM win) OR rival_fc NOT IN (SELECT instrument FROM live)""")
 def event_rejects(spark: SparkSession, d: str) -> DataFrame:
-    dated = pairs.pair_events(fx.pairs(spark, d), fx.events(spark, d))
+    s = fx.Study(spark, d)
+    dated = pairs.pair_events(s.pairs, s.events)
     # one instrument is treated as not traded
     traded = fx.ticks(spark, d).where(F.col("instrument") != "SH600003")
-    return pairs.event_rejects(dated, fx.windows(spark, d), traded)
+    return pairs.event_rejects(dated, s.windows, traded)
 
 
 # --- estimation and abnormal series ------------------------------------------
@@ -277,24 +288,27 @@ def event_rejects(spark: SparkSession, d: str) -> DataFrame:
 SELECT instrument, event_date,
   {', '.join(f'n_est{k}, ' + r6(f'alpha_est{k}', f'beta_est{k}') for k in fx.SPEC.numbers)} FROM coef""")
 def market_model(spark: SparkSession, d: str) -> DataFrame:
-    requests = fx.paired(spark, d).withColumnRenamed("rival_fc", "instrument")
-    return rounded(estimation.market_model(fx.aligned(spark, d), fx.calendar(spark, d), requests, fx.SPEC))
+    s = fx.Study(spark, d)
+    requests = s.paired.withColumnRenamed("rival_fc", "instrument")
+    return rounded(estimation.market_model(s.aligned, s.calendar, requests, fx.SPEC))
 
 
 @query(f"""WITH {fx.SQL_ESTIMATION}
 SELECT instrument, event_date,
   {', '.join(f'vol_n_est{k}, ' + r6(f'vol_mean_est{k}') for k in fx.SPEC.numbers)} FROM coef""")
 def volume_baseline(spark: SparkSession, d: str) -> DataFrame:
-    requests = fx.paired(spark, d).withColumnRenamed("rival_fc", "instrument")
-    return rounded(estimation.volume_baseline(fx.aligned(spark, d), fx.calendar(spark, d), requests, fx.SPEC))
+    s = fx.Study(spark, d)
+    requests = s.paired.withColumnRenamed("rival_fc", "instrument")
+    return rounded(estimation.volume_baseline(s.aligned, s.calendar, requests, fx.SPEC))
 
 
 _ROW = 'ipo_id, rival_fc, event_date, "timestamp"'
 
 
 def _series(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    s = fx.Study(spark, d)
     keys = ["ipo_id", "rival_fc", "event_date", "timestamp"]
-    return rounded(fx.event_bars(spark, d).select(*keys, *[f"{kind}_est{k}" for k in fx.SPEC.numbers]))
+    return rounded(s.event_bars.select(*keys, *[f"{kind}_est{k}" for k in fx.SPEC.numbers]))
 
 
 @query(f"WITH {fx.SQL_ABNORMAL} SELECT {_ROW}, {r6('ar_est1', 'ar_est2', 'ar_est3')} FROM eb")
@@ -326,7 +340,8 @@ rk AS (
 SELECT {_ROW}, CAST(back_s AS INTEGER) AS bar_rank, {r6('ar_est1', 'av_est1')}
 FROM rk WHERE "timestamp" < s AND back_s <= 6""")
 def bars_before(spark: SparkSession, d: str) -> DataFrame:
-    timed = cuts.attach_times(fx.event_bars(spark, d), fx.events(spark, d))
+    s = fx.Study(spark, d)
+    timed = cuts.attach_times(s.event_bars, s.events)
     chosen = cuts.bars_before(timed, cuts.KEYS, "event_start", 6)
     return rounded(chosen.select(*cuts.KEYS, "timestamp", "bar_rank", "ar_est1", "av_est1"))
 
@@ -335,7 +350,8 @@ def bars_before(spark: SparkSession, d: str) -> DataFrame:
 SELECT {_ROW}, CAST(ahead_e AS INTEGER) AS bar_rank, {r6('ar_est1', 'av_est1')}
 FROM rk WHERE "timestamp" >= e AND ahead_e <= 12""")
 def bars_after(spark: SparkSession, d: str) -> DataFrame:
-    timed = cuts.attach_times(fx.event_bars(spark, d), fx.events(spark, d))
+    s = fx.Study(spark, d)
+    timed = cuts.attach_times(s.event_bars, s.events)
     chosen = cuts.bars_after(timed, cuts.KEYS, "event_end", 12)
     return rounded(chosen.select(*cuts.KEYS, "timestamp", "bar_rank", "ar_est1", "av_est1"))
 
@@ -364,7 +380,8 @@ _MEAN = f"""{_WIDE}, mean AS (
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    return cuts.window_cuts_wide(fx.event_bars(spark, d), fx.events(spark, d), fx.CUT)
+    s = fx.Study(spark, d)
+    return cuts.window_cuts_wide(s.event_bars, s.events, fx.CUT)
 
 
 @query(f"WITH {_WIDE} SELECT {_KEYS}, {r6(*_CUT_COLUMNS)} FROM wide")
@@ -413,8 +430,9 @@ def year_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.SQL_BARS} SELECT instrument, ts, trade_date, price, volume FROM bars")
 def sink_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.Study(spark, d)
     path = scratch_path(spark, "bars")
-    result = fx.bars(spark, d).select("instrument", "ts", "trade_date", "price", "volume")
+    result = s.bars.select("instrument", "ts", "trade_date", "price", "volume")
     sinks.sink_overwrite(result.where(F.lit(False)), path, partition_by=["trade_date"])
     sinks.sink_overwrite(result, path, partition_by=["trade_date"])
     # date directories are read back as a column of the stated type

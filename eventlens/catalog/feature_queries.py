@@ -218,18 +218,18 @@ def _sql_components(kept: list[str], n: int) -> str:
         parts += [
             f"""p{k}(i, m) AS (
   SELECT 0, m FROM c{k} UNION ALL
-  SELECT i + 1, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s) / t * 1.0))
-  FROM (SELECT i, list_transform(m, lambda r: list_transform(r, lambda x: x / tr)) AS m, 1.0 AS t
+  SELECT i + 1, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)))
+  FROM (SELECT i, list_transform(m, lambda r: list_transform(r, lambda x: x / tr)) AS m
     FROM (SELECT i, m, {trace} AS tr FROM p{k} WHERE i < 40)))""",
             f"""u{k} AS (SELECT list_reduce(m, lambda a, b: CASE WHEN list_dot_product(a, a) >= list_dot_product(b, b) THEN a ELSE b END) AS u
   FROM p{k} WHERE i = 40)""",
             f"""n{k} AS (SELECT list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS w FROM u{k})""",
             f"""v{k} AS MATERIALIZED (SELECT CASE WHEN list_extract(list_filter(w, lambda x: abs(x) >= list_max(list_transform(w, lambda y: abs(y))) - 1e-9), 1) < 0
     THEN list_transform(w, lambda x: -x) ELSE w END AS w FROM n{k})""",
-            f"""l{k} AS MATERIALIZED (SELECT list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))) AS lambda, {trace.replace('m[', 'c1.m[')} AS total
+            f"""l{k} AS MATERIALIZED (SELECT list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))) AS ev, {trace.replace('m[', 'c1.m[')} AS total
   FROM (SELECT w FROM v{k}), c1)""",
-            f"""c{k + 1} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - lambda_ * w[i] * w[j])) AS m
-  FROM c{k}, v{k}, (SELECT lambda AS lambda_ FROM l{k}))""",
+            f"""c{k + 1} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - ev * w[i] * w[j])) AS m
+  FROM c{k}, v{k}, (SELECT ev FROM l{k}))""",
         ]
     return ",\n".join(parts)
 
@@ -242,10 +242,7 @@ _PCA = f"WITH RECURSIVE {fx.SQL_MATRIX}, {_sql_components(_KEPT, 2)}"
 
 
 def _pitch(spark: SparkSession, d: str, n: int) -> PitchResult:
-    vocal, verbal_table, visual = (
-        settle(make(spark, d)) for make in (fx.vocal, fx.verbal, fx.visual)
-    )
-    return pitch_plan(vocal, verbal_table, visual, n_components=n)
+    return pitch_plan(fx.vocal(spark, d), fx.verbal(spark, d), fx.visual(spark, d), n_components=n)
 
 
 _SCORE1, _SCORE2 = _sql_score(_KEPT, 1), _sql_score(_KEPT, 2)
@@ -265,9 +262,9 @@ def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_PCA}
-SELECT 'pc1' AS component, {r6('explained_variance_ratio=a.lambda / a.total', 'cumulative_ratio=a.lambda / a.total')} FROM l1 a
+SELECT 'pc1' AS component, {r6('explained_variance_ratio=a.ev / a.total', 'cumulative_ratio=a.ev / a.total')} FROM l1 a
 UNION ALL
-SELECT 'pc2', {r6('explained_variance_ratio=b.lambda / b.total', 'cumulative_ratio=(a.lambda + b.lambda) / b.total')} FROM l1 a, l2 b""")
+SELECT 'pc2', {r6('explained_variance_ratio=b.ev / b.total', 'cumulative_ratio=(a.ev + b.ev) / b.total')} FROM l1 a, l2 b""")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     result = _pitch(spark, d, 2)
     return rounded(scoring.variance_table(result.scaled, result.fit))

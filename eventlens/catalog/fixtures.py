@@ -7,18 +7,20 @@ instruments that its user does not belong to. All rows of the tables are used.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.functions.codes import full_code
+from eventlens.functions.text import word_tokens
 from eventlens.operators.abnormal import abnormal_bars
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows, trading_calendar
-from eventlens.functions.text import word_tokens
 from eventlens.operators.cuts import CutSpec
 from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_ratios, voiced_pitch_stats
 from eventlens.operators.pairs import pair_events
 from eventlens.operators.verbal import lexicon_tone
+from eventlens.session import settle
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -52,61 +54,69 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, d: str, freq: str = FREQ) -> DataFrame:
-    return bar_returns(resample_bars(ticks(spark, d), freq))
-
-
-def market(spark: SparkSession, d: str, freq: str = FREQ) -> DataFrame:
-    """Bars over all ticks, as the market series."""
-    return bar_returns(resample_bars(ticks(spark, d).withColumn("instrument", F.lit("MKT")), freq))
-
-
-def aligned(spark: SparkSession, d: str) -> DataFrame:
-    return align_market(bars(spark, d), market(spark, d))
-
-
-def calendar(spark: SparkSession, d: str) -> DataFrame:
-    return trading_calendar(table(spark, d, "events"), "ts")
-
+class Study:
+    """Inputs of the event study over one data folder, each computed at most once."""
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    """``ipo_id, user_id, event_date, start_minute, end_minute`` from the last purchase."""
-    last = (
-        table(spark, d, "events")
-        .where(F.col("event_type") == "purchase")
-        .groupBy("user_id")
-        .agg(F.max("ts").alias("last_ts"))
-    )
-    start = F.hour("last_ts") * 60 + F.minute("last_ts")
-    return last.select(
-        F.concat(F.lit("U"), F.col("user_id")).alias("ipo_id"),
-        "user_id",
-        F.to_date("last_ts").alias("event_date"),
-        start.alias("start_minute"),
-        F.when(start + 120 < 1440, start + 120).alias("end_minute"),
-    )
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return settle(trading_calendar(table(self.spark, self.d, "events"), "ts"), "calendar")
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    own = F.col("user_id") % 10
-    return (
-        events(spark, d)
-        .select("ipo_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
-        .where(F.col("k") != F.col("own"))
-        .select("ipo_id", stock_code(F.col("own")).alias("ipo_stkcd"), stock_code(F.col("k")).alias("rival_stkcd"))
-    )
+    @cached_property
+    def events(self) -> DataFrame:
+        """``ipo_id, user_id, event_date, start_minute, end_minute`` from the last purchase."""
+        last = (
+            table(self.spark, self.d, "events")
+            .where(F.col("event_type") == "purchase")
+            .groupBy("user_id")
+            .agg(F.max("ts").alias("last_ts"))
+        )
+        start = F.hour("last_ts") * 60 + F.minute("last_ts")
+        dated = last.select(
+            F.concat(F.lit("U"), F.col("user_id")).alias("ipo_id"),
+            "user_id",
+            F.to_date("last_ts").alias("event_date"),
+            start.alias("start_minute"),
+            F.when(start + 120 < 1440, start + 120).alias("end_minute"),
+        )
+        return settle(dated, "events")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        own = F.col("user_id") % 10
+        return (
+            self.events.select("ipo_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+            .where(F.col("k") != F.col("own"))
+            .select("ipo_id", stock_code(F.col("own")).alias("ipo_stkcd"), stock_code(F.col("k")).alias("rival_stkcd"))
+        )
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        return event_windows(self.events.select("ipo_id", "event_date"), self.calendar, SPEC)
 
-def windows(spark: SparkSession, d: str) -> DataFrame:
-    return event_windows(events(spark, d).select("ipo_id", "event_date"), calendar(spark, d), SPEC)
+    @cached_property
+    def paired(self) -> DataFrame:
+        return pair_events(self.pairs, self.events, self.windows)
 
+    @cached_property
+    def bars(self) -> DataFrame:
+        return bar_returns(settle(resample_bars(ticks(self.spark, self.d), FREQ), "bars"))
 
-def paired(spark: SparkSession, d: str) -> DataFrame:
-    return pair_events(pairs(spark, d), events(spark, d), windows(spark, d))
+    @cached_property
+    def market(self) -> DataFrame:
+        """Bars over all ticks, as the market series."""
+        everything = ticks(self.spark, self.d).withColumn("instrument", F.lit("MKT"))
+        return bar_returns(settle(resample_bars(everything, FREQ), "market"))
 
+    @cached_property
+    def aligned(self) -> DataFrame:
+        return align_market(self.bars, self.market)
 
-def event_bars(spark: SparkSession, d: str) -> DataFrame:
-    return abnormal_bars(aligned(spark, d), calendar(spark, d), paired(spark, d), SPEC)
+    @cached_property
+    def event_bars(self) -> DataFrame:
+        return abnormal_bars(settle(self.aligned, "aligned"), self.calendar, self.paired, SPEC)
 
 
 def raw_index(spark: SparkSession, d: str) -> DataFrame:

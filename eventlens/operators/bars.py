@@ -48,7 +48,8 @@ def bar_returns(bars: DataFrame, chunk: str = "day") -> DataFrame:
     Adds ``trade_date``, ``prev_price`` and ``return``; the return is NULL for
     the first bar and after a zero price. Instruments are cut into chunks of a
     ``day``, ``month`` or ``year`` so that none is ordered in one task; the
-    bar before a chunk comes from the last price of the chunk before it.
+    bar before a chunk comes from the last price of the chunk before it. The
+    bars are read twice, so they should be a stored table.
     """
     day = F.to_date("ts")
     part = day if chunk == "day" else F.trunc(day, chunk)

@@ -130,7 +130,8 @@ def window_cuts_wide(
     The bars of a window are chosen first; the excluded minute is then left
     out of the sum of the ``no925`` variant, on whatever day it falls. A sum
     over no value is NULL. Groups with a NULL key are dropped. Ordering and
-    summing share one shuffle on the three keys.
+    summing share one shuffle on the three keys; a group has the bars of one
+    instrument on the few days of an event window, whatever the data size.
     """
     bars = attach_times(event_bars.dropna(subset=KEYS), times)
     ranked = ranked_bars(bars, KEYS, ["event_start", "event_end"])

@@ -17,8 +17,8 @@ def pair_events(pairs: DataFrame, events: DataFrame, windows: DataFrame | None =
     and pairs of events that lack them are dropped.
     """
     dated = (
-        pairs.select("ipo_id", "ipo_stkcd", "rival_stkcd")
-        .dropDuplicates(["ipo_id", "rival_stkcd"])
+        pairs.groupBy("ipo_id", "rival_stkcd")
+        .agg(F.min("ipo_stkcd").alias("ipo_stkcd"))
         .join(events.select("ipo_id", "event_date"), "ipo_id", "left")
         .dropna(subset=["event_date"])
         .withColumn("rival_fc", full_code(F.col("rival_stkcd")))
@@ -62,23 +62,27 @@ def events_nested(pair_windows: DataFrame, target: int = 1000) -> DataFrame:
     )
 
 
-def event_rejects(
-    pairs_dated: DataFrame, windows: DataFrame, bars: DataFrame
-) -> DataFrame:
+def event_rejects(pairs_dated: DataFrame, windows: DataFrame, ticks: DataFrame) -> DataFrame:
     """Pairs that yield no result, with the reason.
 
     ``no window``: the event day or one of its offsets is not in the calendar.
-    ``no data``: the rival has no bar at all.
+    ``no data``: the rival has no tick or bar from the first to the last day
+    that its events need.
     """
     keys = ["rival_fc", "ipo_id", "event_date"]
     pairs = pairs_dated.select(*keys)
-    complete = windows.select("ipo_id").distinct()
-    traded = bars.select(F.col("instrument").alias("rival_fc")).distinct()
+    complete = windows.select("ipo_id", "est1_start", "event_end")
     without_window = pairs.join(complete, "ipo_id", "left_anti").withColumn("reason", F.lit("no window"))
+    usable = pairs.join(complete, "ipo_id")
+    days = ticks.select(F.col("instrument").alias("rival_fc"), F.to_date("ts").alias("day")).distinct()
+    traded = (
+        days.join(instrument_span(usable), "rival_fc")
+        .where(F.col("day").between(F.col("first_day"), F.col("last_day")))
+        .select("rival_fc")
+        .distinct()
+    )
     without_data = (
-        pairs.join(complete, "ipo_id", "left_semi")
-        .join(traded, "rival_fc", "left_anti")
-        .withColumn("reason", F.lit("no data"))
+        usable.select(*keys).join(traded, "rival_fc", "left_anti").withColumn("reason", F.lit("no data"))
     )
     return without_window.unionByName(without_data)
 

@@ -12,6 +12,7 @@ from eventlens.operators.cuts import CutSpec, window_cuts_wide
 from eventlens.operators.pairs import event_rejects, global_span, pair_events
 from eventlens.operators.rollup import rival_mean, year_stats
 from eventlens.operators.selection import keep_first, pending_items
+from eventlens.session import settle
 from eventlens.sources.sinks import sink_append, sink_overwrite
 from eventlens.sources.tables import scan_bars
 
@@ -20,8 +21,8 @@ FREQ = "5 minutes"
 
 
 def returns_from_ticks(ticks: DataFrame, freq: str = FREQ, chunk: str = "day") -> DataFrame:
-    """Bars with returns of every instrument."""
-    return bar_returns(resample_bars(ticks, freq), chunk)
+    """Bars with returns of every instrument. Ticks are read once; bars are stored."""
+    return bar_returns(settle(resample_bars(ticks, freq), "bars"), chunk)
 
 
 def first_events(index: DataFrame) -> DataFrame:
@@ -45,13 +46,13 @@ def study_event_bars(
     Ticks outside the days any event needs are not read. ``market`` holds bars
     with returns of the index.
     """
-    windows = event_windows(events.select("ipo_id", "event_date"), calendar, spec)
+    windows = settle(event_windows(events.select("ipo_id", "event_date"), calendar, spec), "windows")
     first, last = global_span(windows)
-    bars = returns_from_ticks(scan_bars(ticks, first, last), freq)
-    aligned = align_market(bars, market)
+    needed = scan_bars(ticks, first, last)
+    aligned = settle(align_market(returns_from_ticks(needed, freq), market), "aligned")
     paired = pair_events(pairs, events, windows)
     results = abnormal_bars(aligned, calendar, paired, spec, volume_method)
-    return results, event_rejects(pair_events(pairs, events), windows, bars)
+    return results, event_rejects(pair_events(pairs, events), windows, needed)
 
 
 def run_event_study(

@@ -16,6 +16,7 @@ from eventlens.operators.scoring import (
     repeated_keys,
     standardised,
 )
+from eventlens.session import settle
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,14 @@ class PitchResult:
     fit: Components
 
 
-def require_unique(df: DataFrame, name: str) -> None:
-    """Raise when a recording occurs twice; the join would multiply its rows."""
-    repeated = repeated_keys(df).limit(1).collect()
+def require_unique(merged: DataFrame) -> None:
+    """Raise when a recording occurs twice; its rows would be weighted twice.
+
+    A recording repeated in one modality is repeated in the joined table.
+    """
+    repeated = repeated_keys(merged).limit(1).collect()
     if repeated:
-        raise ValueError(f"{name} holds {repeated[0][KEY]!r} more than once")
+        raise ValueError(f"a modality holds {repeated[0][KEY]!r} more than once")
 
 
 def pitch_factor(
@@ -40,13 +44,14 @@ def pitch_factor(
     min_vocal: bool = True,
     check_unique: bool = True,
 ) -> PitchResult:
-    """Join, impute, standardise and score recordings by principal components."""
-    tables = {"vocal": vocal, "verbal": verbal, "visual": visual}
+    """Join, impute, standardise and score recordings by principal components.
+
+    The joined table has one short row per recording and is read several
+    times, so it is stored first.
+    """
+    merged = settle(modality_join(vocal, verbal, visual, min_vocal), "features")
     if check_unique:
-        for name, table in tables.items():
-            if table is not None:
-                require_unique(table, name)
-    merged = modality_join(vocal, verbal, visual, min_vocal)
+        require_unique(merged)
     scaled, kept = standardised(merged, feature_columns(merged))
     fit = fit_components(scaled, kept, n_components)
     return PitchResult(component_scores(scaled, fit), scaled, fit)

@@ -64,21 +64,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute once into a table of the shared folder and read that instead.
+
+    Later steps then repeat no earlier one when an executor is lost, read only
+    the columns they use, and see the true size of the data.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when ``df`` is shown to have at most ``max_rows`` rows.
 
-    The frame is settled first so that counting and joining read one stored
-    copy. Beyond the bound it is returned without a hint and joined by shuffle.
+    The frame is settled first, so that counting and joining read one stored
+    copy; the count comes from file footers. Beyond the bound it is returned
+    without a hint and joined by shuffle.
     """
-    stored = settle(df)
-    fits = stored.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(stored) if fits else stored
+    stored = settle(df, "lookup")
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
