@@ -321,6 +321,13 @@ def abnormal_volume(spark: SparkSession, d: str) -> DataFrame:
     return _series(spark, d, "av")
 
 
+@query(f"""WITH {fx.SQL_DAILY}
+SELECT {_ROW}, {r6('ar_est1', 'ar_est2', 'ar_est3', 'av_est1', 'av_est2', 'av_est3')} FROM eb""")
+def daily_event_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The default windows of up to 120 trading days, over daily bars."""
+    return rounded(fx.DailyStudy(spark, d).event_bars("ratio"))
+
+
 # --- windows around the event time -------------------------------------------
 
 _KEYS = "ipo_id, rival_fc, event_date"

@@ -181,12 +181,18 @@ ev AS (
     CAST(CASE WHEN hour(last_ts) * 60 + minute(last_ts) + 120 < 1440
       THEN hour(last_ts) * 60 + minute(last_ts) + 120 END AS INTEGER) AS end_minute
   FROM ev0)"""
-_OFFSETS = SPEC.offsets()
-SQL_WINDOWS = f"""win AS (
+
+
+def sql_windows(spec: StudySpec) -> str:
+    offsets = spec.offsets()
+    return f"""win AS (
   SELECT ipo_id, event_date, c.day_idx,
-    {', '.join(f'w{i}.trade_date AS {name}' for i, name in enumerate(_OFFSETS))}
+    {', '.join(f'w{i}.trade_date AS {name}' for i, name in enumerate(offsets))}
   FROM ev JOIN cal c ON c.trade_date = ev.event_date
-    {' '.join(f'JOIN cal w{i} ON w{i}.day_idx = c.day_idx + ({n})' for i, n in enumerate(_OFFSETS.values()))})"""
+    {' '.join(f'JOIN cal w{i} ON w{i}.day_idx = c.day_idx + ({n})' for i, n in enumerate(offsets.values()))})"""
+
+
+SQL_WINDOWS = sql_windows(SPEC)
 SQL_PAIRS = f"""prs AS (
   SELECT ipo_id, {SQL_CODE.format(k=_K)} AS ipo_stkcd, {SQL_CODE.format(k='k')} AS rival_stkcd,
     {SQL_FULL.format(k='k')} AS rival_fc
@@ -206,27 +212,138 @@ def _estimate(k: int) -> str:
     avg(a.volume) {inside} AS vol_mean_est{k}"""
 
 
-SQL_ESTIMATES = f"""req AS (
-  SELECT DISTINCT rival_fc AS instrument, event_date, {', '.join(_OFFSETS)} FROM pw),
+def sql_estimates(spec: StudySpec) -> str:
+    """Least squares and means over raw bars of each window."""
+    return f"""req AS (
+  SELECT DISTINCT rival_fc AS instrument, event_date, {', '.join(spec.offsets())} FROM pw),
 coef AS (
   SELECT r.instrument, r.event_date,
-    {', '.join(_estimate(k) for k in SPEC.numbers)}
+    {', '.join(_estimate(k) for k in spec.numbers)}
   FROM req r LEFT JOIN al a ON a.instrument = r.instrument
     AND a.trade_date BETWEEN r.est1_start AND r.est3_end
   GROUP BY r.instrument, r.event_date)"""
-SQL_EVENT_BARS = f"""eb AS (
-  SELECT p.ipo_id, p.rival_fc, p.event_date, a.ts AS "timestamp",
-    {', '.join(f'a.ret - (c.alpha_est{k} + c.beta_est{k} * a.market_return) AS ar_est{k}' for k in SPEC.numbers)},
-    {', '.join(f'a.volume - c.vol_mean_est{k} AS av_est{k}' for k in SPEC.numbers)}
+
+
+def sql_event_bars(spec: StudySpec, volume: str) -> str:
+    returns = ", ".join(f"a.ret - (c.alpha_est{k} + c.beta_est{k} * a.market_return) AS ar_est{k}" for k in spec.numbers)
+    volumes = ", ".join(volume.format(v="a.volume", base=f"c.vol_mean_est{k}") + f" AS av_est{k}" for k in spec.numbers)
+    return f"""eb AS (
+  SELECT p.ipo_id, p.rival_fc, p.event_date, a.ts AS "timestamp", {returns}, {volumes}
   FROM pw p JOIN al a ON a.instrument = p.rival_fc
     AND a.trade_date BETWEEN p.event_start AND p.event_end
   JOIN coef c ON c.instrument = p.rival_fc AND c.event_date = p.event_date)"""
 
+
+SQL_ESTIMATES = sql_estimates(SPEC)
+SQL_EVENT_BARS = sql_event_bars(SPEC, "{v} - {base}")
+
 SQL_STUDY = ",\n".join([SQL_CALENDAR, SQL_EVENTS, SQL_WINDOWS, SQL_PAIRS, SQL_PAIRED])
 SQL_ESTIMATION = ",\n".join([SQL_STUDY, SQL_BARS, SQL_MARKET, SQL_ALIGNED, SQL_ESTIMATES])
 SQL_ABNORMAL = ",\n".join([SQL_ESTIMATION, SQL_EVENT_BARS])
 
 
+# --- daily study with the default windows -------------------------------------
+# Ten instruments by supplier number; an event per instrument and quarter on the
+# first of its dates with all offsets inside the calendar.
+
+DAILY_SPEC = StudySpec()
+_REACH = max(-first for first, _ in DAILY_SPEC.estimation)
+
+
+class DailyStudy:
+    """Daily bars of shipped quantities and their mean price."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
+
+    def _bars(self, instrument: Column, name: str) -> DataFrame:
+        day = F.to_date("l_shipdate").cast("timestamp_ntz")
+        daily = (
+            table(self.spark, self.d, "lineitem")
+            .groupBy(instrument.alias("instrument"), day.alias("ts"))
+            .agg(F.sum("l_extendedprice").alias("value"), F.sum("l_quantity").alias("volume"))
+        )
+        priced = daily.select("instrument", "ts", F.try_divide("value", "volume").alias("price"), "volume")
+        return settle(priced, name)
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        k = F.col("l_suppkey") % 10
+        return self._bars(F.concat(F.when(k < 5, "SH").otherwise("SZ"), stock_code(k)), "daily")
+
+    @cached_property
+    def aligned(self) -> DataFrame:
+        market = bar_returns(self._bars(F.lit("MKT"), "daily_market"), "year")
+        return settle(align_market(bar_returns(self.stored, "year"), market), "daily_aligned")
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return settle(trading_calendar(self.stored, "ts"), "calendar")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        days = self.stored.select("instrument", F.to_date("ts").alias("trade_date"))
+        last = self.calendar.count()
+        usable = F.broadcast(self.calendar.where((F.col("day_idx") > _REACH) & (F.col("day_idx") < last)))
+        quarter = F.concat(F.year("trade_date"), F.lit("Q"), F.quarter("trade_date"))
+        return (
+            days.join(usable, "trade_date")
+            .groupBy("instrument", quarter.alias("quarter"))
+            .agg(F.min("trade_date").alias("event_date"))
+            .select(F.concat_ws("-", "instrument", "quarter").alias("ipo_id"), "instrument", "event_date")
+        )
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        own = F.substring("instrument", 3, 6)
+        rivals = F.array(*[stock_code(F.lit(k)) for k in range(10)])
+        return (
+            self.events.select("ipo_id", own.alias("ipo_stkcd"), F.explode(rivals).alias("rival_stkcd"))
+            .where(F.col("rival_stkcd") != F.col("ipo_stkcd"))
+        )
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        events = settle(self.events, "events")
+        windows = event_windows(events.select("ipo_id", "event_date"), self.calendar, DAILY_SPEC)
+        return pair_events(self.pairs, events, windows)
+
+    def event_bars(self, volume_method: str) -> DataFrame:
+        return abnormal_bars(self.aligned, self.calendar, self.paired, DAILY_SPEC, volume_method)
+
+
+_SUPPLIER = SQL_FULL.format(k="(l_suppkey % 10)")
+
+
+def _sql_daily(name: str, instrument: str) -> str:
+    return f"""{name}_raw AS (
+  SELECT {instrument} AS instrument, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ts,
+    sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),
+{name} AS (
+  SELECT *, CAST(ts AS DATE) AS trade_date,
+    price / lag(price) OVER (PARTITION BY instrument ORDER BY ts) - 1 AS ret FROM {name}_raw)"""
+
+
+SQL_DAILY = ",\n".join([
+    _sql_daily("bars", _SUPPLIER),
+    _sql_daily("mkt", "'MKT'"),
+    """cal AS (
+  SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) AS INTEGER) AS day_idx
+  FROM (SELECT DISTINCT trade_date FROM bars))""",
+    f"""ev AS (
+  SELECT instrument || '-' || year(trade_date) || 'Q' || quarter(trade_date) AS ipo_id, instrument, min(trade_date) AS event_date
+  FROM bars JOIN cal USING (trade_date) WHERE day_idx > {_REACH} AND day_idx < (SELECT max(day_idx) FROM cal)
+  GROUP BY instrument, year(trade_date), quarter(trade_date))""",
+    sql_windows(DAILY_SPEC),
+    f"""prs AS (
+  SELECT ipo_id, {SQL_FULL.format(k='k')} AS rival_fc FROM ev, range(10) t(k) WHERE {SQL_FULL.format(k='k')} <> instrument)""",
+    SQL_PAIRED,
+    SQL_ALIGNED,
+    sql_estimates(DAILY_SPEC),
+    sql_event_bars(DAILY_SPEC, "{v} / {base} - 1"),
+])
+
+
 # --- recordings --------------------------------------------------------------
 # Conversations stand for transcripts, documents for transcripts of one segment,
 # embeddings for signals and users' events for labelled video frames.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +56,53 @@ def abnormal_bars(
         *[abnormal_return_col(k).alias(f"ar_est{k}") for k in spec.numbers],
         *[abnormal_volume_col(k, volume_method).alias(f"av_est{k}") for k in spec.numbers],
     )
+
+
+def modelled_returns(
+    aligned: DataFrame,
+    calendar: DataFrame,
+    requests: DataFrame,
+    model: Callable[[pd.DataFrame, pd.DataFrame], pd.Series],
+    spec: StudySpec = StudySpec(),
+) -> DataFrame:
+    """Abnormal returns under a user's own model, per ``(instrument, event_date)``.
+
+    ``model(estimation, event)`` gets bars with ``ts, return, market_return``
+    and gives the expected return of each event bar. It is called once per
+    estimation window, on the bars of one instrument over the days of one
+    event. Attach results to pairs by instrument and event date. This path
+    reads every bar of every window; the market model of ``abnormal_bars``
+    needs only daily sums.
+    """
+    lowest = min(first for first, _ in spec.estimation)
+    highest = max(spec.event[1], *(last for _, last in spec.estimation))
+    days = F.broadcast(calendar)
+    asked = (
+        requests.select("instrument", "event_date")
+        .distinct()
+        .join(days.select(F.col("trade_date").alias("event_date"), F.col("day_idx").alias("event_idx")), "event_date")
+        .select(
+            "instrument",
+            "event_date",
+            F.explode(F.sequence(F.lit(lowest), F.lit(highest))).alias("offset"),
+            "event_idx",
+        )
+        .withColumn("day_idx", F.col("event_idx") + F.col("offset"))
+        .join(days, "day_idx")
+    )
+    bars = asked.join(aligned, ["instrument", "trade_date"]).select(
+        "instrument", "event_date", "offset", "ts", "return", "market_return"
+    )
+    names = [f"ar_est{k}" for k in spec.numbers]
+    windows, event = spec.estimation, spec.event
+
+    def apply(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts")
+        inside = group[group["offset"].between(*event)]
+        out = inside[["instrument", "event_date", "ts"]].copy()
+        for name, window in zip(names, windows):
+            out[name] = inside["return"] - model(group[group["offset"].between(*window)], inside)
+        return out
+
+    schema = "instrument string, event_date date, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names)
+    return bars.groupBy("instrument", "event_date").applyInPandas(apply, schema)

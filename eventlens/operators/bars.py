@@ -13,10 +13,13 @@ def tick_order(ts: Column, tick_id: Column) -> Column:
     """One sortable number for (time, id): microseconds first, then the id.
 
     A decimal key lets the last-trade aggregate run in the hash operator; with
-    a struct key Spark sorts every tick first (measured about 2x slower).
-    The factor exceeds the span of 64-bit ids, so ids never reach the time.
+    a struct key Spark sorts every tick first, which took twice as long. The
+    factor exceeds the span of 64-bit ids, so ids never reach the time. The
+    interval keeps the session's time zone out of it.
     """
-    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = (ts - epoch).cast("interval second").cast("decimal(18,6)")
+    micros = (seconds * F.expr("1000000BD")).cast("decimal(18,0)")
     return micros * F.expr("20000000000000000000BD") + tick_id.cast("decimal(19,0)")
 
 
