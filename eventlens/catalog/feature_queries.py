@@ -11,7 +11,7 @@ from eventlens.functions import labels, text
 from eventlens.operators import frames, scoring, selection, verbal
 from eventlens.plans.pitch import PitchResult
 from eventlens.plans.pitch import pitch_factor as pitch_plan
-from eventlens.session import scratch_path, settle
+from eventlens.session import scratch_path, settle, spread
 from eventlens.sources import sinks, tables
 from eventlens.sources import transcripts as transcript_source
 from eventlens.sources.lexicon import read_lexicon
@@ -52,7 +52,7 @@ def lexicon_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {fx.SQL_CLEAN.format(t='text')} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return spread(fx.table(spark, d, "documents")).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query(f"""WITH {fx.SQL_WORDS}, ch AS (
@@ -60,7 +60,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, 'word' AS mode, word, count(*) AS n FROM tok GROUP BY ALL
 UNION ALL SELECT doc_id, 'char', word, count(*) FROM ch WHERE word <> '' GROUP BY ALL""")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    documents = fx.table(spark, d, "documents")
+    documents = spread(fx.table(spark, d, "documents"))
     parts = [
         documents.select("doc_id", F.lit(mode).alias("mode"), F.explode(text.tokens(F.col("text"), mode)).alias("word"))
         for mode in ("word", "char")

@@ -20,7 +20,7 @@ from eventlens.operators.cuts import CutSpec
 from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_ratios, voiced_pitch_stats
 from eventlens.operators.pairs import pair_events
 from eventlens.operators.verbal import lexicon_tone
-from eventlens.session import settle
+from eventlens.session import settle, spread
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -385,7 +385,7 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_segments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.col("doc_id").cast("string").alias("file_stem"),
         F.lit(0).alias("seg_no"),
         F.lit(0.0).alias("start"),
@@ -401,7 +401,7 @@ def lexicon(spark: SparkSession, d: str) -> DataFrame:
     """
     documents = table(spark, d, "documents")
     frequent = (
-        documents.select(F.explode(word_tokens(F.col("text"))).alias("word"))
+        spread(documents).select(F.explode(word_tokens(F.col("text"))).alias("word"))
         .groupBy("word")
         .count()
         .where(F.col("count") >= F.lit(documents.count() / 5))

@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: everything except CJK ideographs and ASCII letters.
+# CJK ideographs and ASCII letters, and everything else.
+LETTERS = "([\\u4e00-\\u9fa5a-zA-Z]+)"
 NOT_LETTER = "[^\\u4e00-\\u9fa5a-zA-Z]"
-# White space that text trimming removes, beyond the ASCII space.
-BLANK = (
-    "[\\t-\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# Fixed value: white space that text trimming removes.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -31,12 +33,12 @@ def clean_text(text: Column) -> Column:
 
 def char_tokens(text: Column) -> Column:
     """One token per letter or ideograph."""
-    return F.filter(F.split(F.regexp_replace(text, NOT_LETTER, ""), ""), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(text, NOT_LETTER + "+", ""), ""), lambda t: t != "")
 
 
 def word_tokens(text: Column) -> Column:
     """Runs of letters between non-letters."""
-    return F.filter(F.split(clean_text(text), " +"), lambda t: t != "")
+    return F.regexp_extract_all(text, F.lit(LETTERS), 1)
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"char": char_tokens, "word": word_tokens}

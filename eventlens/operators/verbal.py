@@ -38,14 +38,11 @@ def _flagged_tokens(
     ``chars`` is carried by the first row of a segment only. With the lexicon
     broadcast the tokens stay in their task until they are summed.
     """
-    text = strip(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    chars = F.length(F.replace(strip(text), F.lit(" "), F.lit("")))
     exploded = segments.select(
-        "file_stem", text.alias("body"), F.posexplode_outer(tokens(text, tokenizer)).alias("pos", "word")
-    ).select(
-        "file_stem",
-        "word",
-        F.when(F.coalesce("pos", F.lit(0)) == 0, F.length(F.replace("body", F.lit(" "), F.lit("")))).alias("chars"),
-    )
+        "file_stem", chars.alias("chars"), F.posexplode_outer(tokens(text, tokenizer)).alias("pos", "word")
+    ).select("file_stem", "word", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("chars")).alias("chars"))
     return exploded.join(broadcast_within(lexicon_flags(lexicon)), "word", "left")
 
 

@@ -75,6 +75,17 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a table scan over all cores when it has fewer splits than cores.
+
+    For work that is heavy per row on few files. Large inputs have more splits
+    than cores and are left as they are. Meant for scans only: asking for the
+    number of partitions would run the shuffles of a longer plan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when ``df`` is shown to have at most ``max_rows`` rows.
 
