@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventlens.functions.times import at_minute, is_minute
+from eventlens.session import broadcast_within
 
 KEYS = ["ipo_id", "rival_fc", "event_date"]
 
@@ -112,9 +115,11 @@ def bars_after(
 def attach_times(event_bars: DataFrame, times: DataFrame) -> DataFrame:
     """Add ``event_start`` and ``event_end`` from ``ipo_id, start_minute, end_minute``.
 
-    An event missing from ``times`` keeps NULL times.
+    An event missing from ``times`` keeps NULL times. Times are broadcast when
+    shown to fit, so that bars are not gathered by event.
     """
-    with_times = event_bars.join(times.select("ipo_id", "start_minute", "end_minute"), "ipo_id", "left")
+    small = broadcast_within(times.select("ipo_id", "start_minute", "end_minute"))
+    with_times = event_bars.join(small, "ipo_id", "left")
     return with_times.select(
         *event_bars.columns,
         at_minute(F.col("event_date"), F.col("start_minute")).alias("event_start"),
@@ -142,22 +147,29 @@ def window_cuts_wide(
         member[f"after_start_{label}"] = is_after("event_start", n)
         member[f"after_end_{label}"] = is_after("event_end", n)
     values = [f"{v}_est{k}" for k in spec.estimations for v in METRICS.values()]
-    flagged = ranked.select(
-        *KEYS,
-        *values,
-        is_minute(ts, spec.excluded).alias("is_excluded"),
-        *[member[w].alias(f"in_{w}") for w in spec.windows],
+    # bars of a group that are in the same windows are added up first: a group
+    # has few such classes, and only they meet the many conditional sums
+    flags = [member[w] for w in spec.windows] + [is_minute(ts, spec.excluded)]
+    mask = reduce(add, [F.when(flag, 1 << i).otherwise(0) for i, flag in enumerate(flags)])
+    classes = (
+        ranked.select(*KEYS, mask.alias("mask"), *values)
+        .groupBy(*KEYS, "mask")
+        .agg(*[F.sum(v).alias(v) for v in values])
     )
+
+    def has(i: int) -> Column:
+        return F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+
+    excluded = has(len(spec.windows))
     sums = []
-    for window in spec.windows:
-        inside = F.col(f"in_{window}")
+    for i, window in enumerate(spec.windows):
         for k in spec.estimations:
             for variant in VARIANTS:
-                counted = inside if variant == "with925" else inside & ~F.col("is_excluded")
+                counted = has(i) if variant == "with925" else has(i) & ~excluded
                 for metric, value in METRICS.items():
                     name = f"{metric}_{window}_{variant}_est{k}"
                     sums.append(F.sum(F.when(counted, F.col(f"{value}_est{k}"))).alias(name))
-    return flagged.groupBy(*KEYS).agg(*sums)
+    return classes.groupBy(*KEYS).agg(*sums)
 
 
 def window_cuts(wide: DataFrame, spec: CutSpec = CutSpec()) -> DataFrame:
