@@ -63,15 +63,17 @@ def frame_rms_stats(
     energies = touched.groupBy("file_stem", "frame").agg(F.sum("energy").alias("energy"))
     last_frame = F.floor((F.col("n") + 2 * pad - frame_length) / hop)
     rms = F.when(F.col("frame") <= last_frame, F.sqrt(F.col("energy") / frame_length))
-    return (
-        lengths.join(energies, "file_stem", "left")
-        .groupBy("file_stem")
-        .agg(
-            F.avg(rms).alias("rms_mean"),
-            F.stddev_pop(rms).alias("rms_std"),
-            (F.max("n") / F.lit(float(rate))).alias("duration_s"),
-        )
+    # an inner join, so that a clip with most of the frames can be split
+    stats = energies.join(lengths, "file_stem").groupBy("file_stem").agg(
+        F.avg(rms).alias("rms_mean"),
+        F.stddev_pop(rms).alias("rms_std"),
+        (F.max("n") / F.lit(float(rate))).alias("duration_s"),
     )
+    if center:
+        return stats
+    # without padding a clip shorter than a frame has none
+    all_clips = lengths.select("file_stem", (F.col("n") / F.lit(float(rate))).alias("duration_s"))
+    return all_clips.join(stats.drop("duration_s"), "file_stem", "left").select(*stats.columns)
 
 
 def sample_interval(fps: Column, sample_fps: float = SAMPLE_FPS) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventlens.session import broadcast_within
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """First row per key in a given order.
@@ -18,8 +20,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 
 
 def pending_items(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Items whose keys are not among the finished ones."""
-    return items.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Items whose keys are not among the finished ones.
+
+    Finished keys are broadcast when shown to fit, so that items, which may be
+    many rows per key, are not moved.
+    """
+    return items.join(broadcast_within(done.select(*keys).distinct()), keys, "left_anti")
 
 
 def all_null_columns(df: DataFrame, columns: list[str]) -> list[str]:

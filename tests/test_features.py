@@ -116,6 +116,12 @@ def test_frame_rms(spark, hop, length, center, n):
     assert got.duration_s == pytest.approx(n / 10)
 
 
+def test_clip_shorter_than_a_frame(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0)], "file_stem string, sample_idx long, x double")
+    row = frames.frame_rms_stats(df, rate=2, hop=4, frame_length=8, center=False).first()
+    assert (row.rms_mean, row.rms_std, row.duration_s) == (None, None, 1.0)
+
+
 def test_sampling_and_labels(spark):
     def step(fps, sample=1.0):
         return spark.range(1).select(frames.sample_interval(F.lit(fps), sample)).first()[0]
@@ -288,3 +294,30 @@ def test_incremental_runs_once_per_file(spark, lexicon, tmp_path):
 
     process_new_batches(spark, landing, str(tmp_path / "p2"), handle, max_files=1)
     assert {(r.file_stem, r.tone_score) for r in spark.read.parquet(scored).collect()} == {("a", 0.0), ("b", 0.0)}
+
+
+def test_feature_jobs_resume_and_score(spark, segments, lexicon, tmp_path):
+    from eventlens.plans.features import run_pitch, run_verbal, run_visual, run_vocal
+
+    rng, stems = random.Random(2), [f"s{i}" for i in range(8)]
+    talk = spark.createDataFrame(
+        [(s, 0, 0.0, 2.0 + i, "good " * i + "bad bad good") for i, s in enumerate(stems)], SEGMENTS)
+    signal = spark.createDataFrame(
+        [(s, i, rng.gauss(0, 1 + k)) for k, s in enumerate(stems) for i in range(40)], "file_stem string, sample_idx long, x double")
+    pitch = spark.createDataFrame(
+        [(s, i, rng.uniform(20, 300)) for s in stems[:-1] for i in range(9)], "file_stem string, frame_idx long, f0 double")
+    shown = spark.createDataFrame(
+        [(s, i, 1.0, rng.choice(["happy", "sad", None])) for s in stems for i in range(9)],
+        "file_stem string, frame_idx long, fps double, emotion string")
+    paths = {n: str(tmp_path / n) for n in ("vocal", "verbal", "visual", "pitch")}
+    first = F.col("file_stem") < "s5"
+    for rows in (first, F.lit(True), F.lit(True)):
+        run_verbal(talk.where(rows), lexicon, paths["verbal"], "word")
+        run_visual(shown.where(rows), paths["visual"])
+        run_vocal(signal.where(rows), pitch, paths["vocal"], talk)
+    for name in ("vocal", "verbal", "visual"):
+        assert sorted(r.file_stem for r in spark.read.parquet(paths[name]).collect()) == stems
+    assert [r.error for r in spark.read.parquet(paths["vocal"]).where("file_stem = 's7'").collect()] == ["no pitch frames"]
+    _, summary = run_pitch(paths["vocal"], paths["verbal"], paths["visual"], paths["pitch"], n_components=2)
+    assert summary.first().n == 8
+    assert spark.read.parquet(paths["pitch"]).columns == ["file_stem", "pitch_factor", "pc1", "pc2"]
