@@ -69,10 +69,9 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
 
 def in_span(ts: Column, first: dt.date, last: dt.date) -> Column:
     """Times from the start of the first day to the end of the last."""
-    after = dt.datetime.combine(last + dt.timedelta(days=1), dt.time())
-    return (ts >= F.lit(dt.datetime.combine(first, dt.time())).cast("timestamp_ntz")) & (
-        ts < F.lit(after).cast("timestamp_ntz")
-    )
+    # dates, unlike Python datetimes, become literals without regard to a time zone
+    after = last + dt.timedelta(days=1)
+    return (ts >= F.lit(first).cast("timestamp_ntz")) & (ts < F.lit(after).cast("timestamp_ntz"))
 
 
 def scan_bars(

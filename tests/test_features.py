@@ -321,3 +321,21 @@ def test_feature_jobs_resume_and_score(spark, segments, lexicon, tmp_path):
     _, summary = run_pitch(paths["vocal"], paths["verbal"], paths["visual"], paths["pitch"], n_components=2)
     assert summary.first().n == 8
     assert spark.read.parquet(paths["pitch"]).columns == ["file_stem", "pitch_factor", "pc1", "pc2"]
+
+
+def test_span_is_pushed_down_and_zone_free(spark, sf):
+    import datetime as dt
+
+    from eventlens.catalog import fixtures as fx
+
+    first, last = dt.date(2024, 1, 5), dt.date(2024, 1, 6)
+    want = fx.ticks(spark, sf).where("to_date(ts) between '2024-01-05' and '2024-01-06'").count()
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York", "Asia/Shanghai"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            scan = tables.scan_bars(fx.ticks(spark, sf), first, last)
+            assert scan.count() == want
+            assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in scan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -171,7 +171,7 @@ def event_rows():
 
 
 def brute_cuts(rows, start, end, spec):
-    """Reference sums by plain lists."""
+    """Expected sums by plain lists."""
     rows = sorted(rows, key=lambda r: r[3])
     stamp = lambda m: dt.datetime.combine(DAYS[10], dt.time(m // 60, m % 60))
     chosen = {"full_day": [r for r in rows if stamp(spec.day_open) <= r[3] <= stamp(spec.day_close)]}
