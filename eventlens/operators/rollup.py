@@ -50,7 +50,11 @@ def long_values(df: DataFrame, keys: list[str | Column]) -> DataFrame:
 
 
 def year_stats(means: DataFrame, max_rows: int = PERCENTILE_ROWS) -> DataFrame:
-    """Mean, max, min, sample deviation, 95th and 5th percentile per year and column."""
+    """Mean, max, min, sample deviation, 95th and 5th percentile per year and column.
+
+    ``means`` should be a stored table: its largest year is counted first, and
+    beyond ``max_rows`` percentiles are found without gathering a year in one task.
+    """
     values = value_columns(means)
     dated = means.select(F.year("event_date").alias("year"), *values).where(F.col("year").isNotNull())
     keys = ["year", "name"]
