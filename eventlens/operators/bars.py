@@ -13,9 +13,10 @@ def tick_order(ts: Column, tick_id: Column) -> Column:
     """One sortable number for (time, id): microseconds first, then the id.
 
     A decimal key lets the last-trade aggregate run in the hash operator; with
-    a struct key Spark sorts every tick first, which took twice as long. The
-    factor exceeds the span of 64-bit ids, so ids never reach the time. The
-    interval keeps the session's time zone out of it.
+    a struct key Spark sorts every tick first, and spills when a task's ticks
+    exceed its memory. Local times of the two were alike. The factor exceeds
+    the span of 64-bit ids, so ids never reach the time. The interval keeps
+    the session's time zone out of it.
     """
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     seconds = (ts - epoch).cast("interval second").cast("decimal(18,6)")
@@ -29,7 +30,8 @@ def resample_bars(
     """Last price and total size per instrument and bar, labelled by bar start.
 
     Expects ``instrument, ts, price, size`` and an integer ``tie_col`` that
-    orders trades of the same time (None when times are unique). Ticks are
+    orders trades of the same time (None when times are unique, which took
+    about a third of the time in a local test). Ticks are
     combined before the shuffle, so an instrument with most of the ticks costs
     no more than its number of bars.
     """
