@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.bpe import decode_column, encode_column
@@ -11,6 +11,7 @@ from eventlens.llm.common import ORACLES, QUERIES, query, table
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.line_dedup import line_dedup
 from eventlens.llm.packing import pack
+from eventlens.llm.secrets import BASE, KINDS, scan_secrets, span_list
 from eventlens.llm.simhash import simhash_dedup
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,3 +84,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
     )
+
+
+@query()
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
+    )
