@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.bpe import decode_column, encode_column
+from eventlens.llm.chat_format import digest_chats, format_chats, read_chats
 from eventlens.llm.common import ORACLES, QUERIES, query, table
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.line_dedup import line_dedup
 from eventlens.llm.packing import pack
 from eventlens.llm.secrets import BASE, KINDS, scan_secrets, span_list
 from eventlens.llm.simhash import simhash_dedup
+from eventlens.llm.url_filter import filter_urls
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -97,3 +99,83 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
     )
+
+
+# The rules of the query, as verdict, host and path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+_ROUNDS = 10
+
+_URL_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, coalesce(html, '') AS html,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(verdict, rule_host, rule_path) AS (VALUES
+  ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+judged AS (
+  SELECT p.page_id, p.host, p.path,
+         arg_max(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule,
+         arg_max(r.verdict, length(r.rule_host || r.rule_path)) AS rule_verdict
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rule_host OR suffix(p.host, '.' || r.rule_host)) AND prefix(p.path, r.rule_path)
+  GROUP BY ALL),
+hosts AS (
+  SELECT host, avg((rule_verdict IS NOT DISTINCT FROM 'allow')::INT) AS allowed,
+         avg((rule_verdict IS NOT DISTINCT FROM 'block')::INT) AS blocked
+  FROM judged WHERE host <> '' GROUP BY host),
+seed_hosts AS (
+  SELECT 'trust' AS kind, host FROM hosts WHERE allowed > 0.5
+  UNION ALL SELECT 'distrust', host FROM hosts WHERE blocked > 0.5),
+seeds AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM seed_hosts),
+addresses AS (
+  SELECT host AS source,
+         unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s>]+)', 1)) AS target
+  FROM parts),
+links AS (
+  SELECT source, translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target, count(*) AS links
+  FROM addresses GROUP BY ALL),
+edges AS (
+  SELECT 'trust' AS kind, source AS a, target AS b, links FROM links WHERE source <> '' AND source <> target
+  UNION ALL SELECT 'distrust', target, source, links FROM links WHERE source <> '' AND source <> target),
+steps AS (SELECT kind, a, b, 0.85::DOUBLE * links / sum(links) OVER (PARTITION BY kind, a) AS weight FROM edges),
+walk AS (
+  SELECT 0 AS n, kind, host, 0.15::DOUBLE * seed AS score FROM seeds
+  UNION ALL
+  SELECT n + 1, s.kind, s.b, sum(s.weight * w.score) FROM walk w JOIN steps s ON s.kind = w.kind AND s.a = w.host
+  WHERE n < 10 GROUP BY n, s.kind, s.b),
+scores AS (
+  SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust,
+         coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust
+  FROM walk GROUP BY host)
+SELECT page_id, j.host, path, rule,
+       coalesce(rule_verdict, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN scores s ON s.host = j.host
+"""
+
+
+@query(_URL_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES, rounds=_ROUNDS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digest_chats(read_chats(format_chats(turns, path), path))
