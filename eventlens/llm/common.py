@@ -56,3 +56,12 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id is a ``doc_id`` of ``dropped``; null ids match nothing.
+
+    The ids are hashed and the documents stream past them, so no text is sorted.
+    """
+    ids = dropped.select(F.col("doc_id").alias("__dropped")).filter("__dropped IS NOT NULL").hint("shuffle_hash")
+    return docs.join(ids, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")

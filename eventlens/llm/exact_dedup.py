@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import id_and_text, no_spaces
+from eventlens.llm.common import id_and_text, no_spaces, without_ids
 from eventlens.session import settle
 
 # Survivors of a level are remembered by slot, so a level's filter has at most
@@ -94,8 +94,7 @@ def exact_dedup(
 def keep_one_copy(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the copies that :func:`exact_dedup` drops, all columns kept.
 
-    The ids to drop are joined away; rows without id are kept.
+    Rows without id are kept, since a decision is taken back to its row by id.
     """
-    drop = exact_dedup(docs, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop"))
-    name = str(options.get("id_col", "doc_id"))
-    return docs.join(drop, docs[name] == drop["__drop"], "left_anti")
+    dropped = exact_dedup(docs, **options).filter("not kept")
+    return without_ids(docs, dropped, str(options.get("id_col", "doc_id")))

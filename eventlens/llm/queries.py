@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from eventlens.llm.bpe import decode_column, encode_column
 from eventlens.llm.chat_format import digest_chats, format_chats, read_chats
 from eventlens.llm.common import ORACLES, QUERIES, query, table
+from eventlens.llm.embedding_dedup import embedding_dedup
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.line_dedup import line_dedup
 from eventlens.llm.packing import pack
+from eventlens.llm.quality import score_quality, train
 from eventlens.llm.secrets import BASE, KINDS, scan_secrets, span_list
 from eventlens.llm.simhash import simhash_dedup
 from eventlens.llm.url_filter import filter_urls
@@ -179,3 +181,28 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digest_chats(read_chats(format_chats(turns, path), path))
+
+
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+usable AS (SELECT * FROM v WHERE size > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)
+""")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import id_and_text
+from eventlens.llm.common import id_and_text, without_ids
 from eventlens.llm.components import components
 from eventlens.session import settle
 
@@ -153,3 +153,12 @@ def simhash_dedup(
     alone = linked.filter("label is null").select("fingerprint", F.col("first").alias("component_id"))
     of_value = settle(in_group.unionByName(alone), "components")
     return found.join(of_value, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one_near_copy(docs: DataFrame, **options: object) -> DataFrame:
+    """``docs`` with one document of each component of :func:`simhash_dedup`, that of its smallest id.
+
+    Rows without id are kept, since a decision is taken back to its row by id.
+    """
+    dropped = simhash_dedup(docs, **options).filter("doc_id <> component_id")
+    return without_ids(docs, dropped, str(options.get("id_col", "doc_id")))
