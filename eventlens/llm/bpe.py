@@ -241,6 +241,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
+        if not texts:
+            return []
         if len(self.known) > WORDS_KEPT:
             self._forget()
         words = split_words(BETWEEN.join(texts))

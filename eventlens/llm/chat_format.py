@@ -60,15 +60,16 @@ def assemble(turns: list[tuple[str | None, str, bool]], path: str) -> list[tuple
     base = own.merges.size
     parts = [_turn(*t) for t in turns]
     texts = [p for turn in parts for p in turn if isinstance(p, str)]
-    encoded = iter(own.encode(texts) if texts else [])
+    encoded = iter(own.encode(texts))
     made = []
     for (role, _, first), turn in zip(turns, parts, strict=True):
         pieces = [np.array([base + p], "<u4") if isinstance(p, int) else next(encoded) for p in turn]
         ends = np.cumsum([len(p) for p in pieces])
         edges = np.zeros(int(ends[-1]) + 1, np.int64)
         if role == "assistant":
-            edges[ends[first] - len(pieces[first])] += 1
-            edges[ends[first]] -= 1
+            answer = int(first)  # its place among the pieces, after a possible BOS
+            edges[ends[answer] - len(pieces[answer])] += 1
+            edges[ends[answer]] -= 1
         mask = np.cumsum(edges)[:-1].astype(np.uint8)
         size = sum(len(CONTROLS[p]) if isinstance(p, int) else len(p) for p in turn)
         made.append((np.concatenate(pieces).astype("<u4"), mask, size))

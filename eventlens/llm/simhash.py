@@ -89,7 +89,7 @@ def _longs(values: list[int]) -> Column:
 
 
 def covering_links(values: DataFrame, radius: int = 2) -> DataFrame:
-    """Links that join all ``fingerprint`` values within ``radius`` (1 or 2) bits of each other.
+    """Links that join all ``fingerprint`` values within ``radius`` bits (2) of each other.
 
     ``values`` holds distinct fingerprints. Each goes to a bucket of every
     covering table; only buckets with company are looked at further. There a
@@ -101,8 +101,6 @@ def covering_links(values: DataFrame, radius: int = 2) -> DataFrame:
     lost as a connection; a midpoint has at most one member per free bit, so no
     group grows with a bucket and a bucket of n costs about 30 n rows.
 
-    For radius 1 a member's smaller neighbour must be a member itself, which is
-    the same rule with links kept only at one bit's distance; it is not offered.
     Returns distinct links ``a, b`` with ``b < a``.
     """
     if radius != 2:
