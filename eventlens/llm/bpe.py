@@ -26,7 +26,7 @@ from eventlens.llm.common import id_and_text
 
 # Characters of text split at a time, and distinct words remembered between
 # blocks: both bound a task's memory, neither changes a result.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 WORDS_KEPT = 300_000
 
 # Stands between the texts of a block; no text read from UTF-8 can hold it.
