@@ -38,7 +38,7 @@ _MINUTE = """CASE WHEN length({c}) >= 5
     substr(start_time, 1, 5) AS roadshow_start, substr(end_time, 1, 5) AS roadshow_end
   FROM raw_index WHERE TRY_CAST(roadshow_date AS DATE) IS NOT NULL),
 u AS (SELECT *, row_number() OVER (PARTITION BY ipo_id
-  ORDER BY roadshow_date, roadshow_start NULLS FIRST, roadshow_end NULLS FIRST) AS rn FROM t)
+  ORDER BY roadshow_date, roadshow_start NULLS LAST, roadshow_end NULLS LAST) AS rn FROM t)
 SELECT ipo_id, roadshow_date, roadshow_start, roadshow_end,
   {_MINUTE.format(c='roadshow_start')} AS start_minute, {_MINUTE.format(c='roadshow_end')} AS end_minute
 FROM u WHERE rn = 1""")
@@ -46,11 +46,11 @@ def event_times(spark: SparkSession, d: str) -> DataFrame:
     return tables.event_times(fx.raw_index(spark, d))
 
 
-@query(f"""WITH {fx.SQL_RAW_INDEX}
+@query(f"""WITH {fx.SQL_RAW_EVENTS}
 SELECT ipo_id, start_time, {_MINUTE.format(c='start_time')} AS start_minute,
   end_time, {_MINUTE.format(c='end_time')} AS end_minute FROM raw_index""", name="parse_hhmm")
 def parse_hhmm_query(spark: SparkSession, d: str) -> DataFrame:
-    return fx.raw_index(spark, d).select(
+    return fx.raw_index(spark, d, purchases=False).select(
         "ipo_id",
         "start_time",
         parse_hhmm(F.col("start_time")).alias("start_minute"),
@@ -79,7 +79,7 @@ def trading_calendar(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIRST, _LAST = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
-_PICKED = ["SH600001", "SZ300007"]
+_PICKED = ["SH600001", "SZ000007"]
 
 
 @query(f"""SELECT {fx.SQL_FULL.format(k='(user_id % 10)')} AS instrument, ts, event_id AS tick_id,
@@ -114,7 +114,7 @@ def market_bars(spark: SparkSession, d: str) -> DataFrame:
     first, last = pairs.global_span(s.windows)
     raw = fx.ticks(spark, d).withColumn("instrument", F.lit("MKT"))
     spanned = tables.scan_bars(raw, first, last, ["MKT"])
-    series = bar_ops.bar_returns(bar_ops.resample_bars(spanned, fx.FREQ))
+    series = bar_ops.bar_returns(settle(bar_ops.resample_bars(spanned, fx.FREQ), "market"))
     return rounded(series.select("ts", "volume", "price", F.col("return").alias("market_return")))
 
 
@@ -186,11 +186,11 @@ def venue_code(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {fx.SQL_RAW_INDEX}, u AS (SELECT *, row_number() OVER (PARTITION BY ipo_id
+@query(f"""WITH {fx.SQL_RAW_EVENTS}, u AS (SELECT *, row_number() OVER (PARTITION BY ipo_id
   ORDER BY roadshow_date, start_time NULLS FIRST, end_time) AS rn FROM raw_index)
 SELECT ipo_id, ipo_stkcd, roadshow_date, start_time, end_time FROM u WHERE rn = 1""")
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return selection.keep_first(fx.raw_index(spark, d), ["ipo_id"], ["roadshow_date", "start_time", "end_time"])
+    return selection.keep_first(fx.raw_index(spark, d, purchases=False), ["ipo_id"], ["roadshow_date", "start_time", "end_time"])
 
 
 @query(f"""WITH {fx.SQL_EVENTS}, {fx.SQL_PAIRS}
@@ -268,17 +268,47 @@ def events_nested(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {fx.SQL_STUDY}, {fx.SQL_BARS}, live AS (SELECT DISTINCT instrument FROM bars WHERE instrument <> 'SH600003')
-SELECT rival_fc, p.ipo_id, ev.event_date,
-  CASE WHEN p.ipo_id NOT IN (SELECT ipo_id FROM win) THEN 'no window' ELSE 'no data' END AS reason
-FROM prs p JOIN ev USING (ipo_id)
-WHERE p.ipo_id NOT IN (SELECT ipo_id FROM win) OR rival_fc NOT IN (SELECT instrument FROM live)""")
-def event_rejects(spark: SparkSession, d: str) -> DataFrame:
+_OUTCOMES = f"""{fx.SQL_ESTIMATION},
+live AS (SELECT * FROM al WHERE instrument <> 'SH600003'),
+asked AS (
+  SELECT ipo_id, rival_stkcd, rival_fc FROM prs
+  UNION ALL SELECT ipo_id, 'n/a', NULL FROM ev
+  UNION ALL SELECT 'V' || user_id, '600000', 'SH600000' FROM ev),
+found AS (
+  SELECT a.*, ev.event_date, w.ipo_id IS NOT NULL AS dated,
+    (SELECT count(*) FROM live l WHERE l.instrument = a.rival_fc AND l.trade_date BETWEEN w.est1_start AND w.est3_end) AS n_est,
+    (SELECT count(*) FROM live l WHERE l.instrument = a.rival_fc AND l.trade_date BETWEEN w.event_start AND w.event_end) AS n_event
+  FROM asked a LEFT JOIN ev USING (ipo_id) LEFT JOIN win w USING (ipo_id)),
+outcomes AS (
+  SELECT ipo_id, rival_stkcd, rival_fc, event_date, CASE WHEN rival_fc IS NULL THEN 'bad code'
+    WHEN event_date IS NULL THEN 'no event' WHEN NOT dated THEN 'no window'
+    WHEN n_est + n_event = 0 THEN 'no data' WHEN n_event = 0 THEN 'no event bars'
+    WHEN n_est = 0 THEN 'no estimate' END AS reason
+  FROM found)"""
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of all pairs, of a code that is no number and of ids without event."""
     s = fx.Study(spark, d)
-    dated = pairs.pair_events(s.pairs, s.events)
+    bad = s.events.select("ipo_id", F.lit("600000").alias("ipo_stkcd"), F.lit("n/a").alias("rival_stkcd"))
+    unknown = bad.select(F.concat(F.lit("V"), F.substring("ipo_id", 2, 99)), "ipo_stkcd", F.lit("600000"))
     # one instrument is treated as not traded
-    traded = fx.ticks(spark, d).where(F.col("instrument") != "SH600003")
-    return pairs.event_rejects(dated, s.windows, traded)
+    traded = s.study_aligned.where(F.col("instrument") != "SH600003")
+    return pairs.pair_outcomes(
+        s.spelt_pairs.union(bad).union(unknown), s.events, s.windows, traded, s.calendar, fx.SPEC
+    )
+
+
+@query(f"WITH {_OUTCOMES} SELECT * FROM outcomes WHERE reason IS NOT NULL")
+def event_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.event_rejects(_outcomes(spark, d))
+
+
+@query(f"WITH {_OUTCOMES} SELECT coalesce(reason, 'result') AS outcome, count(*) AS n FROM outcomes GROUP BY 1")
+def pair_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair is in the results or among the rejects, once."""
+    outcome = F.coalesce("reason", F.lit("result")).alias("outcome")
+    return _outcomes(spark, d).groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- estimation and abnormal series ------------------------------------------
@@ -290,7 +320,7 @@ SELECT instrument, event_date,
 def market_model(spark: SparkSession, d: str) -> DataFrame:
     s = fx.Study(spark, d)
     requests = s.paired.withColumnRenamed("rival_fc", "instrument")
-    return rounded(estimation.market_model(s.aligned, s.calendar, requests, fx.SPEC))
+    return rounded(estimation.market_model(s.study_aligned, s.calendar, requests, fx.SPEC))
 
 
 @query(f"""WITH {fx.SQL_ESTIMATION}
@@ -299,7 +329,7 @@ SELECT instrument, event_date,
 def volume_baseline(spark: SparkSession, d: str) -> DataFrame:
     s = fx.Study(spark, d)
     requests = s.paired.withColumnRenamed("rival_fc", "instrument")
-    return rounded(estimation.volume_baseline(s.aligned, s.calendar, requests, fx.SPEC))
+    return rounded(estimation.volume_baseline(s.study_aligned, s.calendar, requests, fx.SPEC))
 
 
 _ROW = 'ipo_id, rival_fc, event_date, "timestamp"'
@@ -447,11 +477,12 @@ def sink_overwrite(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*result.columns)
 
 
-@query("""SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('click', 'purchase', 'view')""")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def sink_append(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "batches")
     events = fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    for kind in ("click", "purchase", "view"):
-        sinks.sink_append(events.where(F.col("event_type") == kind), path, "csv")
+    batches = 3
+    for number in range(batches):
+        sinks.sink_append(events.where(F.pmod("event_id", F.lit(batches)) == number), path, "csv")
     schema = "event_id long, user_id long, event_type string, value double"
     return tables.read_table(spark, path, spark.createDataFrame([], schema).schema, "csv")

@@ -7,6 +7,7 @@ instruments that its user does not belong to. All rows of the tables are used.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,10 @@ from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows, trading_calendar
 from eventlens.operators.cuts import CutSpec
 from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_ratios, voiced_pitch_stats
-from eventlens.operators.pairs import pair_events
+from eventlens.operators.pairs import LOOKBACK_DAYS, bars_in_span, instrument_span, pair_events, ticks_in_span
 from eventlens.operators.verbal import lexicon_tone
 from eventlens.session import settle, spread
+from eventlens.sources.tables import scan_bars
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -34,11 +36,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def stock_code(k: Column) -> Column:
-    """Six-digit code of instrument number 0 to 9."""
-    return F.when(k < 5, 600000 + k).otherwise(300000 + k).cast("string")
+    """Six-digit code of instrument number 0 to 9, with leading zeros from 5 on."""
+    return F.when(k < 5, (600000 + k).cast("string")).otherwise(F.lpad(k.cast("string"), 6, "0"))
 
 
-SQL_CODE = "CAST(CASE WHEN {k} < 5 THEN 600000 + {k} ELSE 300000 + {k} END AS VARCHAR)"
+SQL_CODE = "lpad(CAST(CASE WHEN {k} < 5 THEN 600000 + {k} ELSE {k} END AS VARCHAR), 6, '0')"
 SQL_FULL = "(CASE WHEN {k} < 5 THEN 'SH' ELSE 'SZ' END || " + SQL_CODE + ")"
 
 
@@ -96,9 +98,15 @@ class Study:
     def windows(self) -> DataFrame:
         return event_windows(self.events.select("ipo_id", "event_date"), self.calendar, SPEC)
 
+    @cached_property
+    def spelt_pairs(self) -> DataFrame:
+        """The pairs, each twice, and once more without leading zeros."""
+        short = self.pairs.withColumn("rival_stkcd", F.col("rival_stkcd").cast("int").cast("string"))
+        return self.pairs.union(self.pairs).union(short)
+
     @cached_property
     def paired(self) -> DataFrame:
-        return pair_events(self.pairs, self.events, self.windows)
+        return pair_events(self.spelt_pairs, self.events, self.windows)
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -114,13 +122,28 @@ class Study:
     def aligned(self) -> DataFrame:
         return align_market(self.bars, self.market)
 
+    @cached_property
+    def spans(self) -> DataFrame:
+        return settle(instrument_span(self.paired), "spans")
+
+    @cached_property
+    def study_aligned(self) -> DataFrame:
+        """Bars of the instruments and days the events need, with the market's over the same days."""
+        needed = ticks_in_span(ticks(self.spark, self.d), self.spans)
+        bars = bar_returns(settle(resample_bars(needed, FREQ), "bars"))
+        first, last = self.spans.agg(F.min("first_day"), F.max("last_day")).first()
+        around = scan_bars(ticks(self.spark, self.d), first - dt.timedelta(days=LOOKBACK_DAYS), last)
+        everything = around.withColumn("instrument", F.lit("MKT"))
+        market = bar_returns(settle(resample_bars(everything, FREQ), "market"))
+        return settle(align_market(bars_in_span(bars, self.spans), market), "aligned")
+
     @cached_property
     def event_bars(self) -> DataFrame:
-        return abnormal_bars(settle(self.aligned, "aligned"), self.calendar, self.paired, SPEC)
+        return abnormal_bars(self.study_aligned, self.calendar, self.paired, SPEC)
 
 
-def raw_index(spark: SparkSession, d: str) -> DataFrame:
-    """An event sheet as text, one row per purchase, with malformed entries."""
+def raw_index(spark: SparkSession, d: str, purchases: bool = True) -> DataFrame:
+    """An event sheet as text, one row per purchase or per event, with malformed entries."""
     n = F.col("event_id")
     later = F.col("ts") + F.expr("INTERVAL 2 HOURS")
     hour_only = F.concat(F.hour("ts").cast("string"), F.date_format("ts", ":mm"))
@@ -132,7 +155,7 @@ def raw_index(spark: SparkSession, d: str) -> DataFrame:
     )
     return (
         table(spark, d, "events")
-        .where(F.col("event_type") == "purchase")
+        .where((F.col("event_type") == "purchase") if purchases else F.lit(True))
         .select(
             F.concat(F.lit("U"), F.col("user_id")).alias("ipo_id"),
             stock_code(F.col("user_id") % 10).alias("ipo_stkcd"),
@@ -152,6 +175,8 @@ SQL_RAW_INDEX = f"""raw_index AS (
     CASE WHEN event_id % 11 = 0 THEN '25:00' ELSE strftime(ts + INTERVAL 2 HOUR, '%H:%M') END AS end_time
   FROM events WHERE event_type = 'purchase')"""
 
+SQL_RAW_EVENTS = SQL_RAW_INDEX.replace(" WHERE event_type = 'purchase'", "")
+
 _K = "(user_id % 10)"
 
 
@@ -348,19 +373,19 @@ SQL_DAILY = ",\n".join([
 # Conversations stand for transcripts, documents for transcripts of one segment,
 # embeddings for signals and users' events for labelled video frames.
 
-TURNS_PER_TRANSCRIPT = 200
+# Segments in one stored document; a longer recording is several documents.
+SEGMENTS_PER_DOCUMENT = 200
 FRAME_FPS = 2.5
 SIGNAL = {"rate": 16, "hop": 8, "frame_length": 16}
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Segment rows from conversation turns; long ones are several recordings."""
+    """Segment rows from conversation turns, a conversation being a recording."""
     turn = F.col("turn")
-    part = F.floor(turn / TURNS_PER_TRANSCRIPT)
     start = (turn * 10).cast("double")
     return table(spark, d, "conversations").select(
-        F.concat(F.lit("C"), F.col("conv_id"), F.lit("_"), part).alias("file_stem"),
-        (turn % TURNS_PER_TRANSCRIPT).cast("int").alias("seg_no"),
+        F.concat(F.lit("C"), F.col("conv_id")).alias("file_stem"),
+        turn.cast("int").alias("seg_no"),
         start.alias("start"),
         (start + 1 + F.length("text") % 9).alias("end"),
         "text",
@@ -368,14 +393,16 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Whole transcripts; a recording has a bounded number of segments."""
+    """Transcript documents; a recording of many segments is several that say where they begin."""
+    part = F.floor(F.col("seg_no") / SEGMENTS_PER_DOCUMENT)
     rows = F.sort_array(F.collect_list(F.struct("seg_no", "start", "end", "text")))
     return (
         segments(spark, d)
-        .groupBy("file_stem")
-        .agg(rows.alias("rows"))
+        .groupBy("file_stem", part.alias("part"))
+        .agg(rows.alias("rows"), F.min("seg_no").alias("first_segment"))
         .select(
             "file_stem",
+            "first_segment",
             F.transform(
                 "rows",
                 lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["text"].alias("text")),
@@ -457,9 +484,8 @@ def visual(spark: SparkSession, d: str) -> DataFrame:
     return label_ratios(every_kth_sample(frame_labels(spark, d)))
 
 
-SQL_SEGMENTS = f"""seg AS (
-  SELECT 'C' || conv_id || '_' || (turn // {TURNS_PER_TRANSCRIPT}) AS file_stem,
-    CAST(turn % {TURNS_PER_TRANSCRIPT} AS INTEGER) AS seg_no, CAST(turn * 10 AS DOUBLE) AS "start",
+SQL_SEGMENTS = """seg AS (
+  SELECT 'C' || conv_id AS file_stem, CAST(turn AS INTEGER) AS seg_no, CAST(turn * 10 AS DOUBLE) AS "start",
     CAST(turn * 10 + 1 + length(text) % 9 AS DOUBLE) AS "end", text
   FROM conversations)"""
 SQL_CLEAN = r"regexp_replace({t}, '[^\x{{4e00}}-\x{{9fa5}}a-zA-Z]', ' ', 'g')"

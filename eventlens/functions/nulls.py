@@ -17,6 +17,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def number(value: Column) -> Column:
+    """A double with NaN as NULL; Spark would rank NaN above every number and sum to it."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """Quotient as a double, NULL when the divisor is zero or NULL."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

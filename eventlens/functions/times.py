@@ -29,10 +29,6 @@ def is_minute(ts: Column, minute: int) -> Column:
     return ts == at_minute(F.to_date(ts), minute)
 
 
-def minute_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 60 + F.minute(ts)
-
-
 # Date forms read besides ISO dates and timestamps.
 DATE_FORMATS = ("yyyy/M/d", "yyyyMMdd")
 

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.nulls import nan_to_null
 from eventlens.operators.calendar import StudySpec, event_days
 from eventlens.operators.estimation import estimates
+from eventlens.session import broadcast_within
 
 VOLUME_METHODS = ("diff", "ratio")
 
@@ -47,7 +49,12 @@ def abnormal_bars(
     wanted = pairs.join(coefficients, ["instrument", "event_date"]).join(
         F.broadcast(event_days(calendar, spec)), "event_date"
     )
-    bars = aligned.select("instrument", "trade_date", "ts", "return", "volume", "market_return")
+    # the few days of events are picked out of all bars before these are shuffled
+    asked = pairs.select("instrument", "event_date").distinct()
+    days = asked.join(F.broadcast(event_days(calendar, spec)), "event_date").select("instrument", "trade_date").distinct()
+    bars = nan_to_null(
+        aligned.select("instrument", "trade_date", "ts", "return", "volume", "market_return")
+    ).join(broadcast_within(days), ["instrument", "trade_date"], "left_semi")
     return wanted.join(bars, ["instrument", "trade_date"]).select(
         "ipo_id",
         F.col("instrument").alias("rival_fc"),

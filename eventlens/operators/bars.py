@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventlens.session import BROADCAST_ROWS, broadcast_within
+from eventlens.functions.nulls import number
+from eventlens.session import BROADCAST_BYTES, broadcast_within
 
 
 def tick_order(ts: Column, tick_id: Column) -> Column:
@@ -33,15 +34,16 @@ def resample_bars(
     orders trades of the same time (None when times are unique, which took
     about a third of the time in a local test). Ticks are
     combined before the shuffle, so an instrument with most of the ticks costs
-    no more than its number of bars.
+    no more than its number of bars. NaN is NULL: a last trade without price
+    gives a bar without price.
     """
     order = F.col("ts") if tie_col is None else tick_order(F.col("ts"), F.col(tie_col))
     return (
         ticks.where(F.col("instrument").isNotNull() & F.col("ts").isNotNull())
         .groupBy("instrument", F.window("ts", freq).alias("bar"))
         .agg(
-            F.max_by(F.col("price"), order).alias("price"),
-            F.sum("size").alias("volume"),
+            F.max_by(number(F.col("price")), order).alias("price"),
+            F.sum(number(F.col("size"))).alias("volume"),
         )
         .select("instrument", F.col("bar.start").alias("ts"), "price", "volume")
     )
@@ -54,8 +56,9 @@ def bar_returns(bars: DataFrame, chunk: str = "day") -> DataFrame:
     the first bar and after a zero price. Instruments are cut into chunks of a
     ``day``, ``month`` or ``year`` so that none is ordered in one task; the
     bar before a chunk comes from the last price of the chunk before it. The
-    bars are read twice, so they should be a stored table.
+    bars are read twice, so they should be a stored table. A NaN price is NULL.
     """
+    bars = bars.withColumn("price", number(F.col("price")))
     day = F.to_date("ts")
     part = day if chunk == "day" else F.trunc(day, chunk)
     keyed = bars.withColumn("chunk", part)
@@ -85,15 +88,15 @@ def bar_returns(bars: DataFrame, chunk: str = "day") -> DataFrame:
 
 
 def align_market(
-    bars: DataFrame, market: DataFrame, max_rows: int = BROADCAST_ROWS, how: str = "left"
+    bars: DataFrame, market: DataFrame, max_bytes: int = BROADCAST_BYTES, how: str = "left"
 ) -> DataFrame:
     """Attach the market return of the same bar as ``market_return``.
 
-    The market has one row per bar time. It is broadcast when it is shown to
+    The market has one row per bar time; NaN is NULL. It is broadcast when it is shown to
     fit and joined by shuffle on the bar time otherwise.
     """
-    series = market.select("ts", F.col("return").alias("market_return"))
-    return bars.join(broadcast_within(series, max_rows), "ts", how)
+    series = market.select("ts", number(F.col("return")).alias("market_return"))
+    return bars.join(broadcast_within(series, max_bytes), "ts", how)
 
 
 def align_series(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventlens.functions.nulls import nan_to_null
 from eventlens.functions.times import at_minute, is_minute
 from eventlens.session import broadcast_within
 
@@ -70,7 +71,13 @@ def ranked_bars(
     earlier = [
         F.count(F.when(F.col(ts_col) < F.col(t), 1)).over(group).alias(f"{t}_n") for t in thresholds
     ]
-    return df.select("*", F.row_number().over(group.orderBy(ts_col)).alias("bar_no"), *earlier)
+    order = group.orderBy(ts_col, *_ties(df))
+    return df.select("*", F.row_number().over(order).alias("bar_no"), *earlier)
+
+
+def _ties(df: DataFrame) -> list[str]:
+    """Value columns, which decide between bars of one time so that the choice is fixed."""
+    return [c for c in df.columns if c.startswith(("ar_", "av_"))]
 
 
 def is_before(threshold: str, n: int, ts_col: str = "timestamp") -> Column:
@@ -92,7 +99,7 @@ def bars_before(
     values are NULL. Ranking keeps at most ``n`` rows per group on the map
     side.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc(ts_col))
+    order = Window.partitionBy(*keys).orderBy(F.desc(ts_col), *[F.desc(c) for c in _ties(df)])
     return (
         df.where(F.col(ts_col) < F.col(threshold))
         .withColumn("bar_rank", F.row_number().over(order))
@@ -104,7 +111,7 @@ def bars_after(
     df: DataFrame, keys: list[str], threshold: str, n: int, ts_col: str = "timestamp"
 ) -> DataFrame:
     """Rows among the first ``n`` of their group at or after a threshold column."""
-    order = Window.partitionBy(*keys).orderBy(ts_col)
+    order = Window.partitionBy(*keys).orderBy(ts_col, *_ties(df))
     return (
         df.where(F.col(ts_col) >= F.col(threshold))
         .withColumn("bar_rank", F.row_number().over(order))
@@ -115,10 +122,12 @@ def bars_after(
 def attach_times(event_bars: DataFrame, times: DataFrame) -> DataFrame:
     """Add ``event_start`` and ``event_end`` from ``ipo_id, start_minute, end_minute``.
 
-    An event missing from ``times`` keeps NULL times. Times are broadcast when
+    An event missing from ``times`` keeps NULL times; of an id that occurs twice
+    the earliest times count, so bars never multiply. Times are broadcast when
     shown to fit, so that bars are not gathered by event.
     """
-    small = broadcast_within(times.select("ipo_id", "start_minute", "end_minute"))
+    single = times.groupBy("ipo_id").agg(F.min(F.struct("start_minute", "end_minute")).alias("t"))
+    small = broadcast_within(single.select("ipo_id", "t.start_minute", "t.end_minute"))
     with_times = event_bars.join(small, "ipo_id", "left")
     return with_times.select(
         *event_bars.columns,
@@ -138,7 +147,7 @@ def window_cuts_wide(
     summing share one shuffle on the three keys; a group has the bars of one
     instrument on the few days of an event window, whatever the data size.
     """
-    bars = attach_times(event_bars.dropna(subset=KEYS), times)
+    bars = attach_times(nan_to_null(event_bars).dropna(subset=KEYS), times)
     ranked = ranked_bars(bars, KEYS, ["event_start", "event_end"])
     day, ts = F.col("event_date"), F.col("timestamp")
     member = {"full_day": ts.between(at_minute(day, spec.day_open), at_minute(day, spec.day_close))}

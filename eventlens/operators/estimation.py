@@ -14,26 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventlens.functions.nulls import number
 from eventlens.operators.calendar import StudySpec
 
-SUMS = ["n", "sx", "sy", "sxx", "sxy", "vol_n", "vol_sum"]
+SUMS = ["n", "dx", "dy", "cxx", "cxy", "vol_n", "vol_sum"]
 
 
 def daily_partials(aligned: DataFrame) -> DataFrame:
-    """Regression and volume sums per instrument and trading day.
+    """Moments and volume sums per instrument and trading day.
 
     ``x`` is the market return and ``y`` the stock return of bars where both
-    are present.
+    are present: their number, means, and centred sums of squares and products,
+    which Spark combines without cancellation. NaN is NULL.
     """
-    both = F.col("return").isNotNull() & F.col("market_return").isNotNull()
-    x, y = F.when(both, F.col("market_return")), F.when(both, F.col("return"))
-    volume = F.col("volume").cast("double")
+    stock, market = number(F.col("return")), number(F.col("market_return"))
+    both = stock.isNotNull() & market.isNotNull()
+    x, y = F.when(both, market), F.when(both, stock)
+    volume = number(F.col("volume"))
     return aligned.groupBy("instrument", "trade_date").agg(
         F.count(x).alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(x * y).alias("sxy"),
+        F.avg(x).alias("x_mean"),
+        F.avg(y).alias("y_mean"),
+        (F.var_pop(x) * F.count(x)).alias("mxx"),
+        (F.covar_pop(x, y) * F.count(x)).alias("mxy"),
         F.min(x).alias("x_min"),
         F.max(x).alias("x_max"),
         F.count(volume).alias("vol_n"),
@@ -41,12 +44,28 @@ def daily_partials(aligned: DataFrame) -> DataFrame:
     )
 
 
+def _centred(daily: DataFrame) -> DataFrame:
+    """Daily moments about the instrument's mean returns ``x_mid, y_mid``.
+
+    A window adds these up; what is left to subtract is the small distance of
+    the window's mean from the instrument's, not the square of the mean itself.
+    """
+    whole = Window.partitionBy("instrument")
+    mid = [
+        (F.sum(F.col("n") * F.col(f"{v}_mean")).over(whole) / F.sum("n").over(whole)).alias(f"{v}_mid") for v in "xy"
+    ]
+    x, y, n = F.col("x_mean") - F.col("x_mid"), F.col("y_mean") - F.col("y_mid"), F.col("n")
+    return daily.select("*", *mid).withColumns({
+        "dx": n * x, "dy": n * y, "cxx": F.col("mxx") + n * x * x, "cxy": F.col("mxy") + n * x * y,
+    })
+
+
 def _slope(k: int, min_obs: int) -> Column:
-    n, sx, sy, sxx, sxy = (F.col(f"{c}_{k}") for c in ("n", "sx", "sy", "sxx", "sxy"))
+    n, dx, dy, cxx, cxy = (F.col(f"{c}_{k}") for c in ("n", "dx", "dy", "cxx", "cxy"))
     # a market that does not move leaves the slope undefined; comparing the
     # extremes is exact where the difference of sums is not
     defined = (n >= min_obs) & (F.col(f"x_min_{k}") < F.col(f"x_max_{k}"))
-    return F.when(defined, F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx))
+    return F.when(defined, F.try_divide(cxy - dx * dy / n, cxx - dx * dx / n))
 
 
 def estimates(
@@ -63,8 +82,8 @@ def estimates(
     observations or when the market return is constant.
     """
     days = F.broadcast(calendar)
-    measures = [*SUMS, "x_min", "x_max"]
-    daily = daily_partials(aligned).join(days, "trade_date").select(
+    measures = [*SUMS, "x_min", "x_max", "x_mid", "y_mid"]
+    daily = _centred(daily_partials(aligned)).join(days, "trade_date").select(
         "instrument", "day_idx", *measures, F.lit(None).cast("date").alias("event_date")
     )
     asked = (
@@ -80,13 +99,15 @@ def estimates(
         framed += [F.sum(c).over(frame).alias(f"{c}_{k}") for c in SUMS]
         framed += [F.min("x_min").over(frame).alias(f"x_min_{k}")]
         framed += [F.max("x_max").over(frame).alias(f"x_max_{k}")]
+        framed += [F.max(f"{v}_mid").over(frame).alias(f"{v}_mid_{k}") for v in "xy"]
     sums = both.select("instrument", "event_date", *framed).where(F.col("event_date").isNotNull())
     betas = sums.select("*", *[_slope(k, min_obs).alias(f"beta_est{k}") for k in spec.numbers])
     outputs = [
         (
             F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias(f"n_est{k}"),
-            F.try_divide(
-                F.col(f"sy_{k}") - F.col(f"beta_est{k}") * F.col(f"sx_{k}"), F.col(f"n_{k}")
+            (
+                F.col(f"y_mid_{k}") + F.try_divide(F.col(f"dy_{k}"), F.col(f"n_{k}"))
+                - F.col(f"beta_est{k}") * (F.col(f"x_mid_{k}") + F.try_divide(F.col(f"dx_{k}"), F.col(f"n_{k}")))
             ).alias(f"alpha_est{k}"),
             F.col(f"beta_est{k}"),
             F.coalesce(F.col(f"vol_n_{k}"), F.lit(0)).alias(f"vol_n_est{k}"),

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.labels import label_class
-from eventlens.functions.nulls import ratio
+from eventlens.functions.nulls import number, ratio
+from eventlens.session import settle
 
 # Sampling and framing defaults.
 AUDIO_RATE = 16_000
@@ -20,8 +21,12 @@ DEFAULT_FPS = 25.0
 
 
 def voiced_pitch_stats(frames: DataFrame, fmin: float = F0_MIN) -> DataFrame:
-    """Mean and population deviation of pitch over frames above ``fmin``; 0 without any."""
-    voiced = F.when(F.col("f0") > fmin, F.col("f0"))
+    """Mean and population deviation of pitch over frames above ``fmin``; 0 without any.
+
+    A NaN pitch is an unvoiced frame.
+    """
+    pitch = number(F.col("f0"))
+    voiced = F.when(pitch > fmin, pitch)
     return frames.groupBy("file_stem").agg(
         F.coalesce(F.avg(voiced), F.lit(0.0)).alias("f0_mean"),
         F.coalesce(F.stddev_pop(voiced), F.lit(0.0)).alias("f0_std"),
@@ -41,14 +46,24 @@ def frame_rms_stats(
     a frame when ``center`` is set; samples outside the clip count as zero.
     Samples are summed to blocks of the common divisor of hop and frame before
     the shuffle, and frames are put together from blocks: overlapping frames
-    never multiply the samples. Expects ``file_stem, sample_idx, x``.
+    never multiply the samples. With a divisor of 1 a block is a sample, and a
+    frame adds up as many rows as it has samples; hop and frame should share a
+    large divisor. Blocks are stored, so the samples are read once.
+
+    Expects ``file_stem, sample_idx, x``; ``x`` may be an array of consecutive
+    samples from ``sample_idx`` on, which saves a row per sample. NaN counts as
+    no sample value.
     """
+    if dict(signal.dtypes)["x"].startswith("array"):
+        chunks = signal.select("file_stem", "sample_idx", F.posexplode("x").alias("pos", "x"))
+        signal = chunks.withColumn("sample_idx", F.col("sample_idx") + F.col("pos"))
     pad = frame_length // 2 if center else 0
     block = gcd(gcd(hop, frame_length), pad) if pad else gcd(hop, frame_length)
-    x = F.col("x").cast("double")
-    blocks = signal.groupBy(
+    x = number(F.col("x"))
+    summed = signal.groupBy(
         "file_stem", F.floor(F.col("sample_idx") / block).alias("block")
     ).agg(F.sum(x * x).alias("energy"), F.count(F.lit(1)).alias("samples"))
+    blocks = settle(summed, "blocks")
     lengths = blocks.groupBy("file_stem").agg(F.sum("samples").alias("n"))
     begin = F.col("block") * block + pad
     lowest = F.greatest(F.lit(0), F.ceil((begin + block - frame_length) / hop))

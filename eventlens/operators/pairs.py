@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.codes import full_code
-from eventlens.operators.calendar import StudySpec, event_windows
+from eventlens.operators.calendar import StudySpec, event_days
+from eventlens.operators.estimation import estimates
+from eventlens.session import broadcast_within, settle
+from eventlens.sources.tables import scan_bars
+
+# Days before a span in which the close before its first bar is looked for.
+LOOKBACK_DAYS = 30
 
 
 def pair_events(pairs: DataFrame, events: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Distinct pairs with their event date, instrument code and windows.
 
-    ``events`` has one row per ``ipo_id``; pairs without a dated event are
+    Pairs are the same when their full codes are, however a code is spelt;
+    codes that are no number are left out. ``events`` has one row per ``ipo_id``; pairs without a dated event are
     dropped. With ``windows`` (see ``event_windows``) the boundaries are added
     and pairs of events that lack them are dropped.
     """
     dated = (
-        pairs.groupBy("ipo_id", "rival_stkcd")
-        .agg(F.min("ipo_stkcd").alias("ipo_stkcd"))
+        pairs.withColumn("rival_fc", full_code(F.col("rival_stkcd")))
+        .dropna(subset=["rival_fc"])
+        .groupBy("ipo_id", "rival_fc")
+        .agg(F.min("ipo_stkcd").alias("ipo_stkcd"), F.min("rival_stkcd").alias("rival_stkcd"))
         .join(events.select("ipo_id", "event_date"), "ipo_id", "left")
         .dropna(subset=["event_date"])
-        .withColumn("rival_fc", full_code(F.col("rival_stkcd")))
     )
     if windows is None:
         return dated
@@ -48,7 +59,8 @@ def events_nested(pair_windows: DataFrame, target: int = 1000) -> DataFrame:
 
     An instrument with more than ``target`` events is spread over several
     rows by a hash of the event id, so no array grows with the data. ``part``
-    runs from 0 to ``n_parts - 1``.
+    runs from 0 to ``n_parts - 1``. The number of parts, a row per instrument, is
+    broadcast when shown to fit, so the events meet only after they are split.
     """
     fields = ["event_date", "ipo_id", "est1_start", "event_end"]
     parts = pair_windows.groupBy("rival_fc").agg(
@@ -56,39 +68,93 @@ def events_nested(pair_windows: DataFrame, target: int = 1000) -> DataFrame:
     )
     bucket = F.conv(F.substring(F.md5("ipo_id"), 1, 8), 16, 10).cast("bigint")
     return (
-        pair_windows.join(parts, "rival_fc")
+        pair_windows.join(broadcast_within(parts), "rival_fc")
         .groupBy("rival_fc", "n_parts", F.pmod(bucket, F.col("n_parts")).cast("int").alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("events"))
     )
 
 
-def event_rejects(pairs_dated: DataFrame, windows: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Pairs that yield no result, with the reason.
+def ticks_in_span(ticks: DataFrame, spans: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Ticks or bars of the instruments and days of ``spans`` (see ``instrument_span``).
+
+    The outer bounds are literals that reach the scan; each instrument's own
+    span is a semi-join with one row per instrument. Spans begin
+    ``lookback_days`` earlier, since the first return needs the close before it;
+    :func:`bars_in_span` cuts that part off again.
+    """
+    first, last = spans.agg(F.min("first_day"), F.max("last_day")).first()
+    if first is None:
+        return ticks.where(F.lit(False))
+    near = scan_bars(ticks, first - dt.timedelta(days=lookback_days), last)
+    return _semi_join_spans(near, spans, F.date_sub("first_day", lookback_days))
+
+
+def bars_in_span(bars: DataFrame, spans: DataFrame) -> DataFrame:
+    """Bars on the days of their instrument's span."""
+    return _semi_join_spans(bars, spans, F.col("first_day"))
+
 
-    ``no window``: the event day or one of its offsets is not in the calendar.
-    ``no data``: the rival has no tick or bar from the first to the last day
-    that its events need.
+def _semi_join_spans(rows: DataFrame, spans: DataFrame, first: Column) -> DataFrame:
+    bounds = broadcast_within(spans.select("rival_fc", first.alias("span_first"), F.col("last_day").alias("span_last")))
+    inside = F.to_date("ts").between(F.col("span_first"), F.col("span_last"))
+    return rows.join(bounds, (F.col("instrument") == F.col("rival_fc")) & inside, "left_semi")
+
+
+def pair_outcomes(
+    pairs: DataFrame,
+    events: DataFrame,
+    windows: DataFrame,
+    aligned: DataFrame,
+    calendar: DataFrame,
+    spec: StudySpec = StudySpec(),
+    min_obs: int = 2,
+) -> DataFrame:
+    """What became of every pair: ``ipo_id, rival_stkcd, rival_fc, event_date, reason``.
+
+    ``reason`` is NULL for a pair with a result, else one of ``bad code`` (the
+    rival's code is no number), ``no event`` (no date is known for the id),
+    ``no window`` (the day or an offset of it is not in the calendar), ``no data``
+    (no bar in any of the pair's own windows), ``no event bars`` (none on the days
+    of the event), ``no estimate`` (no estimation window gives a model or a
+    volume; the bars then have only NULLs). Spellings of one code are one pair.
     """
-    keys = ["rival_fc", "ipo_id", "event_date"]
-    pairs = pairs_dated.select(*keys)
-    complete = windows.select("ipo_id", "est1_start", "event_end")
-    without_window = pairs.join(complete, "ipo_id", "left_anti").withColumn("reason", F.lit("no window"))
-    usable = pairs.join(complete, "ipo_id")
-    days = ticks.select(F.col("instrument").alias("rival_fc"), F.to_date("ts").alias("day")).distinct()
-    traded = (
-        days.join(instrument_span(usable), "rival_fc")
-        .where(F.col("day").between(F.col("first_day"), F.col("last_day")))
-        .select("rival_fc")
-        .distinct()
+    coded = (
+        pairs.withColumn("rival_fc", full_code(F.col("rival_stkcd")))
+        .withColumn("spelling", F.when(F.col("rival_fc").isNull(), F.col("rival_stkcd")))
+        .groupBy("ipo_id", "rival_fc", "spelling").agg(F.min("rival_stkcd").alias("rival_stkcd"))
+    )
+    known = windows.select("ipo_id", F.lit(True).alias("has_window"))
+    dated = coded.join(events.select("ipo_id", "event_date"), "ipo_id", "left").join(known, "ipo_id", "left")
+    early = (
+        F.when(F.col("rival_fc").isNull(), "bad code")
+        .when(F.col("event_date").isNull(), "no event")
+        .when(F.col("has_window").isNull(), "no window")
     )
-    without_data = (
-        usable.select(*keys).join(traded, "rival_fc", "left_anti").withColumn("reason", F.lit("no data"))
+    judged = settle(dated.withColumn("early", early), "judged")
+    requests = judged.where("early IS NULL").select(F.col("rival_fc").alias("instrument"), "event_date").distinct()
+    fitted = estimates(aligned, calendar, requests, spec, min_obs)
+    days = requests.join(F.broadcast(event_days(calendar, spec)), "event_date")
+    met = (
+        days.join(aligned.select("instrument", "trade_date"), ["instrument", "trade_date"])
+        .groupBy("instrument", "event_date").agg(F.count(F.lit(1)).alias("event_bars"))
+    )
+    none_of = lambda test: reduce(Column.__and__, [test(k) for k in spec.numbers])
+    no_rows = none_of(lambda k: (F.col(f"n_est{k}") == 0) & (F.col(f"vol_n_est{k}") == 0))
+    no_fit = none_of(lambda k: F.col(f"alpha_est{k}").isNull() & F.col(f"vol_mean_est{k}").isNull())
+    late = (
+        fitted.join(met, ["instrument", "event_date"], "left")
+        .select(
+            F.col("instrument").alias("rival_fc"), "event_date",
+            F.when(F.col("event_bars").isNull() & no_rows, "no data")
+            .when(F.col("event_bars").isNull(), "no event bars")
+            .when(no_fit, "no estimate").alias("late"),
+        )
+    )
+    return judged.join(late, ["rival_fc", "event_date"], "left").select(
+        "ipo_id", "rival_stkcd", "rival_fc", "event_date", F.coalesce("early", "late").alias("reason"),
     )
-    return without_window.unionByName(without_data)
 
 
-def windowed_pairs(
-    pairs: DataFrame, events: DataFrame, calendar: DataFrame, spec: StudySpec = StudySpec()
-) -> DataFrame:
-    """Pairs with all window boundaries, computed once per event."""
-    return pair_events(pairs, events, event_windows(events.select("ipo_id", "event_date"), calendar, spec))
+def event_rejects(outcomes: DataFrame) -> DataFrame:
+    """Pairs of :func:`pair_outcomes` that yield no result, with the reason."""
+    return outcomes.where("reason IS NOT NULL")

@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 from eventlens.session import settle
 
 VALUE_PREFIXES = ("car_", "cav_")
-# Rows of one group that the built-in exact percentile may hold in one task.
-PERCENTILE_ROWS = 1_000_000
 
 
 def value_columns(df: DataFrame, prefixes: tuple[str, ...] = VALUE_PREFIXES) -> list[str]:
@@ -49,11 +47,11 @@ def long_values(df: DataFrame, keys: list[str | Column]) -> DataFrame:
     return df.unpivot(keys, value_columns(df), "name", "value")
 
 
-def year_stats(means: DataFrame, max_rows: int = PERCENTILE_ROWS) -> DataFrame:
+def year_stats(means: DataFrame) -> DataFrame:
     """Mean, max, min, sample deviation, 95th and 5th percentile per year and column.
 
-    ``means`` should be a stored table: its largest year is counted first, and
-    beyond ``max_rows`` percentiles are found without gathering a year in one task.
+    Percentiles are exact and interpolated; no year is gathered in one task.
+    ``means`` should be a stored table, since it is read twice.
     """
     values = value_columns(means)
     dated = means.select(F.year("event_date").alias("year"), *values).where(F.col("year").isNotNull())
@@ -65,23 +63,15 @@ def year_stats(means: DataFrame, max_rows: int = PERCENTILE_ROWS) -> DataFrame:
         F.min("value").alias("min"),
         F.stddev_samp("value").alias("std"),
     ]
-    biggest = dated.groupBy("year").count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_rows:
-        stats = rows.groupBy(*keys).agg(
-            *plain,
-            F.percentile("value", F.lit(0.95)).alias("p95"),
-            F.percentile("value", F.lit(0.05)).alias("p5"),
-        )
-    else:
-        quantiles = group_quantiles(rows, keys, "value", {"p95": 0.95, "p5": 0.05})
-        stats = rows.groupBy(*keys).agg(*plain).join(quantiles, keys, "left")
+    quantiles = group_quantiles(rows, keys, "value", {"p95": 0.95, "p5": 0.05})
+    stats = rows.groupBy(*keys).agg(*plain).join(quantiles, keys, "left")
     return stats.select("year", *parsed_name(F.col("name")), "mean", "max", "min", "std", "p95", "p5")
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int = 256
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int = 64
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of groups too large for one task.
+    """Exact linearly interpolated quantiles of groups of any size.
 
     Equal values are first counted together. Approximate quantiles cut each
     group into ``buckets`` value ranges; counts per range locate the wanted

@@ -31,7 +31,7 @@ def lexicon_flags(lexicon: DataFrame) -> DataFrame:
 
 
 def _flagged_tokens(
-    segments: DataFrame, lexicon: DataFrame, tokenizer: str | Callable[[Column], Column]
+    segments: DataFrame, flags: DataFrame, tokenizer: str | Callable[[Column], Column]
 ) -> DataFrame:
     """Tokens of every segment with lexicon flags; at least one row per segment.
 
@@ -43,7 +43,7 @@ def _flagged_tokens(
     exploded = segments.select(
         "file_stem", chars.alias("chars"), F.posexplode_outer(tokens(text, tokenizer)).alias("pos", "word")
     ).select("file_stem", "word", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("chars")).alias("chars"))
-    return exploded.join(broadcast_within(lexicon_flags(lexicon)), "word", "left")
+    return exploded.join(flags, "word", "left")
 
 
 def _tone_sums() -> list[Column]:
@@ -72,7 +72,8 @@ def lexicon_tone(
 ) -> DataFrame:
     """Category shares and tone per recording; all 0.0 when it has no token."""
     summed = (
-        _flagged_tokens(segments, lexicon, tokenizer).groupBy("file_stem").agg(*_tone_sums())
+        _flagged_tokens(segments, broadcast_within(lexicon_flags(lexicon)), tokenizer)
+        .groupBy("file_stem").agg(*_tone_sums())
     )
     return summed.select("file_stem", *_tone_ratios(), "total_words", F.lit(LEXICON_METHOD).alias("method"))
 
@@ -110,12 +111,15 @@ def verbal_features(
     """All verbal columns per recording, with an error text for blank transcripts.
 
     The lexicon is used unless it is empty; the polarity score is then used
-    instead. Counting characters and tokens is one pass with one shuffle.
+    instead. Counting characters and tokens is one pass with one shuffle. The
+    lexicon is stored first, so that looking whether it is empty and joining it
+    compute it once.
     """
+    flags = broadcast_within(lexicon_flags(lexicon))
     measures = ["positive_ratio", "negative_ratio", "uncertain_ratio", "tone_score"]
-    if not lexicon.isEmpty():
+    if not flags.isEmpty():
         summed = (
-            _flagged_tokens(segments, lexicon, tokenizer)
+            _flagged_tokens(segments, flags, tokenizer)
             .groupBy("file_stem")
             .agg(*_tone_sums(), F.coalesce(F.sum("chars"), F.lit(0)).alias("total_chars"))
             .select("file_stem", *_tone_ratios(), "total_words", "total_chars")

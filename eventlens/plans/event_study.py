@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.codes import full_code
 from eventlens.operators.abnormal import abnormal_bars
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows
 from eventlens.operators.cuts import CutSpec, window_cuts_wide
-from eventlens.operators.pairs import event_rejects, global_span, pair_events
+from eventlens.operators.pairs import (
+    bars_in_span,
+    event_rejects,
+    instrument_span,
+    pair_events,
+    pair_outcomes,
+    ticks_in_span,
+)
 from eventlens.operators.rollup import rival_mean, year_stats
-from eventlens.operators.selection import keep_first, pending_items
-from eventlens.session import settle
+from eventlens.operators.selection import keep_first
+from eventlens.plans.resume import pending_filter
+from eventlens.session import scratch_scope, settle
 from eventlens.sources.sinks import sink_append, sink_overwrite
-from eventlens.sources.tables import scan_bars
+from eventlens.sources.tables import read_event_bars
 
 MARKET = "SH000300"
 FREQ = "5 minutes"
@@ -40,19 +49,21 @@ def study_event_bars(
     spec: StudySpec = StudySpec(),
     freq: str = FREQ,
     volume_method: str = "diff",
+    min_obs: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """Abnormal returns and volumes per event bar, and the rejected pairs.
 
-    Ticks outside the days any event needs are not read. ``market`` holds bars
-    with returns of the index.
+    Only the instruments of ``pairs`` are read, each over the days its own
+    events need. ``market`` holds bars with returns of the index.
     """
     windows = settle(event_windows(events.select("ipo_id", "event_date"), calendar, spec), "windows")
-    first, last = global_span(windows)
-    needed = scan_bars(ticks, first, last)
-    aligned = settle(align_market(returns_from_ticks(needed, freq), market), "aligned")
-    paired = pair_events(pairs, events, windows)
-    results = abnormal_bars(aligned, calendar, paired, spec, volume_method)
-    return results, event_rejects(pair_events(pairs, events), windows, needed)
+    paired = settle(pair_events(pairs, events, windows), "paired")
+    spans = settle(instrument_span(paired), "spans")
+    bars = bars_in_span(returns_from_ticks(ticks_in_span(ticks, spans), freq), spans)
+    aligned = settle(align_market(bars, market), "aligned")
+    results = abnormal_bars(aligned, calendar, paired, spec, volume_method, min_obs)
+    outcomes = pair_outcomes(pairs, events, windows, aligned, calendar, spec, min_obs)
+    return results, event_rejects(outcomes)
 
 
 def run_event_study(
@@ -67,27 +78,30 @@ def run_event_study(
     cut: CutSpec = CutSpec(),
     freq: str = FREQ,
     resume: bool = False,
+    volume_method: str = "diff",
+    min_obs: int = 2,
 ) -> dict[str, str]:
     """Run the study and write its tables; returns their paths by name.
 
     Each stage is read back from its table, so a lost executor repeats no
-    earlier stage. With ``resume`` pairs already in the output are skipped and
-    new results are appended.
+    earlier stage; tables made on the way are removed at the end. With
+    ``resume`` pairs already in the output are skipped and new results are
+    appended; where there is no output yet, it is a first run.
     """
     spark = ticks.sparkSession
     names = ("event_bars", "rejects", "event_windows", "event_windows_mean", "year_stats")
     paths = {name: f"{output.rstrip('/')}/{name}" for name in names}
-    events = first_events(index)
-    if resume:
-        done = spark.read.parquet(paths["event_bars"]).select("ipo_id", "rival_fc")
-        coded = pair_events(pairs, events)
-        pairs = pending_items(coded, done, ["ipo_id", "rival_fc"]).select(*pairs.columns)
-    bars, rejects = study_event_bars(ticks, market, calendar, pairs, events, spec, freq)
-    (sink_append if resume else sink_overwrite)(bars, paths["event_bars"])
-    sink_overwrite(rejects, paths["rejects"])
-    wide = window_cuts_wide(spark.read.parquet(paths["event_bars"]), times, cut)
-    sink_overwrite(wide, paths["event_windows"])
-    sink_overwrite(rival_mean(spark.read.parquet(paths["event_windows"])), paths["event_windows_mean"])
-    sink_overwrite(year_stats(spark.read.parquet(paths["event_windows_mean"])), paths["year_stats"])
+    with scratch_scope(spark):
+        events = settle(first_events(index), "events")
+        if resume:
+            coded = pairs.withColumn("rival_fc", full_code(F.col("rival_stkcd")))
+            pending = pending_filter(spark, paths["event_bars"], ["ipo_id", "rival_fc"])
+            pairs = pending(coded).select(*pairs.columns)
+        bars, rejects = study_event_bars(ticks, market, calendar, pairs, events, spec, freq, volume_method, min_obs)
+        (sink_append if resume else sink_overwrite)(bars, paths["event_bars"])
+        sink_overwrite(rejects, paths["rejects"])
+        wide = window_cuts_wide(read_event_bars(spark, paths["event_bars"]), times, cut)
+        sink_overwrite(wide, paths["event_windows"])
+        sink_overwrite(rival_mean(spark.read.parquet(paths["event_windows"])), paths["event_windows_mean"])
+        sink_overwrite(year_stats(spark.read.parquet(paths["event_windows_mean"])), paths["year_stats"])
     return paths
-

@@ -20,12 +20,11 @@ from eventlens.operators.frames import (
     voiced_pitch_stats,
 )
 from eventlens.operators.scoring import KEY, score_summary
-from eventlens.operators.selection import pending_items
 from eventlens.operators.verbal import speech_rate, verbal_features
 from eventlens.plans.pitch import PitchResult, pitch_factor
-from eventlens.session import settle
+from eventlens.plans.resume import pending_filter
 from eventlens.sources.sinks import sink_append, sink_overwrite
-from eventlens.sources.tables import finished_keys, read_modality
+from eventlens.sources.tables import read_modality
 
 NO_PITCH_ERROR = "no pitch frames"
 
@@ -56,18 +55,6 @@ def vocal_features(
     )
 
 
-def pending_filter(spark: SparkSession, output: str, fmt: str = "parquet") -> Callable[[DataFrame], DataFrame]:
-    """A filter for rows of recordings that the output does not hold yet."""
-    try:
-        done = finished_keys(spark, output, [KEY], fmt)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return lambda rows: rows
-    stored = settle(done, "done")
-    return lambda rows: pending_items(rows, stored, [KEY])
-
-
 def run_verbal(
     segments: DataFrame,
     lexicon: DataFrame,
@@ -76,19 +63,19 @@ def run_verbal(
     score: Column | None = None,
 ) -> None:
     """Append verbal features of new recordings."""
-    pending = pending_filter(segments.sparkSession, output)(segments)
+    pending = pending_filter(segments.sparkSession, output, [KEY])(segments)
     sink_append(verbal_features(pending, lexicon, tokenizer, score), output)
 
 
 def run_visual(frame_labels: DataFrame, output: str, sample_fps: float = SAMPLE_FPS, method: str = "labels") -> None:
     """Append label ratios of new recordings."""
-    pending = pending_filter(frame_labels.sparkSession, output)(frame_labels)
+    pending = pending_filter(frame_labels.sparkSession, output, [KEY])(frame_labels)
     sink_append(label_ratios(every_kth_sample(pending, sample_fps), method), output)
 
 
 def run_vocal(signal: DataFrame, pitch_frames: DataFrame, output: str, segments: DataFrame | None = None) -> None:
     """Append vocal features of new recordings."""
-    keep = pending_filter(signal.sparkSession, output)
+    keep = pending_filter(signal.sparkSession, output, [KEY])
     talk = None if segments is None else keep(segments)
     sink_append(vocal_features(keep(pitch_frames), keep(signal), talk), output)
 
@@ -102,12 +89,19 @@ def run_pitch(
 ) -> tuple[PitchResult, DataFrame]:
     """Score recordings from stored feature tables, write scores and summarise them.
 
-    Tables are given as frames or as parquet paths; vocal and verbal must exist.
+    Tables are given as frames or as parquet paths; vocal and verbal must exist,
+    a visual table whose path does not is left out.
     """
 
     def load(table: DataFrame | str) -> DataFrame:
         return read_modality(SparkSession.active(), table) if isinstance(table, str) else table
 
-    result = pitch_factor(load(vocal), load(verbal), None if visual is None else load(visual), n_components)
+    try:
+        seen = None if visual is None else load(visual)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        seen = None
+    result = pitch_factor(load(vocal), load(verbal), seen, n_components)
     sink_overwrite(result.scores, output)
     return result, score_summary(result.scores)

@@ -25,7 +25,12 @@ BARS = T.StructType(
 )
 SEGMENT = _struct(start=_D, end=_D, text=_S)
 TRANSCRIPT = T.StructType(
-    [T.StructField("file_stem", _S), T.StructField("segments", T.ArrayType(SEGMENT))]
+    [
+        T.StructField("file_stem", _S),
+        # number of the document's first segment in its recording, 0 when absent
+        T.StructField("first_segment", T.IntegerType()),
+        T.StructField("segments", T.ArrayType(SEGMENT)),
+    ]
 )
 CALENDAR_FILE = T.StructType([T.StructField("workdays", T.ArrayType(_S))])
 EVENT_BARS = _struct(

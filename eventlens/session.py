@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a lookup side may have before it is joined by shuffle instead. A market
-# series of ten years of five-minute bars is about 120,000 rows.
-BROADCAST_ROWS = 2_000_000
+# Bytes a lookup side may have before it is joined by shuffle instead. A market
+# series of ten years of five-minute bars is about 120,000 rows, or 2 MB.
+BROADCAST_BYTES = 64 << 20
+# Counted for a value without a fixed size: text, arrays, structs.
+_VARIABLE_BYTES = 48
 
 
 def build_session(app: str = "eventlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,16 +58,40 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside when the block ends.
+
+    For jobs that write their results: a frame that still reads a scratch table
+    must not leave the block.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            place = hadoop(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -86,12 +116,18 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` is shown to have at most ``max_rows`` rows.
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in memory, about: 8 per number, more for text and nested values."""
+    fixed = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return sum(8 if isinstance(f.dataType, fixed) else _VARIABLE_BYTES for f in df.schema.fields)
+
+
+def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when ``df`` is shown to have about ``max_bytes`` at most.
 
     The frame is settled first, so that counting and joining read one stored
-    copy; the count comes from file footers. Beyond the bound it is returned
-    without a hint and joined by shuffle.
+    copy whichever way it is joined; the count comes from file footers. Beyond
+    the bound it is returned without a hint and joined by shuffle.
     """
     stored = settle(df, "lookup")
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    return F.broadcast(stored) if stored.count() * row_bytes(df) <= max_bytes else stored

@@ -37,7 +37,7 @@ def event_times(raw: DataFrame, order: list[str | Column] | None = None) -> Data
     """Start and end of each event as text and as minutes of the day, one row per id.
 
     Of several rows of an id the first is kept, by date and then by the times
-    unless another order is given.
+    (a row without times comes last) unless another order is given.
     """
     dated = raw.select(
         "ipo_id",
@@ -45,7 +45,7 @@ def event_times(raw: DataFrame, order: list[str | Column] | None = None) -> Data
         F.substring("start_time", 1, 5).alias("roadshow_start"),
         F.substring("end_time", 1, 5).alias("roadshow_end"),
     ).where(F.col("roadshow_date").isNotNull())
-    first = keep_first(dated, ["ipo_id"], order or ["roadshow_date", "roadshow_start", "roadshow_end"])
+    first = keep_first(dated, ["ipo_id"], order or ["roadshow_date", *[F.asc_nulls_last(f"roadshow_{c}") for c in ("start", "end")]])
     return first.select(
         "*",
         parse_hhmm(F.col("roadshow_start")).alias("start_minute"),
