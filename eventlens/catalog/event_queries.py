@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +13,28 @@ from eventlens.catalog.registry import query, r6, rounded
 from eventlens.functions.codes import full_code, padded_code, venue
 from eventlens.functions.times import parse_hhmm
 from eventlens.operators import bars as bar_ops
-from eventlens.operators import cuts, estimation, pairs, rollup, selection
+from eventlens.operators import abnormal, cuts, estimation, pairs, rollup, selection
 from eventlens.operators.calendar import nth_trading_day as offset_days
+from eventlens.plans.event_study import run_event_study
 from eventlens.session import scratch_path, settle
 from eventlens.sources import sinks, tables
 
 # --- scans -------------------------------------------------------------------
 
 
+def _sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The event sheet written as CSV under its own headers, and read again."""
+    path = scratch_path(spark, "sheet")
+    headers = {name: header for header, name in tables.EVENT_HEADERS.items()}
+    fx.raw_index(spark, d).withColumnsRenamed(headers).write.option("header", True).csv(path)
+    return tables.read_event_sheet(spark, path)
+
+
 @query(f"""WITH {fx.SQL_RAW_INDEX}
 SELECT ipo_id, ipo_stkcd AS ipo_stkcd_raw, TRY_CAST(roadshow_date AS DATE) AS roadshow_date
 FROM raw_index WHERE TRY_CAST(roadshow_date AS DATE) IS NOT NULL""")
 def event_index(spark: SparkSession, d: str) -> DataFrame:
-    return tables.event_index(fx.raw_index(spark, d))
+    return tables.event_index(_sheet(spark, d))
 
 
 _MINUTE = """CASE WHEN length({c}) >= 5
@@ -43,7 +53,7 @@ SELECT ipo_id, roadshow_date, roadshow_start, roadshow_end,
   {_MINUTE.format(c='roadshow_start')} AS start_minute, {_MINUTE.format(c='roadshow_end')} AS end_minute
 FROM u WHERE rn = 1""")
 def event_times(spark: SparkSession, d: str) -> DataFrame:
-    return tables.event_times(fx.raw_index(spark, d))
+    return tables.event_times(_sheet(spark, d))
 
 
 @query(f"""WITH {fx.SQL_RAW_EVENTS}
@@ -332,6 +342,27 @@ def volume_baseline(spark: SparkSession, d: str) -> DataFrame:
     return rounded(estimation.volume_baseline(s.study_aligned, s.calendar, requests, fx.SPEC))
 
 
+@query(f"""WITH {fx.SQL_ESTIMATION}
+SELECT a.instrument, c.event_date, a.ts, {r6(*[f'ar_est{k}=ret - (alpha_est{k} + beta_est{k} * market_return)' for k in fx.SPEC.numbers])}
+FROM (SELECT DISTINCT rival_fc, event_date, event_start, event_end FROM pw) r
+JOIN coef c ON c.instrument = r.rival_fc AND c.event_date = r.event_date
+JOIN al a ON a.instrument = r.rival_fc AND a.trade_date BETWEEN r.event_start AND r.event_end""")
+def modelled_returns(spark: SparkSession, d: str) -> DataFrame:
+    """A user's model that happens to be the market model gives its returns."""
+    s = fx.Study(spark, d)
+    requests = s.paired.withColumnRenamed("rival_fc", "instrument")
+    return rounded(abnormal.modelled_returns(s.study_aligned, s.calendar, requests, _least_squares, fx.SPEC))
+
+
+def _least_squares(estimation: pd.DataFrame, event: pd.DataFrame) -> pd.Series:
+    known = estimation.dropna(subset=["return", "market_return"])
+    x = known["market_return"] - known["market_return"].mean()
+    if len(known) < 2 or known["market_return"].nunique() < 2:
+        return pd.Series(float("nan"), index=event.index)
+    beta = (x * known["return"]).sum() / (x * x).sum()
+    return known["return"].mean() + beta * (event["market_return"] - known["market_return"].mean())
+
+
 _ROW = 'ipo_id, rival_fc, event_date, "timestamp"'
 
 
@@ -418,7 +449,9 @@ _MEAN = f"""{_WIDE}, mean AS (
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     s = fx.Study(spark, d)
-    return cuts.window_cuts_wide(s.event_bars, s.events, fx.CUT)
+    path = scratch_path(spark, "event_bars")
+    sinks.sink_overwrite(s.event_bars, path)
+    return cuts.window_cuts_wide(tables.read_event_bars(spark, path), s.events, fx.CUT)
 
 
 @query(f"WITH {_WIDE} SELECT {_KEYS}, {r6(*_CUT_COLUMNS)} FROM wide")
@@ -462,6 +495,20 @@ def year_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rollup.year_stats(means))
 
 
+@query(f"WITH {_MEAN} SELECT ipo_id, event_date, {r6(*_CUT_COLUMNS)} FROM mean")
+def event_study_job(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job in two runs, the second for the pairs the first left out."""
+    s = fx.Study(spark, d)
+    output = scratch_path(spark, "study")
+    index = s.events.select("ipo_id", F.col("event_date").alias("roadshow_date"))
+    half = s.spelt_pairs.where(F.substring("ipo_id", -1, 1) < "5")
+    for some in (half, s.spelt_pairs):
+        paths = run_event_study(
+            fx.ticks(spark, d), s.market, s.calendar, some, index, s.events, output, fx.SPEC, fx.CUT, fx.FREQ, resume=True
+        )
+    return rounded(spark.read.parquet(paths["event_windows_mean"]))
+
+
 # --- sinks -------------------------------------------------------------------
 
 

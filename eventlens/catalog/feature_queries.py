@@ -40,6 +40,24 @@ def incremental_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(output)
 
 
+@query("""SELECT '{"file_stem": "C' || conv_id || '", "segments": [' ||
+  CASE conv_id % 10 WHEN 3 THEN '{"start": 1.0' ELSE '{"start": "abc", "end": 2.0, "text": "x"}]}' END AS record,
+  'unreadable transcript' AS error
+FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 10 IN (3, 7)""")
+def transcript_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents spoiled on writing, among readable ones."""
+    path = scratch_path(spark, "spoiled")
+    ids = fx.table(spark, d, "conversations").select("conv_id").distinct()
+    head = F.concat(F.lit('{"file_stem": "C'), "conv_id", F.lit('", "segments": ['))
+    tail = (
+        F.when(F.col("conv_id") % 10 == 3, '{"start": 1.0')
+        .when(F.col("conv_id") % 10 == 7, '{"start": "abc", "end": 2.0, "text": "x"}]}')
+        .otherwise('{"start": 1.0, "end": 2.0, "text": "x"}]}')
+    )
+    ids.select(F.concat(head, tail).alias("value")).write.text(path)
+    return transcript_source.transcript_rejects(spark, path).select("record", "error")
+
+
 @query(f"WITH {fx.SQL_WORDS}, {fx.SQL_LEXICON} SELECT category, word FROM lex")
 def lexicon_scan(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch_path(spark, "lexicon")
@@ -104,6 +122,29 @@ def verbal_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(verbal.verbal_features(fx.segments(spark, d), fx.lexicon(spark, d), "word"))
 
 
+@query(f"""WITH {fx.SQL_SEGMENTS}, av AS (
+  SELECT file_stem, (avg((length(text) % 11) / 10) - 0.5) * 2 AS tone, count(*) AS n,
+    sum(length(replace(trim(text, E' \\t\\n\\r'), ' ', ''))) AS chars FROM seg GROUP BY file_stem)
+SELECT file_stem, {r6('positive_ratio=greatest(0.0, tone)', 'negative_ratio=greatest(0.0, -tone)')},
+  CAST(NULL AS DOUBLE) AS uncertain_ratio, {r6('tone_score=tone')}, n AS total_words,
+  CAST(chars AS BIGINT) AS total_chars, 'snownlp' AS method, '' AS error FROM av""")
+def verbal_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """With an empty lexicon a score takes over, here from a pandas UDF."""
+    empty = fx.lexicon(spark, d).where(F.lit(False))
+    score = F.pandas_udf(lambda texts: (texts.str.len() % 11) / 10, "double")
+    return rounded(verbal.verbal_features(fx.segments(spark, d), empty, "word", score(F.col("text"))))
+
+
+@query(f"""WITH tk AS (
+  SELECT doc_id, unnest(string_split(lower({fx.SQL_CLEAN.format(t='text')}), ' ')) AS word FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS file_stem, count(*) AS n FROM tk WHERE word <> '' GROUP BY doc_id""")
+def tokenizer_udf(spark: SparkSession, d: str) -> DataFrame:
+    """A user's own tokenizer in the place of a word segmenter."""
+    split = F.pandas_udf(lambda texts: texts.str.lower().str.split(), "array<string>")
+    words = F.explode(text.tokens(F.col("text"), split)).alias("word")
+    return fx.document_segments(spark, d).select("file_stem", words).groupBy("file_stem").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {fx.SQL_SEGMENTS}
 SELECT file_stem, {r6('''speech_rate=sum(length(trim(text, E' \\t\\n\\r'))) / sum(greatest(0, "end" - "start"))''')}
 FROM seg GROUP BY file_stem""")
@@ -171,6 +212,17 @@ def modality_join(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_matrix(spark, d))
 
 
+@query(f"""WITH {fx.SQL_SIGNAL}, {fx.SQL_WORDS}, {fx.SQL_LEXICON}, {fx.SQL_TONE},
+va AS (SELECT pit.*, rms_mean, rms_std FROM pit JOIN rms USING (file_stem) WHERE CAST(file_stem AS BIGINT) % 3 <> 0)
+SELECT file_stem, {r6('vocal_f0_mean=f0_mean', 'vocal_f0_std=f0_std', 'vocal_rms_mean=rms_mean', 'vocal_rms_std=rms_std')},
+  CAST(NULL AS DOUBLE) AS vocal_speech_rate, {r6(*[f'verbal_{c}={c}' for c in _TONE])}
+FROM va FULL JOIN ton USING (file_stem)""")
+def modality_join_outer(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings with one modality only, and no visual table at all."""
+    heard = fx.vocal(spark, d).where(F.col("file_stem").cast("bigint") % 3 != 0)
+    return rounded(scoring.modality_join(heard, fx.verbal(spark, d), None, min_vocal=False))
+
+
 _KEPT = [c for c in fx.MATRIX_COLUMNS if c != "vocal_speech_rate"]
 
 

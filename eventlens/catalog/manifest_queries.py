@@ -9,10 +9,10 @@ from eventlens.catalog import fixtures as fx
 from eventlens.catalog.registry import query
 from eventlens.operators import manifest
 from eventlens.session import scratch_path
-from eventlens.sources import media
+from eventlens.sources import media, tables
 
 PLATFORMS = manifest.PLATFORMS
-# securities of the segmented platform, the last one without a rule
+# Securities of the segmented platform; the last one has no rule.
 _LISTED = ["001217", "301000", "301022", "301093", "301149", "301180", "301230", "301161", "300999"]
 
 
@@ -72,7 +72,11 @@ _SQL_TASKS = f"""{_SQL_PAGES}, task AS (
 
 @query(f"WITH {_SQL_TASKS} SELECT * FROM task")
 def platform_pick(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.platform_pick(_index(spark, d))
+    path = scratch_path(spark, "media_sheet")
+    headers = {name: header for header, name in tables.MEDIA_HEADERS.items()}
+    _index(spark, d).withColumnsRenamed(headers).write.option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return manifest.platform_pick(tables.read_sheet(spark, path, tables.MEDIA_HEADERS))
 
 
 def _audio(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +98,15 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
     return manifest.manifest_check(picked, _audio(spark, d))
 
 
+@query(f"""WITH {_SQL_TASKS}, f AS (
+  SELECT DISTINCT index2009 || '_' || code || '_' || date || '.wav' AS name FROM pg WHERE page_id % 3 <> 0)
+SELECT count(*) AS total, count(f.name) AS valid
+FROM task LEFT JOIN f ON f.name = index2009 || '_' || code || '_' || date || '.wav'""")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    checked = manifest.manifest_check(manifest.platform_pick(_index(spark, d)), _audio(spark, d))
+    return manifest.manifest_counts(checked)
+
+
 @query(f"""WITH {_SQL_PAGES}, f AS (
   SELECT 'C' || (page_id % 97) AS file_stem, platform, page_id % 5 AS rank FROM pg WHERE length(url) % 3 <> 0),
 best AS (SELECT file_stem, min(rank) AS rank FROM f GROUP BY file_stem),

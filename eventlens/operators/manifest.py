@@ -125,6 +125,24 @@ def _expected(rule: SegmentRule) -> Column:
     return F.least(F.lit(rule.max_segment), F.col("video_number"))
 
 
+# Characters of a date that name files are met by; a shorter date meets all files of its code.
+_DATE_KEY = 8
+
+
+def _candidates(lookups: DataFrame, listed: DataFrame) -> DataFrame:
+    """Files of the code of each lookup whose name has a part that begins like its date.
+
+    Without a date of full length, such as on the platform that has none, only
+    platform and code are compared.
+    """
+    tokens = F.array_distinct(F.transform(F.split("name", "_"), lambda t: F.substring(t, 1, _DATE_KEY)))
+    keyed = listed.withColumn("day", F.explode(tokens))
+    long = F.length("date") >= _DATE_KEY
+    by_day = lookups.where(long).withColumn("day", F.substring("date", 1, _DATE_KEY))
+    found = by_day.join(keyed, ["platform", "code", "day"]).drop("day")
+    return found.unionByName(lookups.where(~long).join(listed, ["platform", "code"]))
+
+
 def segment_plan(
     manifest: DataFrame, files: DataFrame, rules: tuple[SegmentRule, ...] = SEGMENT_RULES
 ) -> DataFrame:
@@ -151,7 +169,10 @@ def segment_plan(
         "name",
         F.regexp_extract("name", f"{SEGMENT_MARK}(\\d+)", 1).alias("segment_text"),
     ).where(F.col("name").endswith(".mp4"))
-    joined = tasks.join(listed, ["platform", "code"], "left")
+    # what is found depends on these alone, so events that share them are looked up once
+    lookup_keys = ["platform", "code", "date", "top"]
+    lookups = tasks.select("platform", "code", "date", F.coalesce("max_segment", F.lit(-1)).alias("top")).distinct()
+    joined = _candidates(lookups, listed)
     # what follows "{code}_" must hold "_{date}", for segments right before the mark
     rest = F.col("name").substr(F.length("code") + 2, F.length("name"))
     dated = F.concat(F.lit("_"), F.col("date"))
@@ -159,21 +180,22 @@ def segment_plan(
     is_segment = (
         F.contains(rest, F.concat(dated, F.lit(SEGMENT_MARK)))
         & (number.cast("string") == F.col("segment_text"))
-        & number.between(1, F.col("max_segment"))
+        & number.between(1, F.col("top"))
     )
     is_single = F.contains(rest, dated) & ~F.contains("name", F.lit(PROMO_MARK))
-    slot = F.when(F.col("max_segment").isNull(), F.when(is_single, 1)).otherwise(
-        F.when(is_segment, number)
+    slot = F.when(F.col("top") < 0, F.when(is_single, 1)).otherwise(F.when(is_segment, number))
+    # one row per lookup and segment number, so at most max_segment rows are listed
+    slots = (
+        joined.withColumn("slot", slot).where("slot IS NOT NULL")
+        .groupBy(*lookup_keys, "slot").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("candidates"))
     )
-    columns = [*keys, "max_segment", "ascending", "expected"]
-    # one row per event and segment number, so at most max_segment rows are listed
-    slots = joined.groupBy(*columns, slot.alias("slot")).agg(
-        F.min("path").alias("path"), F.count(F.lit(1)).alias("candidates")
+    listings = slots.groupBy(*lookup_keys).agg(
+        F.sort_array(F.collect_list(F.struct("slot", "path"))).alias("parts"), F.sum("candidates").alias("candidates")
     )
-    filled = F.col("slot").isNotNull()
-    listing = F.sort_array(F.collect_list(F.when(filled, F.struct("slot", "path"))))
-    planned = slots.groupBy(*columns).agg(
-        listing.alias("parts"), F.coalesce(F.sum(F.when(filled, F.col("candidates"))), F.lit(0)).alias("candidates")
+    planned = (
+        tasks.withColumn("top", F.coalesce("max_segment", F.lit(-1))).join(listings, lookup_keys, "left")
+        .withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<slot:int,path:string>>")))
+        .withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("bigint"))
     )
     ordered = F.when(F.col("ascending"), F.col("parts")).otherwise(F.reverse("parts"))
     found = F.when(F.col("max_segment").isNull(), F.col("candidates")).otherwise(F.size("parts"))

@@ -15,14 +15,6 @@ _TS, _DATE = T.TimestampNTZType(), T.DateType()
 EVENT_INDEX = _struct(ipo_id=_S, ipo_stkcd=_S, roadshow_date=_S, start_time=_S, end_time=_S)
 PAIRS = _struct(ipo_id=_S, ipo_stkcd=_S, rival_stkcd=_S)
 TICKS = _struct(instrument=_S, ts=_TS, tick_id=_L, price=_D, size=_D)
-BARS = T.StructType(
-    [
-        T.StructField("instrument", _S),
-        T.StructField("ts", _TS),
-        T.StructField("return", _D),
-        T.StructField("volume", _D),
-    ]
-)
 SEGMENT = _struct(start=_D, end=_D, text=_S)
 TRANSCRIPT = T.StructType(
     [

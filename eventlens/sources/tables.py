@@ -24,6 +24,33 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
+# Headers of the event sheet and the name of each column here.
+EVENT_HEADERS = {
+    "INDEX2009": "ipo_id", "Stkcd": "ipo_stkcd", "日期": "roadshow_date", "开始时间": "start_time", "结束时间": "end_time",
+}
+# Headers of the media sheet; its other columns keep their names.
+MEDIA_HEADERS = {"INDEX2009": "index2009", "采用视频平台": "platform"}
+
+
+def read_sheet(spark: SparkSession, path: str, headers: dict[str, str], fmt: str = "csv") -> DataFrame:
+    """A sheet saved as CSV with its own headers, or as parquet: all columns text, renamed.
+
+    Headers are matched by name, blanks around them set aside; a missing one raises.
+    """
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    raw = reader.format(fmt).load(path)
+    named = {c.strip().lstrip("\ufeff"): c for c in raw.columns}
+    missing = [h for h in headers if h not in named]
+    if missing:
+        raise ValueError(f"the sheet has no column {missing}")
+    return raw.select(*[F.col(f"`{c}`").cast("string").alias(headers.get(h, h)) for h, c in named.items()])
+
+
+def read_event_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The event sheet under the names of ``schemas.EVENT_INDEX``, for the two functions below."""
+    return read_sheet(spark, path, EVENT_HEADERS, fmt).select(*schemas.EVENT_INDEX.names)
+
+
 def event_index(raw: DataFrame) -> DataFrame:
     """``ipo_id, ipo_stkcd_raw, roadshow_date`` of rows whose date can be read."""
     return raw.select(

@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens import schemas
-from eventlens.sources.transcripts import transcript_segments, with_stem
+from eventlens.sources.transcripts import CORRUPT, READ_SCHEMA, rejects, transcript_segments, with_stem
 
 
 def transcript_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Stream of transcripts from JSON files as they arrive in a folder."""
-    raw = (
-        spark.readStream.schema(schemas.TRANSCRIPT)
+    """Stream of readable transcripts from JSON files as they arrive in a folder."""
+    return with_stem(_raw_stream(spark, folder, max_files))
+
+
+def reject_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Stream of the documents that ``transcript_stream`` leaves out, with the error."""
+    return rejects(_raw_stream(spark, folder, max_files))
+
+
+def _raw_stream(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
+    return (
+        spark.readStream.schema(READ_SCHEMA)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("maxFilesPerTrigger", max_files)
         .json(folder)
     )
-    return with_stem(raw)
 
 
 def process_new_transcripts(
@@ -27,21 +35,27 @@ def process_new_transcripts(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = transcript_segments,
     max_files: int = 1000,
+    rejected: str | None = None,
 ) -> None:
     """Apply a row-wise transform to files not seen before and append the result.
 
     All waiting files are worked through and the call returns. Progress is
-    kept in ``checkpoint``, so a rerun or a restart repeats no file.
+    kept in ``checkpoint``, so a rerun or a restart repeats no file. Unreadable
+    documents are appended to ``rejected`` if it is given, with progress of
+    their own beside the other.
     """
-    query = (
-        transform(transcript_stream(spark, folder, max_files))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .option("path", output)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    jobs = [(transform(transcript_stream(spark, folder, max_files)), output, checkpoint)]
+    if rejected:
+        jobs.append((reject_stream(spark, folder, max_files), rejected, f"{checkpoint.rstrip('/')}-rejected"))
+    for rows, path, progress in jobs:
+        query = (
+            rows.writeStream.format("parquet")
+            .option("checkpointLocation", progress)
+            .option("path", path)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
 
 def process_new_batches(

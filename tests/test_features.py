@@ -15,7 +15,7 @@ from eventlens.plans.pitch import pitch_factor
 from eventlens.session import scratch_path
 from eventlens.sources import media, sinks, tables
 from eventlens.sources.lexicon import read_lexicon
-from eventlens.sources.transcripts import read_transcripts, transcript_segments
+from eventlens.sources.transcripts import read_transcripts, transcript_rejects, transcript_segments
 from eventlens.streaming.transcripts import process_new_batches, process_new_transcripts
 
 SEGMENTS = "file_stem string, seg_no int, start double, end double, text string"
@@ -98,6 +98,66 @@ def test_voiced_pitch(spark):
     df = spark.createDataFrame([("a", 50.0), ("a", 100.0), ("a", 200.0), ("b", 10.0)], "file_stem string, f0 double")
     got = {k: tuple(r)[1:] for k, r in by_stem(frames.voiced_pitch_stats(df)).items()}
     assert got == {"a": (150.0, 50.0), "b": (0.0, 0.0)}
+    unvoiced = spark.createDataFrame([("a", float("nan")), ("c", float("nan"))], "file_stem string, f0 double")
+    got = {k: tuple(r)[1:] for k, r in by_stem(frames.voiced_pitch_stats(df.union(unvoiced))).items()}
+    assert got == {"a": (150.0, 50.0), "b": (0.0, 0.0), "c": (0.0, 0.0)}
+
+
+def test_samples_may_come_in_arrays_and_are_read_once(spark, tmp_path):
+    x = [float(i % 7) for i in range(40)]
+    single = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "file_stem string, sample_idx long, x double")
+    chunks = spark.createDataFrame([("a", 0, x[:15]), ("a", 15, x[15:])], "file_stem string, sample_idx long, x array<double>")
+    shape = dict(rate=10, hop=4, frame_length=8)
+    one, other = (frames.frame_rms_stats(df, **shape).first() for df in (single, chunks))
+    assert tuple(one)[1:] == pytest.approx(tuple(other)[1:])
+    single.write.parquet(str(tmp_path / "x"))
+    plan = frames.frame_rms_stats(spark.read.parquet(str(tmp_path / "x")), **shape)._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "x") not in plan
+
+
+def test_broken_transcripts_are_rejected_and_stems_decoded(spark, tmp_path):
+    folder = tmp_path / "text"
+    folder.mkdir()
+    good = json.dumps({"segments": [{"start": 0, "end": 1, "text": "hi"}]})
+    (folder / "rec 1+2%.json").write_text(good)
+    (folder / "part.json").write_text('{"segments": [{"start": 1\n{"segments": [{"start": "abc"}]}\n')
+    got = read_transcripts(spark, str(folder)).collect()
+    assert [(r.file_stem, len(r.segments)) for r in got] == [("rec 1+2%", 1)]
+    lost = transcript_rejects(spark, str(folder)).collect()
+    assert [r.file_stem for r in lost] == ["part", "part"] and all(r.error == "unreadable transcript" for r in lost)
+    out, bad, progress = (str(tmp_path / n) for n in ("out", "bad", "progress"))
+    for _ in range(2):
+        process_new_transcripts(spark, str(folder), out, progress, rejected=bad)
+    assert [r.file_stem for r in spark.read.parquet(out).collect()] == ["rec 1+2%"]
+    assert spark.read.parquet(bad).count() == 2
+
+
+def test_documents_of_one_recording_are_put_together(spark):
+    rows = [("a", 0, [(0.0, 1.0, "x"), (1.0, 2.0, "y")]), ("a", 2, [(2.0, 3.0, "z")]), ("b", None, [])]
+    got = transcript_segments(spark.createDataFrame(rows, schemas.TRANSCRIPT)).orderBy("file_stem", "seg_no").collect()
+    assert [(r.file_stem, r.seg_no, r.text) for r in got] == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", None, None)]
+
+
+def test_events_without_code_do_not_multiply_files(spark):
+    """A thousand events without code and date look their files up once."""
+    tasks = [(f"P{i}", "IR", "", "", 1) for i in range(1000)] + [("Q", "全景网", "600001", "20200101", 1)]
+    tasks = spark.createDataFrame(tasks, "index2009 string, platform string, code string, date string, video_number int")
+    names = [f"_{i}_x.mp4" for i in range(50)] + ["600001_t_20200101.mp4", "600001_t_20200102.mp4"]
+    files = spark.createDataFrame([("IR" if n[0] == "_" else "全景网", f"/v/{n}", n) for n in names], "platform string, path string, name string")
+    lookups = tasks.selectExpr("platform", "code", "date", "-1 AS top").distinct()
+    listed = files.selectExpr("platform", "substring_index(name, '_', 1) AS code", "path", "name")
+    assert manifest._candidates(lookups, listed).count() == 51
+    plan = manifest.segment_plan(tasks, files).collect()
+    assert len(plan) == 1001 and {tuple(r.paths) for r in plan if r.platform == "IR"} == {("/v/_0_x.mp4",)}
+    assert [r.paths for r in plan if r.index2009 == "Q"] == [["/v/600001_t_20200101.mp4"]]
+
+
+def test_sheets_under_their_own_headers(spark, tmp_path):
+    sheet = tmp_path / "sheet.csv"
+    sheet.write_text("\ufeffINDEX2009, Stkcd ,日期,开始时间,结束时间,x\n01,1,2020-01-02,09:30,,\n", encoding="utf-8")
+    assert [tuple(r) for r in tables.read_event_sheet(spark, str(sheet)).collect()] == [("01", "1", "2020-01-02", "09:30", None)]
+    with pytest.raises(ValueError):
+        tables.read_sheet(spark, str(sheet), {"absent": "a"})
 
 
 @pytest.mark.parametrize("hop,length,center,n", [(4, 8, True, 30), (3, 8, True, 20), (4, 8, False, 30), (5, 5, True, 11), (8, 16, True, 7)])
@@ -278,7 +338,7 @@ def test_incremental_runs_once_per_file(spark, lexicon, tmp_path):
     landing, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
 
     def arrive(stem):
-        row = [(stem, [(0.0, 1.0, "good bad")])]
+        row = [(stem, None, [(0.0, 1.0, "good bad")])]
         spark.createDataFrame(row, schemas.TRANSCRIPT).write.mode("append").json(landing)
 
     arrive("a")
@@ -321,6 +381,11 @@ def test_feature_jobs_resume_and_score(spark, segments, lexicon, tmp_path):
     _, summary = run_pitch(paths["vocal"], paths["verbal"], paths["visual"], paths["pitch"], n_components=2)
     assert summary.first().n == 8
     assert spark.read.parquet(paths["pitch"]).columns == ["file_stem", "pitch_factor", "pc1", "pc2"]
+    # a visual table that does not exist is left out, a vocal one is missed
+    result, _ = run_pitch(paths["vocal"], paths["verbal"], str(tmp_path / "absent"), paths["pitch"])
+    assert not any(c.startswith("visual_") for c in result.scaled.columns)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        run_pitch(str(tmp_path / "absent"), paths["verbal"], None, paths["pitch"])
 
 
 def test_span_is_pushed_down_and_zone_free(spark, sf):

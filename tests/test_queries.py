@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from eventlens.catalog import ORACLES, QUERIES
 from tools.compare import canonical, connect
 
 
@@ -14,10 +15,11 @@ def con(sf):
 
 
 def test_names_match():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, con, name):
     result = queries()[name](spark, sf)
     left = [tuple(r) for r in result.collect()]

@@ -152,7 +152,7 @@ def test_market_beyond_the_bound_is_not_broadcast(spark, aligned):
     market = aligned.where("instrument = 'SH600000'").select("ts", F.col("market_return").alias("return"))
     stock = aligned.select("instrument", "ts", "return")
     small = bars.align_market(stock, market)
-    large = bars.align_market(stock, market, max_rows=10)
+    large = bars.align_market(stock, market, max_bytes=100)
     assert "rightHint=(strategy=broadcast)" in small._jdf.queryExecution().toString().replace(" ", "") or (
         "ResolvedHint (strategy=broadcast)" in small._jdf.queryExecution().toString()
     )
@@ -239,16 +239,15 @@ def test_year_stats(spark):
     rows = [(f"i{i}", dt.date(2020 + i % 2, 1, 1 + i % 20), rng.gauss(0, 1), None) for i in range(60)]
     rows.append(("x", dt.date(2023, 5, 5), 4.0, None))
     df = spark.createDataFrame(rows, "ipo_id string, event_date date, car_a double, cav_b double")
-    for bound in (1000, 5):
-        got = {(r.year, r.window): r for r in rollup.year_stats(df, bound).collect()}
-        assert len(got) == 6
-        for year in (2020, 2021):
-            values = [r[2] for r in rows if r[1].year == year]
-            row = got[(year, "car_a")]
-            assert row.p95 == pytest.approx(np.quantile(values, 0.95)) and row.p5 == pytest.approx(np.quantile(values, 0.05))
-            assert row["std"] == pytest.approx(statistics.stdev(values)) and row["max"] == max(values)
-        assert got[(2023, "car_a")]["std"] is None and got[(2023, "car_a")]["p95"] == 4.0
-        assert got[(2020, "cav_b")]["mean"] is None and got[(2020, "cav_b")]["p5"] is None
+    got = {(r.year, r.window): r for r in rollup.year_stats(df).collect()}
+    assert len(got) == 6
+    for year in (2020, 2021):
+        values = [r[2] for r in rows if r[1].year == year]
+        row = got[(year, "car_a")]
+        assert row.p95 == pytest.approx(np.quantile(values, 0.95)) and row.p5 == pytest.approx(np.quantile(values, 0.05))
+        assert row["std"] == pytest.approx(statistics.stdev(values)) and row["max"] == max(values)
+    assert got[(2023, "car_a")]["std"] is None and got[(2023, "car_a")]["p95"] == 4.0
+    assert got[(2020, "cav_b")]["mean"] is None and got[(2020, "cav_b")]["p5"] is None
 
 
 @pytest.mark.parametrize("kind", ["distinct", "ties", "hot"])
@@ -279,12 +278,83 @@ def test_pairs_and_rejects(spark, calendar):
         ("a", "SH600000"), ("a", "SZ300001"), ("b", "SH600000"),
     ]
     assert pairs.pair_events(given, events, windows).count() == 2
-    late = dt.datetime.combine(DAYS[-1], dt.time(10))
+
+
+def test_spellings_of_a_code_are_one_pair(spark):
+    events = spark.createDataFrame([("a", DAYS[12])], "ipo_id string, event_date date")
+    rows = [("a", "9", code) for code in ("1", "000001", " 1", "01", "600000", "x")]
+    got = pairs.pair_events(spark.createDataFrame(rows, schemas.PAIRS), events).collect()
+    assert sorted(r.rival_fc for r in got) == ["SH600000", "SZ000001"]
+
+
+def test_outcome_of_every_pair(spark, calendar):
+    """One rival per reason, and one that yields a result."""
+    events = spark.createDataFrame([("a", DAYS[12]), ("b", DAYS[1]), ("c", None)], "ipo_id string, event_date date")
+    windows = event_windows(events.dropna(), calendar, SPEC)
+    have = {"600000": range(len(DAYS)), "600001": range(12), "600002": [12], "600003": [len(DAYS) - 1]}
+    have["600001"] = range(11)
+    rows = []
+    for code, days in have.items():
+        for i in days:
+            for ts in bar_times(DAYS[i]):
+                rows.append((f"SH{code}", ts, DAYS[i], random.Random(i).random(), 1.0, random.Random(ts.minute).random()))
+    aligned = spark.createDataFrame(
+        rows, "instrument string, ts timestamp_ntz, trade_date date, return double, volume double, market_return double")
+    given = [("a", "9", c) for c in [*have, "600004", "n/a", "x"]] + [("b", "8", "600000"), ("c", "7", "600000"), ("z", "6", "600000")]
+    found = pairs.pair_outcomes(
+        spark.createDataFrame(given + given, schemas.PAIRS), events, windows, aligned, calendar, SPEC)
+    got = {(r.ipo_id, r.rival_stkcd): r.reason for r in found.collect()}
+    assert found.count() == len(got) == len(given)
+    assert got == {
+        ("a", "600000"): None, ("a", "600001"): "no event bars", ("a", "600002"): "no estimate", ("a", "600003"): "no data",
+        ("a", "600004"): "no data", ("a", "n/a"): "bad code", ("a", "x"): "bad code",
+        ("b", "600000"): "no window", ("c", "600000"): "no event", ("z", "600000"): "no event",
+    }
+    assert pairs.event_rejects(found).count() == len(given) - 1
+
+
+def test_nan_is_no_value(spark, calendar, aligned):
+    nan = float("nan")
+    asked = spark.createDataFrame([("SH600000", DAYS[12])], "instrument string, event_date date")
+    spoiled = aligned.withColumn("return", F.when(F.col("trade_date") == F.lit(DAYS[7]), nan).otherwise(F.col("return"))).withColumn(
+        "volume", F.when(F.col("trade_date") == F.lit(DAYS[7]), nan).otherwise(F.col("volume")))
+    cleared = aligned.withColumn("return", F.when(F.col("trade_date") != F.lit(DAYS[7]), F.col("return"))).withColumn(
+        "volume", F.when(F.col("trade_date") != F.lit(DAYS[7]), F.col("volume")))
+    first, second = (estimation.estimates(df, calendar, asked, SPEC).first() for df in (spoiled, cleared))
+    assert first == second and first["beta_est1"] is not None
     ticks = spark.createDataFrame(
-        [("SH600000", dt.datetime.combine(DAYS[8], dt.time(10)), 1, 1.0, 1.0), ("SZ300001", late, 2, 1.0, 1.0)], schemas.TICKS
-    )
-    got = {(r.rival_fc, r.ipo_id, r.reason) for r in pairs.event_rejects(dated, windows, ticks).collect()}
-    assert got == {("SH600000", "b", "no window"), ("SZ300001", "a", "no data")}
+        [("A", dt.datetime(2024, 1, 2, 9, 30), 1, 5.0, nan), ("A", dt.datetime(2024, 1, 2, 9, 31), 2, 6.0, 2.0),
+         ("A", dt.datetime(2024, 1, 2, 9, 36), 3, nan, 1.0)], schemas.TICKS)
+    got = [tuple(r)[2:] for r in bars.resample_bars(ticks).orderBy("ts").collect()]
+    assert got == [(6.0, 2.0), (None, 1.0)]
+    rows = event_rows()
+    bad = [(*r[:4], *[nan if v is None else v for v in r[4:]]) for r in rows]
+    times = spark.createDataFrame([("i1", 570, 585)], "ipo_id string, start_minute int, end_minute int")
+    frames = [cuts.window_cuts_wide(spark.createDataFrame(r, schemas.EVENT_BARS), times).first() for r in (rows, bad)]
+    assert frames[0] == frames[1]
+
+
+def test_regression_keeps_digits(spark, calendar):
+    """Market returns of 0.1 that move by 1e-9: sums of squares alone would lose the slope."""
+    rng, rows = random.Random(4), []
+    for day in DAYS:
+        for ts in bar_times(day):
+            step = rng.uniform(-1e-9, 1e-9)
+            rows.append(("SH600000", ts, day, 0.05 + 2 * step, 1.0, 0.1 + step))
+    aligned = spark.createDataFrame(
+        rows, "instrument string, ts timestamp_ntz, trade_date date, return double, volume double, market_return double")
+    asked = spark.createDataFrame([("SH600000", DAYS[12])], "instrument string, event_date date")
+    got = estimation.market_model(aligned, calendar, asked, SPEC).first()
+    for k in SPEC.numbers:
+        assert got[f"beta_est{k}"] == pytest.approx(2, rel=1e-6)
+
+
+def test_times_that_repeat_an_id_do_not_multiply_bars(spark):
+    df = spark.createDataFrame(event_rows(), schemas.EVENT_BARS)
+    times = spark.createDataFrame([("i1", 580, 590), ("i1", 570, 600)], "ipo_id string, start_minute int, end_minute int")
+    got = cuts.attach_times(df, times)
+    assert got.count() == df.count()
+    assert {r.event_start.minute for r in got.collect()} == {30}
 
 
 def test_nested_events_split_a_hot_instrument(spark):
@@ -335,13 +405,25 @@ def test_whole_study_and_resume(spark, calendar, tmp_path):
         pairs_df = spark.createDataFrame(rows, schemas.PAIRS)
         return run_event_study(stocks, market, calendar, pairs_df, index, times, out, SPEC, resume=resume)
 
-    paths = run(given[:2], False)
+    # without an output, resuming is a first run
+    paths = run(given[:2], True)
     assert spark.read.parquet(paths["event_bars"]).count() == 2 * 3 * 8
     run(given, True)
     stored = spark.read.parquet(paths["event_bars"])
     assert stored.count() == 3 * 3 * 8 and stored.distinct().count() == 3 * 3 * 8
     assert {r.event_date for r in stored.where("ipo_id = 'a'").collect()} == {DAYS[12]}
     assert [r.rival_fc for r in spark.read.parquet(paths["rejects"]).collect()] == ["SZ000002"]
+    # a resumed pair reads its own instrument's span alone
+    spans = spark.createDataFrame([("SZ000001", DAYS[3], DAYS[9])], "rival_fc string, first_day date, last_day date")
+    near = pairs.ticks_in_span(stocks, spans, lookback_days=1)
+    assert {r.instrument for r in near.collect()} == {"SZ000001"}
+    days = {r.ts.date() for r in near.collect()}
+    assert min(days) >= DAYS[3] - dt.timedelta(days=1) and max(days) == DAYS[9]
+    path = str(tmp_path / "ticks")
+    stocks.write.parquet(path)
+    plan = pairs.ticks_in_span(spark.read.parquet(path), spans)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
     assert spark.read.parquet(paths["event_windows"]).count() == 3
     assert spark.read.parquet(paths["event_windows_mean"]).count() == 2
     assert spark.read.parquet(paths["year_stats"]).count() == 84
