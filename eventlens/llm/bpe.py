@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-from eventlens.llm.common import id_and_text
+from eventlens.llm.common import id_and_text, in_batches
 
 # Characters of text split at a time, and distinct words remembered between
 # blocks: both bound a task's memory, neither changes a result.
@@ -286,7 +286,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             ids = pa.array([x.tobytes() for x in own.encode(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, ids], ["doc_id", "ids"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return in_batches(id_and_text(docs, id_col, text_col)).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_column(encoded: DataFrame, path: str) -> DataFrame:
@@ -302,7 +302,7 @@ def decode_column(encoded: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "ids", "text_bytes"],
                 )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text_bytes binary")
+    return in_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, ids binary, text_bytes binary")
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:

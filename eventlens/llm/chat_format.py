@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.bpe import encoder, token_bytes
+from eventlens.llm.common import in_batches
 from eventlens.session import settle
 
 # The control strings of the template, in the order of their
@@ -123,21 +124,19 @@ def format_chats(conversations: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                roles, texts, places = (part.column(i).to_pylist() for i in (2, 3, 4))
-                made = assemble([(r, t, n == 0) for r, t, n in zip(roles, texts, places, strict=True)], path)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(4),
-                     pa.array([ids.tobytes() for ids, _, _ in made], pa.binary()),
-                     pa.array([mask.tobytes() for _, mask, _ in made], pa.binary()),
-                     pa.array([len(ids) for ids, _, _ in made], pa.int64()),
-                     pa.array([size for _, _, size in made], pa.int64())],
-                    ["conv_id", "turn", "row", "ids", "mask", "n_ids", "formatted_chars"],
-                )
+            roles, texts, places = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            made = assemble([(r, t, n == 0) for r, t, n in zip(roles, texts, places, strict=True)], path)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(4),
+                 pa.array([ids.tobytes() for ids, _, _ in made], pa.binary()),
+                 pa.array([mask.tobytes() for _, mask, _ in made], pa.binary()),
+                 pa.array([len(ids) for ids, _, _ in made], pa.int64()),
+                 pa.array([size for _, _, size in made], pa.int64())],
+                ["conv_id", "turn", "row", "ids", "mask", "n_ids", "formatted_chars"],
+            )
 
     made = settle(
-        rows.mapInArrow(run, "conv_id long, turn long, row long, ids binary, mask binary, n_ids long, formatted_chars long"),
+        in_batches(rows).mapInArrow(run, "conv_id long, turn long, row long, ids binary, mask binary, n_ids long, formatted_chars long"),
         "turns",
     )
     return _running(made, F.floor(F.col("row") / CHUNK), [F.col("row")], F.col("n_ids"), "start")
@@ -177,21 +176,19 @@ def read_chats(formatted: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                columns = [part.column(i).to_pylist() for i in range(part.num_columns)]
-                rows = [
-                    (conv, row, *turn, size)
-                    for conv, row, ids, mask, size in zip(*columns, strict=True)
-                    for turn in reader.turns(np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8))
-                ]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-                arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    arrays, ["conv_id", "row", "role", "text", "loss_text", "formatted_chars"],
-                )
-
-    return formatted.select("conv_id", "row", "ids", "mask", "formatted_chars").mapInArrow(
+            columns = [c.to_pylist() for c in batch.columns]
+            rows = [
+                (conv, row, *turn, size)
+                for conv, row, ids, mask, size in zip(*columns, strict=True)
+                for turn in reader.turns(np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8))
+            ]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(
+                arrays, ["conv_id", "row", "role", "text", "loss_text", "formatted_chars"],
+            )
+
+    return in_batches(formatted.select("conv_id", "row", "ids", "mask", "formatted_chars")).mapInArrow(
         run, "conv_id long, row long, role string, text string, loss_text string, formatted_chars long",
     )
 
@@ -224,7 +221,7 @@ def digest_chats(turns: DataFrame) -> DataFrame:
 
     ordered = turns.select("conv_id", "row", "role", "text", "loss_text", "formatted_chars").repartition(
         "conv_id").sortWithinPartitions("conv_id", "row")
-    return ordered.mapInArrow(
+    return in_batches(ordered).mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
 

@@ -33,6 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows that Spark hands to Python at a time. Its own limit counts rows, not bytes,
+# and 10,000 long texts would not fit beside a worker's state.
+BATCH_ROWS = 1024
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python of at most BATCH_ROWS rows in its session from now on.
+
+    The setting changes how much a Python worker holds at once, no result; a
+    smaller one that is set already stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def no_spaces(text: Column) -> Column:
     """``text`` without white space; one byte-level pass per character of SPACES."""
     for space in SPACES:

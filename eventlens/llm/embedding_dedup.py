@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.llm.common import in_batches
 from eventlens.llm.components import components
 from eventlens.session import settle
 
@@ -200,14 +201,12 @@ def _assign(codebooks: Codebooks, radius: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                own, walk = visited_cells(_unit(_vectors(part.column(3))), codebooks, radius)
-                later = [cells[cells > o].astype(np.int64) for cells, o in zip(walk, own, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(own.astype(np.int64)), pa.array(later, pa.list_(pa.int64()))],
-                    ["label", "id", "weight", "embedding", "own", "visits"],
-                )
+            own, walk = visited_cells(_unit(_vectors(batch.column(3))), codebooks, radius)
+            later = [cells[cells > o].astype(np.int64) for cells, o in zip(walk, own, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(own.astype(np.int64)), pa.array(later, pa.list_(pa.int64()))],
+                ["label", "id", "weight", "embedding", "own", "visits"],
+            )
 
     return run
 
@@ -231,7 +230,7 @@ def link_vectors(
 
     kind = dict(points.dtypes)["label"]
     schema = f"label {kind}, id long, weight long, embedding array<float>, own long, visits array<long>"
-    placed = settle(points.mapInArrow(_assign(books, radius), schema), "placed")
+    placed = settle(in_batches(points).mapInArrow(_assign(books, radius), schema), "placed")
     blocks = settle(
         placed.groupBy("label", F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")),
         "blocks",
@@ -254,7 +253,7 @@ def link_vectors(
     rows = targets.unionByName(same_cell).unionByName(visits).select(
         F.xxhash64("label", "cell", "block").alias("unit"), "is_query", "id", "weight", "embedding",
     )
-    return rows.repartition("unit").sortWithinPartitions("unit", "is_query").mapInArrow(
+    return in_batches(rows).repartition("unit").sortWithinPartitions("unit", "is_query").mapInArrow(
         _compare(least), "a long, b long, n long",
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.bpe import sliced, text_blocks
-from eventlens.llm.common import id_and_text
+from eventlens.llm.common import id_and_text, in_batches
 from eventlens.session import settle
 
 # the split pattern of byte-level vocabularies
@@ -57,7 +57,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id
                 ["part", "doc_id", "tokens", "n_tokens", "before"],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
+    return in_batches(id_and_text(docs, id_col, text_col)).mapInArrow(
         run, "part long, doc_id long, tokens binary, n_tokens long, before long",
     )
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.llm.common import in_batches
+
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "stops", "symbols", "pipes", "cries",
     "other_marks", "spaces", "line_bytes", "beyond_ascii", "entropy", "distinct_words", "same_lines", "middle_word",
@@ -235,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
         F.broadcast(chosen), "__id",
     )
     vectors = F.arrow_udf(_feature_lists, "array<double>")
-    found = rows.select("__label", vectors("text").alias("features")).collect()
+    found = in_batches(rows).select("__label", vectors("text").alias("features")).collect()
     values = np.array([r["features"] for r in found], float).reshape(-1, len(FEATURES))
     targets = np.array([r["__label"] for r in found], float)
     # rows arrive in no fixed order, and sums of floats depend on it
@@ -251,8 +253,7 @@ def scorer(model: Model) -> Callable[[Column], Column]:
     """Column function: score of a text between 0 and 1."""
 
     def score(texts: pa.Array) -> pa.Array:
-        parts = [model.scores(features(texts.slice(a, 1024))) for a in range(0, len(texts), 1024)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(model.scores(features(texts)))
 
     column = F.arrow_udf(score, "double")
     return lambda text: column(F.coalesce(text.cast("binary"), F.lit(b"")))
@@ -264,7 +265,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are scored as empty; repeated rows and null ids stay as
     they are (a null id is not held out). Other columns are ignored.
     """
-    scored = docs.select(F.col("doc_id").cast("long"), scorer(model)(F.col("text")).alias("score"))
+    scored = in_batches(docs).select(F.col("doc_id").cast("long"), scorer(model)(F.col("text")).alias("score"))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= CUTOFF).cast("int").alias("predicted"),
@@ -273,4 +274,4 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` whose score reaches ``cutoff``, all columns kept."""
-    return docs.withColumn("__score", scorer(model)(F.col("text"))).filter(F.col("__score") >= cutoff).drop("__score")
+    return in_batches(docs).withColumn("__score", scorer(model)(F.col("text"))).filter(F.col("__score") >= cutoff).drop("__score")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import id_and_text, without_ids
+from eventlens.llm.common import id_and_text, in_batches, without_ids
 from eventlens.llm.components import components
 from eventlens.session import settle
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fingerprint"])
 
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, fingerprint long")
+    return in_batches(rows).mapInArrow(of, "doc_id long, fingerprint long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
