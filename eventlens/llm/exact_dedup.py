@@ -81,9 +81,13 @@ def exact_dedup(
     shared = hashed.filter("shared")
     # rows without id come last whatever their length
     first = F.min(F.struct(F.col("doc_id").isNull(), -F.col("points"), F.col("doc_id")))
-    groups = shared.groupBy("text_hash").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        first.getField("doc_id").alias("keep_id"),
+    # stored, so that the join below stands on two shuffles of its own and AQE can split a large group
+    groups = settle(
+        shared.groupBy("text_hash").agg(
+            F.count(F.lit(1)).alias("group_size"),
+            first.getField("doc_id").alias("keep_id"),
+        ),
+        "groups",
     )
     joined = shared.join(groups, "text_hash").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_hash",
