@@ -89,10 +89,14 @@ def split_words(text: str) -> list[str]:
 
 
 class Merges:
-    """Pairs of token ids, each with its rank and the id it becomes."""
+    """Pairs of token ids, each with its rank and the id it becomes.
 
-    def __init__(self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]]):
+    With ``whole`` a word that is a token is that token, whatever merges would give.
+    """
+
+    def __init__(self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool):
         self.tokens = tokens
+        self.whole = {value: token for token, value in tokens.items()} if whole else {}
         self.size = max(tokens) + 1
         self.by_byte = np.zeros(256, np.int64)
         for token, value in tokens.items():
@@ -104,6 +108,11 @@ class Merges:
         self.codes, self.ranks = codes[order], ranked[order, 0]
         # the merges of one rank all give the same id
         self.becomes = dict(ranked.tolist())
+        # ranks after whose merge no pair of a rank as low can arise
+        lowest = np.full(self.size, len(self.codes) + self.size, np.int64)
+        for part in (self.codes // self.size, self.codes % self.size):
+            np.minimum.at(lowest, part, self.ranks)
+        self.settled = {rank for rank, token in self.becomes.items() if lowest[token] > rank}
 
     @classmethod
     @lru_cache(maxsize=4)
@@ -117,22 +126,23 @@ class Merges:
                 left, right = ranks.get(value[:cut]), ranks.get(value[cut:])
                 if left is not None and right is not None:
                     pairs[left, right] = (rank, rank)
-        return cls({rank: value for value, rank in ranks.items()}, pairs)
+        return cls({rank: value for value, rank in ranks.items()}, pairs, whole=True)
 
     @classmethod
     @lru_cache(maxsize=4)
     def from_json(cls, path: str) -> Merges:
         """A tokenizer file with a byte-level vocabulary and an ordered list of merges."""
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        letters = _byte_letters()
-        special = [v for v in model["vocab"] if any(c not in letters for c in v) or v == "<|endoftext|>"]
+            found = json.load(file)
+        model, letters = found["model"], _byte_letters()
+        special = {x["content"] for x in found["added_tokens"]}
         vocab = {k: v for k, v in model["vocab"].items() if k not in special}
         pairs = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        return cls({i: bytes(letters[c] for c in text) for text, i in vocab.items()}, pairs)
+        tokens = {i: bytes(letters[c] for c in text) for text, i in vocab.items()}
+        return cls(tokens, pairs, whole=bool(model.get("ignore_merges")))
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the pair does not merge."""
@@ -149,12 +159,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
 
 
+def encode_words(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all ``words`` in one array, and the number of ids of each word."""
+    if not merges.whole:
+        return replay(words, merges)
+    whole = np.fromiter((merges.whole.get(w, -1) for w in words), np.int64, len(words))
+    parts = whole < 0
+    ids, sizes = replay([w for w, open_ in zip(words, parts.tolist(), strict=True) if open_], merges)
+    counts = np.ones(len(words), np.int64)
+    counts[parts] = sizes
+    merged = np.empty(int(counts.sum()), np.int64)
+    from_merges = np.repeat(parts, counts)
+    merged[from_merges], merged[~from_merges] = ids, whole[~parts]
+    return merged, counts
+
+
 def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all ``words`` in one array, and the number of ids of each word.
+    """Ids of all ``words`` in one array, and the number of ids of each word, by merges.
 
-    In every step the lowest rank that stands anywhere is taken and applied in
-    each word at its leftmost position, so a word sees the same merges in the
-    same order as if it were encoded alone; further positions wait in the index.
+    In every step the lowest rank that stands anywhere is taken and applied at
+    all its positions, from left to right where they overlap, so a word sees the
+    same merges in the same order as if it were encoded alone. Where the merged
+    token could begin or end a pair of a lower rank still, only the leftmost
+    position of each word is taken and the others wait in the index.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     token = merges.by_byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -164,13 +191,14 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     left = np.arange(-1, n - 1, dtype=np.int32)
     ends = np.cumsum(sizes)[sizes > 0] - 1
     right[ends] = -1
-    left[ends[:-1] + 1] = -1
+    left[ends[:-1] + 1] = -1  # the first symbol of all has -1 already
     index: dict[int, list[np.ndarray]] = {}
     ranks: list[int] = []
     rank_at = np.full(n, -1, np.int32)  # rank of the pair that begins at a position
 
     def enter(at: np.ndarray) -> None:
         """Index the pairs that begin at ``at``."""
+        at = np.unique(at)
         rank = merges.ranks_of(token[at], token[right[at]])
         rank_at[at] = rank
         merging = rank >= 0
@@ -200,12 +228,15 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
         if len(at) > 1:
             if len(lists) > 1:
                 at = np.unique(at)
-            words_at = word[at]
-            later = words_at[1:] == words_at[:-1]
-            if later.any():
-                index[rank] = [at[1:][later]]
-                heapq.heappush(ranks, rank)
-                at = at[np.concatenate([[True], ~later])]
+            if rank in merges.settled:
+                at = at[_apart(right[at[:-1]] == at[1:])]
+            else:
+                words_at = word[at]
+                later = words_at[1:] == words_at[:-1]
+                if later.any():
+                    index[rank] = [at[1:][later]]
+                    heapq.heappush(ranks, rank)
+                    at = at[np.concatenate([[True], ~later])]
         gone = right[at]
         after = right[gone]
         token[at] = merges.becomes[rank]
@@ -219,6 +250,15 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     return token[alive], np.bincount(word[alive], minlength=len(words))
 
 
+def _apart(touches: np.ndarray) -> np.ndarray:
+    """Of positions in order, every second one of a run in which each touches the next."""
+    if not touches.any():
+        return np.ones(len(touches) + 1, bool)
+    place = np.arange(len(touches) + 1)
+    begins = np.concatenate([[True], ~touches])
+    return (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+
+
 class _Known(dict):
     """Numbers of words; a word that is asked for first gets the next one."""
 
@@ -250,7 +290,7 @@ class Encoder:
         del words
         if len(self.known) > len(self.count):
             new = list(islice(self.known, len(self.count), None))
-            ids, counts = replay([w.encode("utf-8") for w in new], self.merges)
+            ids, counts = encode_words([w.encode("utf-8") for w in new], self.merges)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.bpe import sliced, text_blocks
+from eventlens.llm.bpe import Merges, encoder, sliced, text_blocks
 from eventlens.llm.common import id_and_text, in_batches
 from eventlens.session import settle
 
@@ -25,16 +23,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 @lru_cache(maxsize=2)
 def _coder(path: str) -> tiktoken.Encoding:
     """The vocabulary of a byte-level tokenizer file in the faster of the public encoders."""
-    with open(path, encoding="utf-8") as file:
-        found = json.load(file)
-    special = {x["content"] for x in found["added_tokens"]}
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = dict(zip(map(chr, plain), plain, strict=True))
-    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(letters[c] for c in text): i for text, i in found["model"]["vocab"].items() if text not in special}
+    ranks = {value: token for token, value in Merges.from_json(path).tokens.items()}
     return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _ids(text: str, path: str) -> np.ndarray:
+    """Ids of a text; the library's patterns give up on very long white space, which the replay takes."""
+    try:
+        return _coder(path).encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return encoder(path).encode([text])[0]
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``part, doc_id, tokens, n_tokens, before``: ids with ``end_id`` at the end of each document.
 
@@ -43,11 +43,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, before = _coder(path), TaskContext.get().partitionId(), 0
-        if coder.n_vocab > 1 << 16:
+        part, before = TaskContext.get().partitionId(), 0
+        if _coder(path).n_vocab > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
         for keys, texts in text_blocks(batches):
-            rows = [np.append(coder.encode_to_numpy(t, disallowed_special=()), end_id).astype("<u2") for t in texts]
+            rows = [np.append(_ids(t, path), end_id).astype("<u2") for t in texts]
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from eventlens.llm import bpe, chat_format
-from eventlens.llm.packing import pack
+from eventlens.llm.packing import _ids, pack
 from eventlens.llm.queries import QUERIES
 from tests.llm import plain
 
@@ -54,6 +55,40 @@ def test_replay_of_long_and_repeated_words(coder):
     assert [x.tolist() for x in bpe.Encoder(bpe.Merges.from_ranks(RANKS)).encode(texts)] == [coder.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("text", ["x" * 300_000, " " * 1_000_000, "\n" * 500_000 + "end", "ab" * 100_000, (" " * 2000 + "a") * 300])
+def test_very_long_runs_take_little_time(text):
+    started = time.process_time()
+    ids = bpe.encoder(JSON).encode([text])[0]
+    assert b"".join(map(bpe.token_bytes(JSON).__getitem__, ids.tolist())).decode() == text
+    assert _ids(text, JSON).tolist() == ids.tolist()
+    assert time.process_time() - started < 20
+
+
+def test_tokens_that_lower_ranks_follow():
+    """Ranks in which a later merge is followed by an earlier one: words still go left to right."""
+    random.seed(3)
+    for _ in range(60):
+        values = {bytes([b]) for b in range(256)}
+        order = [bytes([b]) for b in range(256)]
+        while len(order) < 290:
+            new = b"".join(random.choice([v for v in order[97:100] + order[256:]]) for _ in range(random.choice([2, 2, 3])))
+            if new not in values and len(new) < 9:
+                values.add(new)
+                order.append(new)
+        random.shuffle(tail := order[256:])
+        ranks = {v: i for i, v in enumerate(order[:256] + tail)}
+        library = tiktoken.Encoding("made", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pairs = {
+            (ranks[v[:cut]], ranks[v[cut:]]): (r, r) for v, r in ranks.items() for cut in range(1, len(v))
+            if v[:cut] in ranks and v[cut:] in ranks
+        }
+        merges = bpe.Merges({r: v for v, r in ranks.items()}, pairs, whole=True)
+        words = ["".join(random.choice("abc") for _ in range(random.randint(1, 30))) for _ in range(60)]
+        ids, counts = bpe.encode_words([w.encode() for w in words], merges)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library.encode_ordinary(w) for w in words]
+
+
 def test_memory_of_words_changes_nothing(coder, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
     own = bpe.Encoder(bpe.Merges.from_ranks(RANKS))
