@@ -178,7 +178,7 @@ def segment_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_SQL_PAGES}
-SELECT platform, CAST(sum(length('{{"page_id":' || page_id || ',"url":"' || url || '"}}') + 1) AS BIGINT) AS bytes, TRUE AS has_files
+SELECT platform, CAST(sum(length('{{"page_id":' || page_id || ',"url":"' || url || '"}}') + 1) AS BIGINT) AS bytes, TRUE AS has_files, TRUE AS paths_fit
 FROM pg WHERE platform <> 'IR' GROUP BY platform""")
 def media_listing(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "media")
@@ -187,5 +187,7 @@ def media_listing(spark: SparkSession, d: str) -> DataFrame:
     # the folder of the last platform does not exist and is passed over
     files = media.media_listing(spark, root, "transcript", folder="platform={platform}")
     return files.groupBy("platform").agg(
-        F.sum("length").alias("bytes"), (F.count(F.lit(1)) > 0).alias("has_files")
+        F.sum("length").alias("bytes"),
+        (F.count(F.lit(1)) > 0).alias("has_files"),
+        F.bool_and(F.endswith("path", F.concat(F.lit("/platform="), "platform", F.lit("/"), "name"))).alias("paths_fit"),
     )
