@@ -16,7 +16,7 @@ from eventlens.operators import bars as bar_ops
 from eventlens.operators import abnormal, cuts, estimation, pairs, rollup, selection
 from eventlens.operators.calendar import nth_trading_day as offset_days
 from eventlens.plans.event_study import run_event_study
-from eventlens.session import scratch_path, settle
+from eventlens.session import importable_in_workers, scratch_path, settle
 from eventlens.sources import sinks, tables
 
 # --- scans -------------------------------------------------------------------
@@ -349,6 +349,7 @@ JOIN coef c ON c.instrument = r.rival_fc AND c.event_date = r.event_date
 JOIN al a ON a.instrument = r.rival_fc AND a.trade_date BETWEEN r.event_start AND r.event_end""")
 def modelled_returns(spark: SparkSession, d: str) -> DataFrame:
     """A user's model that happens to be the market model gives its returns."""
+    importable_in_workers(spark)
     s = fx.Study(spark, d)
     requests = s.paired.withColumnRenamed("rival_fc", "instrument")
     return rounded(abnormal.modelled_returns(s.study_aligned, s.calendar, requests, _least_squares, fx.SPEC))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +107,20 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable_in_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    Workers inherit ``PYTHONPATH`` and the working directory, not ``sys.path``. The
+    folder is passed on to workers started for functions made afterwards, which
+    serves local sessions and clusters that mount it; others ship the package.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Rows of a table scan over all cores when it has fewer splits than cores.
 
