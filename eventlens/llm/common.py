@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.session import importable_in_workers
+
 # [\x20\x09-\x0D], the white space of every contract here
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,8 +44,9 @@ def in_batches(df: DataFrame) -> DataFrame:
     """``df``, with batches to Python of at most BATCH_ROWS rows in its session from now on.
 
     The setting changes how much a Python worker holds at once, no result; a
-    smaller one that is set already stays.
+    smaller one that is set already stays. Workers are told where the package is.
     """
+    importable_in_workers(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
