@@ -92,10 +92,16 @@ class Merges:
     """Pairs of token ids, each with its rank and the id it becomes.
 
     With ``whole`` a word that is a token is that token, whatever merges would give.
+    ``added`` holds texts that are one id wherever they stand; no merge gives these
+    ids, so whoever encodes cuts the texts out first.
     """
 
-    def __init__(self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool):
+    def __init__(
+        self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool,
+        added: dict[str, int] | None = None,
+    ):
         self.tokens = tokens
+        self.added = added or {}
         self.whole = {value: token for token, value in tokens.items()} if whole else {}
         self.size = max(tokens) + 1
         self.by_byte = np.zeros(256, np.int64)
@@ -135,14 +141,17 @@ class Merges:
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
         model, letters = found["model"], _byte_letters()
-        special = {x["content"] for x in found["added_tokens"]}
-        vocab = {k: v for k, v in model["vocab"].items() if k not in special}
+        if any(x[k] for x in found["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens with conditions on the text around them are not supported")
+        # longest first, for patterns that take the first of several that fit
+        added = {x["content"]: x["id"] for x in sorted(found["added_tokens"], key=lambda x: -len(x["content"]))}
+        vocab = {k: v for k, v in model["vocab"].items() if k not in added}
         pairs = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
         tokens = {i: bytes(letters[c] for c in text) for text, i in vocab.items()}
-        return cls(tokens, pairs, whole=bool(model.get("ignore_merges")))
+        return cls(tokens, pairs, whole=bool(model.get("ignore_merges")), added=added)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the pair does not merge."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -23,16 +25,29 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 @lru_cache(maxsize=2)
 def _coder(path: str) -> tiktoken.Encoding:
     """The vocabulary of a byte-level tokenizer file in the faster of the public encoders."""
-    ranks = {value: token for token, value in Merges.from_json(path).tokens.items()}
-    return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = Merges.from_json(path)
+    ranks = {value: token for token, value in merges.tokens.items()}
+    return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=merges.added)
 
 
 def _ids(text: str, path: str) -> np.ndarray:
-    """Ids of a text; the library's patterns give up on very long white space, which the replay takes."""
+    """Ids of a text, in which an added token of the file is one id wherever it stands.
+
+    The library's patterns give up on very long white space, which the replay takes.
+    """
     try:
-        return _coder(path).encode_to_numpy(text, disallowed_special=())
+        return _coder(path).encode_to_numpy(text, allowed_special="all")
     except ValueError:
-        return encoder(path).encode([text])[0]
+        own = encoder(path)
+        added = own.merges.added
+        found = list(regex.finditer("|".join(map(regex.escape, added)), text)) if added else []
+        cuts = [0, *(place for m in found for place in m.span()), len(text)]
+        # every second part is an added token
+        between = own.encode([text[a:b] for a, b in list(pairwise(cuts))[::2]])
+        parts = [between[0]]
+        for m, after in zip(found, between[1:], strict=True):
+            parts += [np.array([added[m[0]]], np.uint32), after]
+        return np.concatenate(parts)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

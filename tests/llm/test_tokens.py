@@ -211,3 +211,21 @@ def test_chats_with_odd_rows(spark):
     assert all(a["start"] + a["n_ids"] == b["start"] for a, b in zip(placed, placed[1:], strict=False))
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digest_chats(chat_format.read_chats(chat_format.format_chats(empty, RANKS), RANKS)).collect() == []
+
+
+def test_added_tokens_in_texts(spark):
+    """The library as the contract calls it: an added token of the file is one id inside a text."""
+    library, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    texts = [
+        f"a {end} b", end, end * 3, f"x  {end}  y\n{end}", f"{end[:-1]} {end[1:]}", f"<{end}>", "plain",
+        f"{end} a{end}{end} b {end}",
+    ]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [_ids(t, JSON).tolist() for t in texts] == want
+    # white space that only the replay takes: the parts around it are encoded as before
+    long = " " * 1_000_000
+    space = _ids(long, JSON).tolist()
+    assert _ids(f"{texts[0]}{end}{long}{end}{texts[-1]}", JSON).tolist() == [*want[0], 50256, *space, 50256, *want[-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(pack(docs, JSON, 7).collect(), [(i, np.array([*ids, 1], "<u4").tobytes()) for i, ids in enumerate(want)], 7)
