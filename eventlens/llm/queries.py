@@ -156,8 +156,6 @@ URL_RULES = [
     ("block", "net", "/fr/"),
 ]
 
-_ROUNDS = 10
-
 _URL_SQL = r"""
 WITH RECURSIVE parts AS (
   SELECT page_id, coalesce(html, '') AS html,
@@ -211,7 +209,7 @@ FROM judged j LEFT JOIN scores s ON s.host = j.host
 
 @query(_URL_SQL)
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES, rounds=_ROUNDS)
+    judged = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,13 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+# Scores are final when four more rounds change none by a larger share of itself.
+TOLERANCE = 1e-9
+
+
+def propagate(
+    edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = TOLERANCE,
+) -> DataFrame:
     """Personalised PageRank for several kinds of seeds at once.
 
     ``edges`` has ``kind, a, b, links``; ``seeds`` has ``kind, host, seed``, the
@@ -63,6 +71,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     Score that arrives at a host without edges goes no further, so the scores of
     a kind add up to one at most. Contributions are summed before their shuffle;
     every fourth round is stored, which keeps plans short and recovery cheap.
+
+    Rounds go on until no score has changed by more than ``tolerance`` of itself
+    since the round stored before; that one number reaches the driver. A host
+    reached for the first time has changed by all of its score, so walks of any
+    length are followed to their end. With ``rounds`` there are just so many.
     """
     out = edges.groupBy("kind", "a").agg(F.sum("links").alias("total"))
     steps = settle(
@@ -70,24 +83,37 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
         "steps",
     )
     restart = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    scores = restart
-    for number in range(rounds):
+    scores = stored = restart
+    for number in count() if rounds is None else range(rounds):
         moved = steps.join(scores.withColumnRenamed("host", "a"), ["kind", "a"]).select(
             "kind", F.col("b").alias("host"), (F.col("weight") * F.col("score")).alias("score"),
         )
         scores = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if number % 4 == 3:
             scores = settle(scores, "scores")
+            if rounds is None and _change(stored, scores) <= tolerance:
+                break
+            stored = scores
     return scores
 
 
+def _change(before: DataFrame, after: DataFrame) -> float:
+    """Largest change of a score, as a share of it; hosts come in and never go."""
+    zero = F.lit(0.0)
+    both = after.select("kind", "host", "score", zero.alias("old")).union(
+        before.select("kind", "host", zero.alias("score"), F.col("score").alias("old")))
+    summed = both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+    share = F.try_divide(F.abs(F.col("score") - F.col("old")), F.col("score"))
+    return summed.agg(F.max(share)).first()[0] or 0.0
+
+
 def filter_urls(
     pages: DataFrame,
     rules: list[Rule],
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
-    rounds: int = 10,
+    rounds: int | None = None,
     damping: float = 0.85,
     majority: float = 0.5,
     threshold: float = 0.0,
@@ -99,7 +125,7 @@ def filter_urls(
     hosts; distrust follows them backwards, to hosts that point at blocked ones.
     Each kind of seeds shares one unit of score evenly. A host is blocked when
     its distrust exceeds its trust by more than ``threshold``; a host that
-    neither reaches is allowed.
+    neither reaches is allowed. See :func:`propagate` for ``rounds``.
 
     Returns ``page_id, host, path, rule, rule_verdict, trust, distrust,
     verdict``, one row per input row. A url that is null or has no ``://`` has

@@ -82,3 +82,21 @@ def test_query_rows(spark, sf):
     urls = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
     want = sorted(((r["page_id"], *plain_rule(r["url"])[:3]) for r in urls), key=str)
     assert plain.rows_of(got, "page_id", "host", "path", "rule") == want
+
+
+def test_chains_longer_than_ten_hosts(spark):
+    """A farm chain to a blocked host, and a ring, against a walk that goes on until nothing moves."""
+    rules = [("allow", "good.org", "/"), ("block", "bad.org", "/")]
+    chain = [*[f"farm{i}.org" for i in range(14)], "bad.org"]
+    links = [*zip(chain, chain[1:], strict=False), ("good.org", "r0.org"), *[(f"r{i}.org", f"r{(i + 1) % 3}.org") for i in range(3)], ("r1.org", "bad.org")]
+    hosts = sorted({h for pair in links for h in pair})
+    html = {h: " ".join(f'<a href="http://{b}/">x</a>' for a, b in links if a == h) for h in hosts}
+    rows = [(i, f"http://{h}/", html[h]) for i, h in enumerate(hosts)]
+    got = {r["host"]: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    for kind, seed, pairs in (("trust", "good.org", links), ("distrust", "bad.org", [(b, a) for a, b in links])):
+        total = {h: sum(a == h for a, _ in pairs) for h in hosts}
+        scores = dict.fromkeys(hosts, 0.0)
+        for _ in range(400):
+            scores = {h: 0.15 * (h == seed) + sum(0.85 * scores[a] / total[a] for a, b in pairs if b == h) for h in hosts}
+        assert {h: r[kind] for h, r in got.items()} == pytest.approx(scores, rel=1e-7, abs=0)
+    assert {got[h]["verdict"] for h in chain} == {"block"}
