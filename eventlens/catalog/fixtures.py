@@ -7,7 +7,6 @@ instruments that its user does not belong to. All rows of the tables are used.
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +18,9 @@ from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows, trading_calendar
 from eventlens.operators.cuts import CutSpec
 from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_ratios, voiced_pitch_stats
-from eventlens.operators.pairs import LOOKBACK_DAYS, bars_in_span, instrument_span, pair_events, ticks_in_span
+from eventlens.operators.pairs import bars_in_span, instrument_span, pair_events, ticks_in_span
 from eventlens.operators.verbal import lexicon_tone
 from eventlens.session import settle, spread
-from eventlens.sources.tables import scan_bars
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -131,10 +129,10 @@ class Study:
         """Bars of the instruments and days the events need, with the market's over the same days."""
         needed = ticks_in_span(ticks(self.spark, self.d), self.spans)
         bars = bar_returns(settle(resample_bars(needed, FREQ), "bars"))
-        first, last = self.spans.agg(F.min("first_day"), F.max("last_day")).first()
-        around = scan_bars(ticks(self.spark, self.d), first - dt.timedelta(days=LOOKBACK_DAYS), last)
-        everything = around.withColumn("instrument", F.lit("MKT"))
-        market = bar_returns(settle(resample_bars(everything, FREQ), "market"))
+        whole = self.spans.agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+        everything = ticks(self.spark, self.d).withColumn("instrument", F.lit("MKT"))
+        around = ticks_in_span(everything, whole.withColumn("rival_fc", F.lit("MKT")))
+        market = bar_returns(settle(resample_bars(around, FREQ), "market"))
         return settle(align_market(bars_in_span(bars, self.spans), market), "aligned")
 
     @cached_property

@@ -14,7 +14,7 @@ from eventlens.operators.estimation import estimates
 from eventlens.session import broadcast_within, settle
 from eventlens.sources.tables import scan_bars
 
-# Days before a span in which the close before its first bar is looked for.
+# Days before a span in which the close before its first bar is looked for first.
 LOOKBACK_DAYS = 30
 
 
@@ -80,13 +80,34 @@ def ticks_in_span(ticks: DataFrame, spans: DataFrame, lookback_days: int = LOOKB
     The outer bounds are literals that reach the scan; each instrument's own
     span is a semi-join with one row per instrument. Spans begin
     ``lookback_days`` earlier, since the first return needs the close before it;
-    :func:`bars_in_span` cuts that part off again.
+    :func:`bars_in_span` cuts that part off again. For instruments that did not
+    trade in those days, the last day on which they did is added, however long ago.
     """
     first, last = spans.agg(F.min("first_day"), F.max("last_day")).first()
     if first is None:
         return ticks.where(F.lit(False))
     near = scan_bars(ticks, first - dt.timedelta(days=lookback_days), last)
-    return _semi_join_spans(near, spans, F.date_sub("first_day", lookback_days))
+    near = _semi_join_spans(near, spans, F.date_sub("first_day", lookback_days))
+    traded = _before(near, spans, F.col("first_day")).select("rival_fc").distinct()
+    resuming = settle(spans.join(traded, "rival_fc", "left_anti"), "resuming")
+    if resuming.isEmpty():
+        return near
+    earlier = ticks.where(F.col("ts") < F.lit(last).cast("timestamp_ntz"))
+    last_days = _before(earlier, resuming, F.date_sub("first_day", lookback_days)).groupBy("rival_fc").agg(
+        F.max(F.to_date("ts")).alias("first_day"),
+    )
+    last_days = settle(last_days.withColumn("last_day", F.col("first_day")), "last-days")
+    first, last = last_days.agg(F.min("first_day"), F.max("last_day")).first()
+    if first is None:
+        return near
+    return near.unionByName(_semi_join_spans(scan_bars(ticks, first, last), last_days, F.col("first_day")))
+
+
+def _before(rows: DataFrame, spans: DataFrame, first: Column) -> DataFrame:
+    """``rival_fc, ts`` of the rows of each instrument on days before ``first`` of its span."""
+    bounds = broadcast_within(spans.select("rival_fc", first.alias("span_first")))
+    before = (F.col("instrument") == F.col("rival_fc")) & (F.to_date("ts") < F.col("span_first"))
+    return rows.select("instrument", "ts").join(bounds, before).select("rival_fc", "ts")
 
 
 def bars_in_span(bars: DataFrame, spans: DataFrame) -> DataFrame:

@@ -1,0 +1,32 @@
+"""The close before the first bar of a span, however long ago."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from eventlens import schemas
+from eventlens.operators.bars import bar_returns, resample_bars
+from eventlens.operators.pairs import bars_in_span, ticks_in_span
+
+
+def test_first_return_after_a_long_gap(spark):
+    day = dt.datetime(2020, 6, 1, 10)
+    ago = {"SH600000": [400, 200, 200, 0, 1], "SZ000001": [90, 3, 0, 1], "SZ000002": [0, 1], "SZ000003": [31, 0], "SZ000004": [500]}
+    rows = []
+    for name, days in ago.items():
+        for n, back in enumerate(days):
+            at = day + dt.timedelta(days=back if back == 1 else -back, minutes=n)
+            rows.append((name, at, len(rows), 10.0 + 3 * n + len(rows), 1.0))
+    ticks = spark.createDataFrame(rows, schemas.TICKS)
+    spans = spark.createDataFrame(
+        [(name, day.date(), day.date() + dt.timedelta(days=2)) for name in ago if name != "SZ000003"]
+        + [("SZ000003", day.date(), day.date())],
+        "rival_fc string, first_day date, last_day date",
+    )
+    of = lambda found: sorted(tuple(r) for r in bars_in_span(bar_returns(resample_bars(found)), spans).collect())
+    want = of(ticks)
+    near = ticks_in_span(ticks, spans)
+    assert of(near) == want
+    assert {r[0] for r in want if r[-1] is None} == {"SZ000002"}
+    # of the older ticks those of one day alone are read
+    assert near.where("instrument = 'SH600000'").count() == 4 and near.where("instrument = 'SZ000001'").count() == 3
