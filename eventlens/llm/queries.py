@@ -12,6 +12,7 @@ from eventlens.llm.common import ORACLES, QUERIES, query, table
 from eventlens.llm.embedding_dedup import embedding_dedup
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.line_dedup import line_dedup
+from eventlens.llm import tree_queries  # noqa: F401  registers its queries
 from eventlens.llm.packing import pack
 from eventlens.llm.quality import score_quality, train
 from eventlens.llm.secrets import BASE, KINDS, WEAK, scan_secrets, span_list
