@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import query, table
+from eventlens.llm.licenses import BAND, BETWEEN, GRAM, SHARE, TEMPLATES, gram_width, labels_of, scan_licenses, words_of
 from eventlens.llm.merkle import leaf_digest, merkle_manifest, proof_digests, verify_manifest
 
 # CRC-32 in SQL: the table of the reflected polynomial, then a fold over the characters of a decimal number.
@@ -84,3 +85,61 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(proof_digests(F.col("proof")), ""), 256).alias("proof_sha256"),
         "folded_root", "verified",
     )
+
+
+def _license_sql() -> str:
+    """The scan by grams as texts, their diagonals as groups and the covered words as rows."""
+    values = ", ".join(
+        f"({n}, '{t.label}', {'true' if t.base else 'false'}, {gram_width(len(words_of(t.text)), GRAM)}, "
+        f"string_split('{' '.join(words_of(t.text))}', ' '))" for n, t in enumerate(TEMPLATES)
+    )
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH t(template, label, base, width, tw) AS (VALUES {values}),
+d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{BETWEEN}'),
+    lambda x: x <> '') AS w FROM documents),
+tg AS (
+  SELECT template, width, len(tw) AS n, p AS place, array_to_string(tw[p + 1:p + width], ' ') AS gram
+  FROM (SELECT *, unnest(range(len(tw) - width + 1)) AS p FROM t)),
+dg AS (
+  SELECT doc_id, width, i AS start, array_to_string(w[i + 1:i + width], ' ') AS gram
+  FROM (SELECT doc_id, w, width, unnest(range(len(w) - width + 1)) AS i FROM d, (SELECT DISTINCT width FROM t))),
+votes AS (SELECT doc_id, template, width, n, place, start, start - place AS diagonal FROM dg JOIN tg USING (width, gram)),
+lines AS (SELECT DISTINCT doc_id, template, diagonal FROM votes),
+cut AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER v <= {BAND} AND NOT base THEN 0 ELSE 1 END AS opens
+  FROM lines JOIN t USING (template) WINDOW v AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+bands AS (SELECT doc_id, template, base, label, diagonal, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM cut),
+voted AS (SELECT * FROM votes JOIN bands USING (doc_id, template, diagonal)),
+ends AS (
+  SELECT doc_id, template, band, any_value(base) AS base, any_value(label) AS label, any_value(n) AS n, any_value(width) AS width,
+    min(start) AS s, max(start) + any_value(width) AS e, count(DISTINCT place) AS places
+  FROM voted GROUP BY doc_id, template, band),
+words AS (SELECT DISTINCT doc_id, template, band, unnest(range(place, place + width)) AS word FROM voted),
+covered AS (SELECT doc_id, template, band, count(*) AS covered FROM words GROUP BY ALL),
+found AS (
+  SELECT *, covered / n AS coverage FROM ends JOIN covered USING (doc_id, template, band)
+  WHERE CASE WHEN base THEN places = n - width + 1 ELSE covered / n >= {SHARE} AND e - s <= ceil(n / {SHARE}) + {BAND} END),
+told AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN told USING (doc_id)"""
+
+
+@query(_license_sql())
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+    bases = [n for n, t in enumerate(TEMPLATES) if t.base]
+    base = F.filter("spans", lambda s: s["template"].isin(bases))
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels_of(base, TEMPLATES).alias("base_labels"),
+        labels_of(F.col("spans"), TEMPLATES).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
+    )
