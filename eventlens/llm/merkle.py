@@ -119,8 +119,8 @@ def _exchange(blocks: DataFrame, fanout: int) -> DataFrame:
     return state.filter("block < n_blocks").select("key", "block", "upper", F.col("digest").alias("top"))
 
 
-def _proofs(nodes: DataFrame, payload: list[str], fanout: int, levels: int) -> DataFrame:
-    """``key, position, digest``, the columns ``payload``, ``proof`` and ``top`` of each node of the keys' trees."""
+def _proofs(nodes: DataFrame, payload: list[str], fanout: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """``key, position, digest``, the columns ``payload``, ``proof`` and ``top`` of each node, and ``key, top`` of each tree."""
     size = fanout ** levels
     counts = broadcast_within(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     members = F.sort_array(F.collect_list(F.struct("position", "digest", *payload))).alias("members")
@@ -148,7 +148,8 @@ def _proofs(nodes: DataFrame, payload: list[str], fanout: int, levels: int) -> D
     proved = F.transform("members", lambda m, i: F.struct(m.alias("m"), F.concat(local(i), F.col("upper")).alias("proof")))
     out = whole.select("key", "top", F.explode(proved).alias("p"))
     fields = ["position", "digest", *payload]
-    return out.select("key", "top", *[F.col(f"p.m.{c}").alias(c) for c in fields], F.col("p.proof").alias("proof"))
+    rows = out.select("key", "top", *[F.col(f"p.m.{c}").alias(c) for c in fields], F.col("p.proof").alias("proof"))
+    return rows, upper.filter("block = 0").select("key", "top")
 
 
 def merkle_manifest(
@@ -183,10 +184,9 @@ def merkle_manifest(
         leaf_digest(*[F.col(f) for f in fields]).alias("digest"), claimed.alias("claim"),
     )
     placed = numbered(rows, ["key"], [F.col("doc_id").asc_nulls_first(), F.col("digest")])
-    low = _proofs(placed, ["doc_id", "claim"], fanout, levels)
-    tops = settle(low.filter("position = 0").select(F.col("key").alias("group_key"), F.col("top").alias("digest")), "subroots")
-    groups = numbered(tops, [], [F.col("group_key")]).withColumn("key", F.lit(""))
-    high = _proofs(groups, ["group_key"], fanout, levels).select(
+    low, subroots = _proofs(placed, ["doc_id", "claim"], fanout, levels)
+    groups = subroots.select(F.lit("").alias("key"), F.col("key").alias("group_key"), F.col("top").alias("digest"))
+    high = _proofs(numbered(groups, ["key"], [F.col("group_key")]), ["group_key"], fanout, levels)[0].select(
         F.col("group_key").alias("key"), F.col("proof").alias("high_proof"), F.col("top").alias("root"),
     )
     return low.join(broadcast_within(high), "key").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import query, table
 from eventlens.llm.licenses import BAND, BETWEEN, GRAM, SHARE, TEMPLATES, gram_width, labels_of, scan_licenses, words_of
 from eventlens.llm.merkle import leaf_digest, merkle_manifest, proof_digests, verify_manifest
+from eventlens.llm.prefix_trie import number_turns, prefix_trie, rebuilt
 
 # CRC-32 in SQL: the table of the reflected polynomial, then a fold over the characters of a decimal number.
 _CRC_TABLE = """crc_steps(n, k, c) AS (
@@ -143,3 +144,42 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels_of(F.col("spans"), TEMPLATES).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query(f"""
+WITH RECURSIVE {_CRC_TABLE},
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc('conv_id')} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc_table),
+built AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth,
+    sha256(strlen(role) || ':' || role || text) AS said, length(text) AS chars FROM built),
+paths AS (
+  SELECT conv_id, depth, chars, list(said) OVER (
+    PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+lasts AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, any_value(p.depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE p.depth = last), '')) AS ends_sha256
+  FROM paths p JOIN lasts USING (conv_id) GROUP BY path),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+up AS (SELECT path[:d] AS path, n_children, (n_convs - 1) * chars AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM full_nodes)),
+totals AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN totals USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    turns, convs = rebuilt(
+        number_turns(table(spark, sf_dir, "conversations")), F.crc32(conv.cast("string")) % 6, conv - conv % 100,
+    )
+    return prefix_trie(turns, convs)
