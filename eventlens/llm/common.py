@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.session import importable_in_workers
+from eventlens.session import BROADCAST_BYTES, importable_in_workers, row_bytes, settle
 
 # [\x20\x09-\x0D], the white space of every contract here
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,10 +78,25 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` as names of columns that ``df`` does not have, however its own are spelt."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id is a ``doc_id`` of ``dropped``; null ids match nothing.
 
-    The ids are hashed and the documents stream past them, so no text is sorted.
+    Ids that are shown to fit are sent to the documents, so that no text moves;
+    more of them are hashed and the documents stream past, so that none is sorted.
     """
-    ids = dropped.select(F.col("doc_id").alias("__dropped")).filter("__dropped IS NOT NULL").hint("shuffle_hash")
-    return docs.join(ids, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
+    (name,) = free_names(docs, "dropped_id")
+    ids = settle(dropped.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    fits = ids.count() * row_bytes(ids) <= BROADCAST_BYTES
+    return docs.join(F.broadcast(ids) if fits else ids.hint("shuffle_hash"), docs[id_col].cast("long") == ids[name], "left_anti")

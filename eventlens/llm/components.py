@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventlens.session import settle
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from every node of ``links`` (columns ``a, b``, longs).
 
     Each round gives a node the smallest label among its neighbours and then the
@@ -18,8 +18,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     whose degree the callers bound; the join on a label, which a large component
     shares, has one row per label on its other side, so AQE can split it.
 
-    Repeated links, links from a node to itself and an empty table are allowed.
-    Returns ``node, label``. Raises if ``max_rounds`` do not suffice.
+    Rounds go on until no label changes; labels only fall, so they end. Repeated
+    links, links from a node to itself and an empty table are allowed. Returns ``node, label``.
     """
     both = settle(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links",
@@ -28,7 +28,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")),
         "labels",
     )
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -46,4 +46,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if labels.filter("label <> old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

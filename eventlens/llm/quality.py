@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import in_batches
+from eventlens.llm.common import free_names, in_batches
 
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "stops", "symbols", "pipes", "cries",
@@ -224,20 +224,22 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, **options: float) -> Model:
     """Fit on labelled documents outside the held-out fifth.
 
-    Of more than ``max_rows`` labels those of the smallest hashes are taken; so
+    Of more than ``max_rows`` distinct labels those of the smallest hashes are taken; so
     many ids at most are sent to the scan of the documents and so many rows of
-    features come back. Null labels, ids and labels without document are left out.
+    features come back, as documents that repeat an id teach once, by their smallest
+    features. Null labels, ids and labels without document are left out.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("double").alias("__label"))
         .filter(F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~held_out(F.col("__id")))
-        .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+        .distinct().orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("text")).join(
         F.broadcast(chosen), "__id",
     )
     vectors = F.arrow_udf(_feature_lists, "array<double>")
-    found = in_batches(rows).select("__label", vectors("text").alias("features")).collect()
+    each = in_batches(rows).select("__id", "__label", vectors("text").alias("features"))
+    found = each.groupBy("__id", "__label").agg(F.min("features").alias("features")).collect()
     values = np.array([r["features"] for r in found], float).reshape(-1, len(FEATURES))
     targets = np.array([r["__label"] for r in found], float)
     # rows arrive in no fixed order, and sums of floats depend on it
@@ -273,5 +275,10 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """``docs`` whose score reaches ``cutoff``, all columns kept."""
-    return in_batches(docs).withColumn("__score", scorer(model)(F.col("text"))).filter(F.col("__score") >= cutoff).drop("__score")
+    """``docs`` whose score reaches ``cutoff``, all columns kept.
+
+    A null text is scored as empty, whole texts are read, and rows that repeat an id or a text are
+    judged each for itself. Columns may have any name; an empty table stays empty.
+    """
+    (name,) = free_names(docs, "score")
+    return in_batches(docs).withColumn(name, scorer(model)(F.col("text"))).filter(F.col(name) >= cutoff).drop(name)

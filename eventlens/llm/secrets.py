@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import id_and_text
+from eventlens.llm.common import free_names, id_and_text
 from eventlens.session import settle
 
 # The base kinds, in the order they are listed, each with its
@@ -143,21 +143,29 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "spans",
     )
-    scope = F.coalesce("doc_id", F.lit(0))
+    scoped = found.withColumn("scope", F.coalesce("doc_id", F.lit(0)))
+    joined = scoped.join(_extra_spans(scoped, reach), ["scope", "text_key"], "left")
+    return joined.select("doc_id", "text_key", "base", _all_spans(F.col("base"), F.col("extra")).alias("spans"))
+
+
+def _extra_spans(found: DataFrame, reach: int) -> DataFrame:
+    """``scope, text_key, extra``: linked spans of the texts that have any, from ``scope, text_key, base, weak``."""
     parts = settle(
         found.filter(F.size("weak") > 0)
-        .select(scope.alias("scope"), "text_key", F.explode(F.concat("base", "weak")).alias("p"))
+        .select("scope", "text_key", F.explode(F.concat("base", "weak")).alias("p"))
         .select("scope", "text_key", "p.*").distinct(),
         "parts",
     )
-    extra = (
+    return (
         linked_spans(parts, ["scope", "text_key"], reach)
         .groupBy("scope", "text_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
     )
-    joined = found.withColumn("scope", scope).join(extra, ["scope", "text_key"], "left")
-    covered = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
-    spans = F.array_sort(F.concat("base", F.filter("extra", lambda x: ~covered(x))))
-    return joined.select("doc_id", "text_key", "base", F.coalesce(spans, F.col("base")).alias("spans"))
+
+
+def _all_spans(base: Column, extra: Column) -> Column:
+    """``base`` and those of ``extra``, which may be null, that no base span covers."""
+    covered = lambda x: F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
+    return F.coalesce(F.array_sort(F.concat(base, F.filter(extra, lambda x: ~covered(x)))), base)
 
 
 def span_list(spans: Column) -> Column:
@@ -185,26 +193,34 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
-    """``docs`` (with ``text``, any further columns) with every secret replaced in its text.
-
-    The spans are found by :func:`scan_secrets` and joined back by id and a hash
-    of the text; only documents that have spans travel in that join's other
-    side. ``n_chars`` follows the new text where the column exists. A document
-    without secrets is left as it is, nulls included.
+    """``docs`` (with ``doc_id``, ``text``, any further columns) with every secret replaced in its text.
+
+    Spans are those of :func:`scan_secrets`. Documents are stored beside their
+    spans; only those with weak parts, which may be linked, are shuffled to learn
+    which are. ``n_chars`` follows the new text where the column exists. A
+    document without secrets is left as it is, nulls included. Null and
+    repeated ids change nothing, as spans are linked within id and text. Further columns may have any
+    name; an empty table stays empty.
     """
-    found = (
-        scan_secrets(docs, reach=reach).filter(F.size("spans") > 0)
-        .select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-        .dropDuplicates(["__id", "__key"])
+    id_, key, base, weak, extra = free_names(docs, "scope_id", "scope_text", "base_spans", "weak_spans", "extra_spans")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    stored = settle(
+        docs.select(
+            "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.xxhash64(text).alias(key),
+            base_spans(text).alias(base), weak_spans(text).alias(weak),
+        ),
+        "scanned",
     )
-    keyed = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        "__key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
-    })
-    joined = keyed.join(found, ["__id", "__key"], "left")
-    text = F.when(F.col("__spans").isNotNull(), redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    changed = joined.withColumn("text", text)
+    found = stored.select(F.col(id_).alias("scope"), F.col(key).alias("text_key"), F.col(base).alias("base"), F.col(weak).alias("weak"))
+    linked = _extra_spans(found, reach).select(F.col("scope").alias(id_), F.col("text_key").alias(key), F.col("extra").alias(extra))
+    none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias(extra)
+    alone = stored.filter(F.size(weak) == 0).select(*stored.columns, none)
+    both = stored.filter(F.size(weak) > 0).join(linked, [id_, key], "left").select(*stored.columns, extra)
+    spans = _all_spans(F.col(base), F.col(extra))
+    changed = alone.unionByName(both).withColumn(base, spans)
+    has = F.size(base) > 0
+    changed = changed.withColumn("text", F.when(has, redacted(F.col("text"), F.col(base))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), size).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(has, size).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

@@ -76,3 +76,49 @@ def test_sample_is_bounded(spark, sf, monkeypatch):
     docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
     train(docs, labels, max_rows=20)
     assert seen == [20]
+
+
+def test_sample_is_bounded_where_ids_repeat(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr("eventlens.llm.quality.fit", lambda rows, labels, **_: seen.append(len(rows)))
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    again = docs
+    for _ in range(4):
+        again = again.union(docs)
+    train(again, labels.union(labels), max_rows=20)
+    assert seen == [20]
+
+
+def plain_logit(model, row):
+    """Row by row: one looked-up value per feature and per pair."""
+    at = lambda edges, x: sum(e <= x for e in edges)
+    total = model.intercept + sum(model.tables[f][at(model.edges[f], row[f])] for f in range(len(row)))
+    return total + sum(table[at(model.coarse[f], row[f]), at(model.coarse[k], row[k])] for (f, k), table in model.pairs.items())
+
+
+def test_scores_are_sums_of_table_values(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    model = train(docs, labels, rounds=20, pair_rounds=10)
+    assert model.pairs
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in score_quality(docs, model).collect():
+        row = features(pa.array([texts[r["doc_id"]].encode()], pa.binary()))[0]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-plain_logit(model, row))), abs=1e-9)
+
+
+def test_boosting_against_a_plain_loop():
+    """Every tree of up to three leaves is searched over all cuts, on the rows themselves."""
+    random = np.random.default_rng(3)
+    rows = np.round(random.random((120, len(FEATURES))), 1)
+    labels = (rows[:, 0] + rows[:, 1] + 0.3 * random.random(120) > 1.1).astype(float)
+    model = fit(rows, labels, rounds=3, n_pairs=0, ridge=1.0, rate=0.1, least=1.0)
+    logits = [model.intercept] * len(rows)
+    for _ in range(3):
+        for f in range(len(FEATURES)):
+            bins = [sum(e <= x for e in model.edges[f]) for x in rows[:, f]]
+            p = [1 / (1 + np.exp(-z)) for z in logits]
+            g = np.bincount(bins, [y - q for y, q in zip(labels, p)], len(model.edges[f]) + 1)
+            h = np.bincount(bins, [max(q * (1 - q), 1e-9) for q in p], len(model.edges[f]) + 1)
+            step = shallow_tree(g, h, 1.0, 1.0)
+            logits = [z + 0.1 * step[b] for z, b in zip(logits, bins)]
+    assert model.scores(rows) == pytest.approx([1 / (1 + np.exp(-z)) for z in logits], abs=1e-9)
