@@ -18,9 +18,10 @@ from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows, trading_calendar
 from eventlens.operators.cuts import CutSpec
 from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_ratios, voiced_pitch_stats
-from eventlens.operators.pairs import bars_in_span, instrument_span, pair_events, ticks_in_span
+from eventlens.operators.closes import closes_before, daily_closes
+from eventlens.operators.pairs import instrument_span, pair_events, settled_spans, ticks_in_span
 from eventlens.operators.verbal import lexicon_tone
-from eventlens.session import settle, spread
+from eventlens.session import Settled, settle, spread
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -104,7 +105,7 @@ class Study:
 
     @cached_property
     def paired(self) -> DataFrame:
-        return pair_events(self.spelt_pairs, self.events, self.windows)
+        return settle(pair_events(self.spelt_pairs, self.events, self.windows), "paired")
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -121,19 +122,26 @@ class Study:
         return align_market(self.bars, self.market)
 
     @cached_property
-    def spans(self) -> DataFrame:
-        return settle(instrument_span(self.paired), "spans")
+    def spans(self) -> Settled:
+        return settled_spans(instrument_span(self.paired))
 
     @cached_property
     def study_aligned(self) -> DataFrame:
-        """Bars of the instruments and days the events need, with the market's over the same days."""
-        needed = ticks_in_span(ticks(self.spark, self.d), self.spans)
-        bars = bar_returns(settle(resample_bars(needed, FREQ), "bars"))
-        whole = self.spans.agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
-        everything = ticks(self.spark, self.d).withColumn("instrument", F.lit("MKT"))
-        around = ticks_in_span(everything, whole.withColumn("rival_fc", F.lit("MKT")))
-        market = bar_returns(settle(resample_bars(around, FREQ), "market"))
-        return settle(align_market(bars_in_span(bars, self.spans), market), "aligned")
+        """Bars of the instruments and days the events need, with the market's over the same days.
+
+        The market is one more instrument, whose ticks are all ticks.
+        """
+        stock = ticks(self.spark, self.d)
+        both = stock.unionByName(stock.withColumn("instrument", F.lit("MKT")))
+        whole = self.spark.range(1).select(
+            F.lit("MKT"), *[F.lit(self.spans.values[v]).cast("date") for v in ("first", "last")],
+        )
+        spans = self.spans.frame.select("rival_fc", "first_day", "last_day").union(whole)
+        spans = Settled(spans, self.spans.rows + 1, self.spans.values)
+        before = closes_before(settle(daily_closes(both), "closes"), spans)
+        bars = settle(bar_returns(settle(resample_bars(ticks_in_span(both, spans), FREQ), "bars"), before=before), "returns")
+        market = F.col("instrument") == "MKT"
+        return settle(align_market(bars.where(~market), bars.where(market)), "aligned")
 
     @cached_property
     def event_bars(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.nulls import nan_to_null
 from eventlens.operators.calendar import StudySpec, event_days
 from eventlens.operators.estimation import estimates
-from eventlens.session import broadcast_within
+from eventlens.session import settled
 
 VOLUME_METHODS = ("diff", "ratio")
 
@@ -42,19 +42,19 @@ def abnormal_bars(
     ``pair_windows`` holds ``ipo_id, rival_fc, event_date`` of events that have
     all their windows. Each pair is multiplied by the few days of its event
     window and met with bars by equality on instrument and day; no range join
-    is needed.
+    is needed. The calendar, one row per date, is broadcast.
     """
     pairs = pair_windows.select("ipo_id", F.col("rival_fc").alias("instrument"), "event_date")
     coefficients = estimates(aligned, calendar, pairs, spec, min_obs)
-    wanted = pairs.join(coefficients, ["instrument", "event_date"]).join(
-        F.broadcast(event_days(calendar, spec)), "event_date"
-    )
     # the few days of events are picked out of all bars before these are shuffled
     asked = pairs.select("instrument", "event_date").distinct()
-    days = asked.join(F.broadcast(event_days(calendar, spec)), "event_date").select("instrument", "trade_date").distinct()
+    days = settled(
+        asked.join(F.broadcast(event_days(calendar, spec)), "event_date").select("instrument", "event_date", "trade_date"), "event-days",
+    ).broadcastable()
+    wanted = pairs.join(coefficients, ["instrument", "event_date"]).join(days, ["instrument", "event_date"])
     bars = nan_to_null(
         aligned.select("instrument", "trade_date", "ts", "return", "volume", "market_return")
-    ).join(broadcast_within(days), ["instrument", "trade_date"], "left_semi")
+    ).join(days, ["instrument", "trade_date"], "left_semi")
     return wanted.join(bars, ["instrument", "trade_date"]).select(
         "ipo_id",
         F.col("instrument").alias("rival_fc"),

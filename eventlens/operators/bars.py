@@ -49,7 +49,7 @@ def resample_bars(
     )
 
 
-def bar_returns(bars: DataFrame, chunk: str = "day") -> DataFrame:
+def bar_returns(bars: DataFrame, chunk: str = "day", before: DataFrame | None = None) -> DataFrame:
     """Simple return over the previous bar of the same instrument.
 
     Adds ``trade_date``, ``prev_price`` and ``return``; the return is NULL for
@@ -57,12 +57,17 @@ def bar_returns(bars: DataFrame, chunk: str = "day") -> DataFrame:
     ``day``, ``month`` or ``year`` so that none is ordered in one task; the
     bar before a chunk comes from the last price of the chunk before it. The
     bars are read twice, so they should be a stored table. A NaN price is NULL.
+    ``before`` has the close before an instrument's first bar, as ``instrument, close`` (see
+    ``closes_before``), for bars that are a part of a history.
     """
     bars = bars.withColumn("price", number(F.col("price")))
     day = F.to_date("ts")
     part = day if chunk == "day" else F.trunc(day, chunk)
     keyed = bars.withColumn("chunk", part)
     closes = keyed.groupBy("instrument", "chunk").agg(F.max_by("price", "ts").alias("close"))
+    if before is not None:
+        # as a chunk before all others, which no bar belongs to
+        closes = closes.unionByName(before.select("instrument", F.lit("0001-01-01").cast("date").alias("chunk"), "close"))
     opens = closes.select(
         "instrument",
         "chunk",

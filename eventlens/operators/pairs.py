@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +10,9 @@ from pyspark.sql import functions as F
 from eventlens.functions.codes import full_code
 from eventlens.operators.calendar import StudySpec, event_days
 from eventlens.operators.estimation import estimates
-from eventlens.session import broadcast_within, settle
+from eventlens.session import Settled, broadcast_within, settle, settled
 from eventlens.sources.tables import scan_bars
 
-# Days before a span in which the close before its first bar is looked for first.
-LOOKBACK_DAYS = 30
-
 
 def pair_events(pairs: DataFrame, events: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Distinct pairs with their event date, instrument code and windows.
@@ -74,51 +70,26 @@ def events_nested(pair_windows: DataFrame, target: int = 1000) -> DataFrame:
     )
 
 
-def ticks_in_span(ticks: DataFrame, spans: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+def settled_spans(spans: DataFrame | Settled) -> Settled:
+    """``spans`` (see ``instrument_span``) stored, with their outer bounds."""
+    return settled(spans, "spans", first=F.min("first_day"), last=F.max("last_day"), latest=F.max("first_day"))
+
+
+def ticks_in_span(ticks: DataFrame, spans: DataFrame | Settled) -> DataFrame:
     """Ticks or bars of the instruments and days of ``spans`` (see ``instrument_span``).
 
-    The outer bounds are literals that reach the scan; each instrument's own
-    span is a semi-join with one row per instrument. Spans begin
-    ``lookback_days`` earlier, since the first return needs the close before it;
-    :func:`bars_in_span` cuts that part off again. For instruments that did not
-    trade in those days, the last day on which they did is added, however long ago.
+    The outer bounds are literals that reach the scan, and nothing beyond them
+    is read; each instrument's own span is a semi-join with one row per
+    instrument. The close before a span, which its first return needs, comes from
+    the index of closes (``closes_before``).
     """
-    first, last = spans.agg(F.min("first_day"), F.max("last_day")).first()
-    if first is None:
+    spans = settled_spans(spans)
+    if spans.values["first"] is None:
         return ticks.where(F.lit(False))
-    near = scan_bars(ticks, first - dt.timedelta(days=lookback_days), last)
-    near = _semi_join_spans(near, spans, F.date_sub("first_day", lookback_days))
-    traded = _before(near, spans, F.col("first_day")).select("rival_fc").distinct()
-    resuming = settle(spans.join(traded, "rival_fc", "left_anti"), "resuming")
-    if resuming.isEmpty():
-        return near
-    earlier = ticks.where(F.col("ts") < F.lit(last).cast("timestamp_ntz"))
-    last_days = _before(earlier, resuming, F.date_sub("first_day", lookback_days)).groupBy("rival_fc").agg(
-        F.max(F.to_date("ts")).alias("first_day"),
-    )
-    last_days = settle(last_days.withColumn("last_day", F.col("first_day")), "last-days")
-    first, last = last_days.agg(F.min("first_day"), F.max("last_day")).first()
-    if first is None:
-        return near
-    return near.unionByName(_semi_join_spans(scan_bars(ticks, first, last), last_days, F.col("first_day")))
-
-
-def _before(rows: DataFrame, spans: DataFrame, first: Column) -> DataFrame:
-    """``rival_fc, ts`` of the rows of each instrument on days before ``first`` of its span."""
-    bounds = broadcast_within(spans.select("rival_fc", first.alias("span_first")))
-    before = (F.col("instrument") == F.col("rival_fc")) & (F.to_date("ts") < F.col("span_first"))
-    return rows.select("instrument", "ts").join(bounds, before).select("rival_fc", "ts")
-
-
-def bars_in_span(bars: DataFrame, spans: DataFrame) -> DataFrame:
-    """Bars on the days of their instrument's span."""
-    return _semi_join_spans(bars, spans, F.col("first_day"))
-
-
-def _semi_join_spans(rows: DataFrame, spans: DataFrame, first: Column) -> DataFrame:
-    bounds = broadcast_within(spans.select("rival_fc", first.alias("span_first"), F.col("last_day").alias("span_last")))
+    near = scan_bars(ticks, spans.values["first"], spans.values["last"])
+    bounds = spans.broadcastable().select("rival_fc", F.col("first_day").alias("span_first"), F.col("last_day").alias("span_last"))
     inside = F.to_date("ts").between(F.col("span_first"), F.col("span_last"))
-    return rows.join(bounds, (F.col("instrument") == F.col("rival_fc")) & inside, "left_semi")
+    return near.join(bounds, (F.col("instrument") == F.col("rival_fc")) & inside, "left_semi")
 
 
 def pair_outcomes(

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from eventlens.functions.codes import full_code
 from eventlens.operators.abnormal import abnormal_bars
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows
+from eventlens.operators.closes import closes_before, daily_closes, refresh_closes
 from eventlens.operators.cuts import CutSpec, window_cuts_wide
 from eventlens.operators.pairs import (
-    bars_in_span,
     event_rejects,
     instrument_span,
     pair_events,
     pair_outcomes,
+    settled_spans,
     ticks_in_span,
 )
 from eventlens.operators.rollup import rival_mean, year_stats
-from eventlens.operators.selection import keep_first
+from eventlens.operators.selection import keep_first, pending_items
 from eventlens.plans.resume import pending_filter
 from eventlens.session import scratch_scope, settle
 from eventlens.sources.sinks import sink_append, sink_overwrite
@@ -50,22 +52,43 @@ def study_event_bars(
     freq: str = FREQ,
     volume_method: str = "diff",
     min_obs: int = 2,
+    closes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Abnormal returns and volumes per event bar, and the rejected pairs.
 
     Only the instruments of ``pairs`` are read, each over the days its own
-    events need. ``market`` holds bars with returns of the index.
+    events need. ``market`` holds bars with returns of the index. ``closes`` is
+    the index of last closes (``refresh_closes``); without it one is made from all ticks.
     """
     windows = settle(event_windows(events.select("ipo_id", "event_date"), calendar, spec), "windows")
     paired = settle(pair_events(pairs, events, windows), "paired")
-    spans = settle(instrument_span(paired), "spans")
-    bars = bars_in_span(returns_from_ticks(ticks_in_span(ticks, spans), freq), spans)
+    spans = settled_spans(instrument_span(paired))
+    before = closes_before(daily_closes(ticks) if closes is None else closes, spans)
+    bars = bar_returns(settle(resample_bars(ticks_in_span(ticks, spans), freq), "bars"), before=before)
     aligned = settle(align_market(bars, market), "aligned")
     results = abnormal_bars(aligned, calendar, paired, spec, volume_method, min_obs)
     outcomes = pair_outcomes(pairs, events, windows, aligned, calendar, spec, min_obs)
     return results, event_rejects(outcomes)
 
 
+def with_earlier_rejects(rejects: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
+    """``rejects`` of a run over ``pairs`` with those stored at ``path`` whose pair the run did not try.
+
+    A pair is an id and the rival's full code, or its spelling where that is no code.
+    """
+    spark = rejects.sparkSession
+    try:
+        stored = spark.read.schema(rejects.schema).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return rejects
+    keys = ["ipo_id", "rival"]
+    tried = pairs.select("ipo_id", F.coalesce(full_code(F.col("rival_stkcd")), F.col("rival_stkcd")).alias("rival"))
+    earlier = stored.withColumn("rival", F.coalesce("rival_fc", "rival_stkcd"))
+    return rejects.unionByName(pending_items(earlier, tried, keys).drop("rival"))
+
+
 def run_event_study(
     ticks: DataFrame,
     market: DataFrame,
@@ -80,26 +103,36 @@ def run_event_study(
     resume: bool = False,
     volume_method: str = "diff",
     min_obs: int = 2,
+    closes: str | None = None,
 ) -> dict[str, str]:
     """Run the study and write its tables; returns their paths by name.
 
     Each stage is read back from its table, so a lost executor repeats no
     earlier stage; tables made on the way are removed at the end. With
     ``resume`` pairs already in the output are skipped and new results are
-    appended; where there is no output yet, it is a first run.
+    appended; where there is no output yet, it is a first run. Rejects of
+    earlier runs stay unless their pair is tried again; they are written before
+    results, so that a run that fails between the two tries those pairs again.
+    The index of last closes at ``closes`` (below the output if not given) is brought up to date first,
+    from the newest day on that it has.
     """
     spark = ticks.sparkSession
     names = ("event_bars", "rejects", "event_windows", "event_windows_mean", "year_stats")
     paths = {name: f"{output.rstrip('/')}/{name}" for name in names}
+    closes = closes or f"{output.rstrip('/')}/closes"
     with scratch_scope(spark):
         events = settle(first_events(index), "events")
         if resume:
             coded = pairs.withColumn("rival_fc", full_code(F.col("rival_stkcd")))
             pending = pending_filter(spark, paths["event_bars"], ["ipo_id", "rival_fc"])
-            pairs = pending(coded).select(*pairs.columns)
-        bars, rejects = study_event_bars(ticks, market, calendar, pairs, events, spec, freq, volume_method, min_obs)
-        (sink_append if resume else sink_overwrite)(bars, paths["event_bars"])
+            pairs = settle(pending(coded).select(*pairs.columns), "pending")
+        stored = refresh_closes(ticks, closes)
+        bars, rejects = study_event_bars(
+            ticks, market, calendar, pairs, events, spec, freq, volume_method, min_obs, stored)
+        if resume:
+            rejects = settle(with_earlier_rejects(rejects, pairs, paths["rejects"]), "rejects")
         sink_overwrite(rejects, paths["rejects"])
+        (sink_append if resume else sink_overwrite)(bars, paths["event_bars"])
         wide = window_cuts_wide(read_event_bars(spark, paths["event_bars"]), times, cut)
         sink_overwrite(wide, paths["event_windows"])
         sink_overwrite(rival_mean(spark.read.parquet(paths["event_windows"])), paths["event_windows_mean"])

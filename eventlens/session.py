@@ -8,9 +8,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,12 +139,42 @@ def row_bytes(df: DataFrame) -> int:
     return sum(8 if isinstance(f.dataType, fixed) else _VARIABLE_BYTES for f in df.schema.fields)
 
 
+@dataclass(frozen=True)
+class Settled:
+    """A stored frame and what its writing counted: ``rows`` and the named ``values``."""
+
+    frame: DataFrame
+    rows: int
+    values: dict
+
+    def broadcastable(self, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        """The frame, with a broadcast hint when its rows are shown to have about ``max_bytes`` at most."""
+        return F.broadcast(self.frame) if self.rows * row_bytes(self.frame) <= max_bytes else self.frame
+
+
+def settled(df: DataFrame | Settled, name: str = "stage", **values: Column) -> Settled:
+    """:func:`settle` that also observes the number of rows and the aggregates ``values`` while it writes.
+
+    No job is run for them. A frame that is settled already is passed on; its
+    values are those it was settled with, or are computed if it lacks any.
+    """
+    if isinstance(df, Settled):
+        if all(v in df.values for v in values):
+            return df
+        found = df.frame.agg(*[c.alias(n) for n, c in values.items()]).first()
+        return Settled(df.frame, df.rows, {**df.values, **found.asDict()})
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in values.items()])
+    stored = settle(observed, name)
+    found = seen.get
+    return Settled(stored, found["rows"], {n: found[n] for n in values})
+
+
 def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when ``df`` is shown to have about ``max_bytes`` at most.
 
     The frame is settled first, so that counting and joining read one stored
-    copy whichever way it is joined; the count comes from file footers. Beyond
+    copy whichever way it is joined; rows are counted as they are written. Beyond
     the bound it is returned without a hint and joined by shuffle.
     """
-    stored = settle(df, "lookup")
-    return F.broadcast(stored) if stored.count() * row_bytes(df) <= max_bytes else stored
+    return settled(df, "lookup").broadcastable(max_bytes)

@@ -26,3 +26,14 @@ def sink_append(
 ) -> None:
     """Add this result to the output."""
     _write(df, path, fmt, "append", partition_by)
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Replace the partitions that ``df`` has rows for, and no other file of the output.
+
+    The new files are written aside and moved in when all are complete, so a job
+    that fails leaves the old ones, and one that is repeated gives the same
+    output. ``df`` must not read ``path`` itself: settle it first. A partition of which ``df``
+    has no row stays.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

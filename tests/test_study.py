@@ -415,10 +415,10 @@ def test_whole_study_and_resume(spark, calendar, tmp_path):
     assert [r.rival_fc for r in spark.read.parquet(paths["rejects"]).collect()] == ["SZ000002"]
     # a resumed pair reads its own instrument's span alone
     spans = spark.createDataFrame([("SZ000001", DAYS[3], DAYS[9])], "rival_fc string, first_day date, last_day date")
-    near = pairs.ticks_in_span(stocks, spans, lookback_days=1)
+    near = pairs.ticks_in_span(stocks, spans)
     assert {r.instrument for r in near.collect()} == {"SZ000001"}
     days = {r.ts.date() for r in near.collect()}
-    assert min(days) >= DAYS[3] - dt.timedelta(days=1) and max(days) == DAYS[9]
+    assert min(days) == DAYS[3] and max(days) == DAYS[9]
     path = str(tmp_path / "ticks")
     stocks.write.parquet(path)
     plan = pairs.ticks_in_span(spark.read.parquet(path), spans)._jdf.queryExecution().executedPlan().toString()
@@ -427,3 +427,29 @@ def test_whole_study_and_resume(spark, calendar, tmp_path):
     assert spark.read.parquet(paths["event_windows"]).count() == 3
     assert spark.read.parquet(paths["event_windows_mean"]).count() == 2
     assert spark.read.parquet(paths["year_stats"]).count() == 84
+
+
+def test_rejects_outlive_a_resumed_run(spark, calendar, tmp_path):
+    """A pair without estimate counts as finished; its reason must not be lost, nor repeated."""
+    day = DAYS[12]
+    at = {"SH600000": DAYS, "SZ000001": [day], "SZ000002": [], "SZ000003": [DAYS[-1]]}
+    ticks = spark.createDataFrame(
+        [(name, ts, n, 10.0 + (n * 7 + i) % 5, 1.0) for i, (name, days) in enumerate(at.items()) for d in days for n, ts in enumerate(bar_times(d))],
+        schemas.TICKS)
+    market = bars.bar_returns(bars.resample_bars(ticks.where("instrument = 'SH600000'")))
+    index = spark.createDataFrame([("a", "9", day)], "ipo_id string, ipo_stkcd_raw string, roadshow_date date")
+    times = spark.createDataFrame([("a", 570, 590)], "ipo_id string, start_minute int, end_minute int")
+    spec = StudySpec(estimation=((-8, -4), (-4, -3), (-3, -2)), event=(-1, 1))
+    out = str(tmp_path / "study")
+
+    def run(codes):
+        rows = [("a", "9", c) for c in codes]
+        paths = run_event_study(ticks, market, calendar, spark.createDataFrame(rows, schemas.PAIRS), index, times, out, spec, resume=True)
+        return sorted((r.rival_stkcd, r.reason) for r in spark.read.parquet(paths["rejects"]).collect())
+
+    first = run(["600000", "1", "n/a"])
+    assert first == [("1", "no estimate"), ("n/a", "bad code")]
+    # other pairs, the same ones again, and one that is tried again
+    second = run(["2", "600000", "1"])
+    assert second == [("1", "no estimate"), ("2", "no data"), ("n/a", "bad code")]
+    assert run(["000001", "2", "n/a", "3"]) == [*second[:2], ("3", "no data"), second[2]]
