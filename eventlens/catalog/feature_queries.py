@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +12,11 @@ from eventlens.functions import labels, text
 from eventlens.operators import frames, scoring, selection, verbal
 from eventlens.plans.pitch import PitchResult
 from eventlens.plans.pitch import pitch_factor as pitch_plan
-from eventlens.session import scratch_path, settle, spread
+from eventlens.session import importable_in_workers, scratch_path, settle, spread
 from eventlens.sources import sinks, tables
 from eventlens.sources import transcripts as transcript_source
 from eventlens.sources.lexicon import read_lexicon
-from eventlens.streaming.transcripts import process_new_transcripts
+from eventlens.streaming.transcripts import append_new_results, process_new_transcripts, read_results
 
 # --- text --------------------------------------------------------------------
 
@@ -107,7 +108,7 @@ def polarity_tone(spark: SparkSession, d: str) -> DataFrame:
     return rounded(verbal.polarity_tone(fx.segments(spark, d), score))
 
 
-@query(f"""WITH {fx.SQL_WORDS}, {fx.SQL_LEXICON}, {fx.SQL_SEGMENTS},
+_VERBAL_SQL = f"""WITH {fx.SQL_WORDS}, {fx.SQL_LEXICON}, {fx.SQL_SEGMENTS},
 tx AS (SELECT file_stem, string_agg(trim(text, E' \\t\\n\\r'), ' ' ORDER BY seg_no) AS full_text FROM seg GROUP BY file_stem),
 tk AS (SELECT file_stem, unnest(string_split({fx.SQL_CLEAN.format(t='full_text')}, ' ')) AS word FROM tx),
 ct AS (SELECT file_stem, count(*) AS n,
@@ -117,11 +118,53 @@ ct AS (SELECT file_stem, count(*) AS n,
   FROM tk WHERE word <> '' GROUP BY file_stem)
 SELECT file_stem, {r6('positive_ratio=p / n', 'negative_ratio=m / n', 'uncertain_ratio=u / n', 'tone_score=(p - m) / n')},
   n AS total_words, length(replace(full_text, ' ', '')) AS total_chars, 'lexicon' AS method, '' AS error
-FROM tx JOIN ct USING (file_stem)""")
+FROM tx JOIN ct USING (file_stem)"""
+
+
+@query(_VERBAL_SQL)
 def verbal_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(verbal.verbal_features(fx.segments(spark, d), fx.lexicon(spark, d), "word"))
 
 
+@query(_VERBAL_SQL)
+def incremental_verbal(spark: SparkSession, d: str) -> DataFrame:
+    """Features of transcripts that arrive in two parts and are worked through in batches of files."""
+    landing, output, progress = (scratch_path(spark, n) for n in ("landing", "verbal", "progress"))
+    lexicon = settle(fx.lexicon(spark, d), "lexicon")
+    arriving = fx.transcripts(spark, d)
+    early = F.substring("file_stem", -3, 1) < "5"
+    for part in (arriving.where(early), arriving.where(~early)):
+        # a recording's documents are in one file
+        part.repartition(4, "file_stem").write.mode("append").json(landing)
+        append_new_results(
+            spark, landing, output, progress,
+            lambda batch: verbal.verbal_features(transcript_source.transcript_segments(batch), lexicon, "word"), max_files=3,
+        )
+    return rounded(read_results(spark, output))
+
+
+@query(f"""WITH {fx.SQL_SEGMENTS}, sc AS (
+  SELECT file_stem, CASE WHEN length(text) % 7 <> 0 THEN (length(text) % 11) / 10 END AS s,
+    CASE WHEN length(text) % 7 = 0 THEN 'ValueError: no score for ' || length(text) END AS problem
+  FROM seg WHERE trim(text, E' \\t\\n\\r') <> ''),
+av AS (
+  SELECT file_stem, (coalesce(avg(s), 0.5) - 0.5) * 2 AS tone, count(s) AS n, count(problem) AS errors, coalesce(min(problem), '') AS error
+  FROM sc GROUP BY file_stem)
+SELECT file_stem, {r6('positive_ratio=greatest(0.0, tone)', 'negative_ratio=greatest(0.0, -tone)')},
+  CAST(NULL AS DOUBLE) AS uncertain_ratio, {r6('tone_score=tone')}, n AS total_words, 'snownlp' AS method, errors, error FROM av""")
+def guarded_polarity(spark: SparkSession, d: str) -> DataFrame:
+    """A scorer that raises on about every seventh text."""
+    importable_in_workers(spark)
+    return rounded(verbal.guarded_polarity(fx.segments(spark, d), _failing_score))
+
+
+def _failing_score(texts: pd.Series) -> pd.Series:
+    sizes = texts.str.len()
+    if (sizes % 7 == 0).any():
+        raise ValueError(f"no score for {sizes[sizes % 7 == 0].iloc[0]}")
+    return (sizes % 11) / 10
+
+
 @query(f"""WITH {fx.SQL_SEGMENTS}, av AS (
   SELECT file_stem, (avg((length(text) % 11) / 10) - 0.5) * 2 AS tone, count(*) AS n,
     sum(length(replace(trim(text, E' \\t\\n\\r'), ' ', ''))) AS chars FROM seg GROUP BY file_stem)

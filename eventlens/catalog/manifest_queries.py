@@ -28,8 +28,12 @@ def _code() -> Column:
     return F.when(F.col("page_id") % 5 == 3, picked).otherwise((F.col("page_id") + 600000).cast("string"))
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("page_id") / 5).cast("int")), "yyyyMMdd")
+def _pages(spark: SparkSession, d: str, spelt: bool = False) -> DataFrame:
+    date = F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("page_id") / 5).cast("int"))
+    day = F.date_format(date, "yyyyMMdd")
+    if spelt:
+        n = F.col("page_id") % 3
+        day = F.when(n == 0, F.date_format(date, "yyyy_MM_dd")).when(n == 1, F.date_format(date, "yyyy-MM-dd")).otherwise(day)
     return fx.table(spark, d, "pages").select(
         "page_id",
         "url",
@@ -41,9 +45,9 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
+def _index(spark: SparkSession, d: str, spelt: bool = False) -> DataFrame:
     """One row per page with code and date columns of every platform but the last."""
-    pages = _pages(spark, d)
+    pages = _pages(spark, d, spelt)
     columns = []
     for p in PLATFORMS[:-1]:
         own = F.col("platform") == p
@@ -107,6 +111,18 @@ def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
     return manifest.manifest_counts(checked)
 
 
+@query(f"""WITH {_SQL_TASKS}, f AS (
+  SELECT DISTINCT index2009 || '_' || code || '_' || date || '.wav' AS name FROM pg WHERE page_id % 3 <> 0)
+SELECT count(*) AS total, count(f.name) AS valid, count(*) AS stored
+FROM task LEFT JOIN f ON f.name = index2009 || '_' || code || '_' || date || '.wav'""")
+def manifest_written(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that writing a manifest gives, beside the rows it stored."""
+    path = scratch_path(spark, "manifest")
+    counts = manifest.write_manifest(manifest.manifest_check(manifest.platform_pick(_index(spark, d)), _audio(spark, d)), path)
+    told = [F.lit(counts[c]).cast("long").alias(c) for c in ("total", "valid")]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stored")).select(*told, "stored")
+
+
 @query(f"""WITH {_SQL_PAGES}, f AS (
   SELECT 'C' || (page_id % 97) AS file_stem, platform, page_id % 5 AS rank FROM pg WHERE length(url) % 3 <> 0),
 best AS (SELECT file_stem, min(rank) AS rank FROM f GROUP BY file_stem),
@@ -121,7 +137,7 @@ def priority_lookup(spark: SparkSession, d: str) -> DataFrame:
     return manifest.priority_lookup(items, listed)
 
 
-def _videos(spark: SparkSession, d: str) -> DataFrame:
+def _videos(spark: SparkSession, d: str, spelt: bool = False) -> DataFrame:
     """Numbered segments, single recordings and promotions of every page."""
     host = F.regexp_extract("url", "://([^/]+)", 1)
     count = (F.length("url") % 5).cast("int")
@@ -132,14 +148,15 @@ def _videos(spark: SparkSession, d: str) -> DataFrame:
     )
     promo = F.when(F.col("page_id") % 3 == 0, F.array(F.concat(stem, F.lit("_宣传片.mp4")))).otherwise(F.array().cast("array<string>"))
     whole = F.when(F.col("page_id") % 4 == 0, F.array(F.concat(stem, F.lit(".mp4")))).otherwise(F.array().cast("array<string>"))
-    names = _pages(spark, d).select("platform", F.explode(F.concat(numbered, promo, whole)).alias("name"))
+    names = _pages(spark, d, spelt).select("platform", F.explode(F.concat(numbered, promo, whole)).alias("name"))
     return names.select("platform", "name", F.concat(F.lit("/video/"), "platform", F.lit("/"), "name").alias("path"))
 
 
 _PATH = "'/video/' || platform || '/' || name"
 
 
-@query(f"""WITH {_SQL_TASKS},
+# Fixed values in it: the platforms and securities that have segments, and how many.
+_PLAN_SQL = f"""WITH {_SQL_TASKS},
 file AS (
   SELECT platform, code || '_' || regexp_extract(url, '://([^/]+)', 1) || '_' || date ||
     unnest(list_transform(range(1, length(url) % 5 + 1), lambda k: '_视频' || k || '.mp4')
@@ -171,12 +188,28 @@ r AS (
     coalesce(CASE WHEN top IS NULL THEN n ELSE slots END, 0) AS found FROM e LEFT JOIN g USING (index2009))
 SELECT index2009, platform, code, date, video_number, paths, CAST(expected AS INTEGER) AS expected,
   CAST(found AS INTEGER) AS found, CAST(candidates AS BIGINT) AS candidates,
-  CASE WHEN paths = '' THEN 'missing' WHEN found <> expected THEN 'mismatch' ELSE 'ok' END AS status FROM r""")
+  CASE WHEN paths = '' THEN 'missing' WHEN found <> expected THEN 'mismatch' ELSE 'ok' END AS status FROM r"""
+
+
+@query(_PLAN_SQL)
 def segment_plan(spark: SparkSession, d: str) -> DataFrame:
     plan = manifest.segment_plan(manifest.platform_pick(_index(spark, d)), _videos(spark, d))
     return plan.withColumn("paths", F.array_join("paths", ","))
 
 
+_DAY_SQL = "strftime(DATE '2020-01-01' + CAST(page_id // 5 AS INTEGER), '{}')"
+_SPELT_SQL = "CASE page_id % 3 " + " ".join(
+    f"{when} {_DAY_SQL.format(spelling)}" for when, spelling in (("WHEN 0 THEN", "%Y_%m_%d"), ("WHEN 1 THEN", "%Y-%m-%d"), ("ELSE", "%Y%m%d"))
+) + " END"
+
+
+@query(_PLAN_SQL.replace(_DAY_SQL.format("%Y%m%d"), _SPELT_SQL).replace("|| t.date ||", "|| replace(t.date, '_', '!_') ||"))
+def segment_plan_dated(spark: SparkSession, d: str) -> DataFrame:
+    """Dates in three spellings, one with the sign that parts the names of files."""
+    plan = manifest.segment_plan(manifest.platform_pick(_index(spark, d, spelt=True)), _videos(spark, d, spelt=True))
+    return plan.withColumn("paths", F.array_join("paths", ","))
+
+
 @query(f"""WITH {_SQL_PAGES}
 SELECT platform, CAST(sum(length('{{"page_id":' || page_id || ',"url":"' || url || '"}}') + 1) AS BIGINT) AS bytes, TRUE AS has_files, TRUE AS paths_fit
 FROM pg WHERE platform <> 'IR' GROUP BY platform""")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import path_stem, strip
+from eventlens.sources.sinks import sink_counted
 
 # Platforms in order of preference, and column and file name parts.
 PLATFORMS = ["全景", "上证", "中国证券网", "中证", "IR"]
@@ -90,6 +91,11 @@ def manifest_counts(checked: DataFrame, path_col: str = "audio_path") -> DataFra
     return checked.agg(F.count(F.lit(1)).alias("total"), F.count(path_col).alias("valid"))
 
 
+def write_manifest(checked: DataFrame, path: str, path_col: str = "audio_path") -> dict[str, int]:
+    """Write a checked manifest and give :func:`manifest_counts` of it, counted by the writing itself."""
+    return sink_counted(checked, path, total=F.count(F.lit(1)), valid=F.count(path_col))
+
+
 def priority_lookup(
     items: DataFrame, files: DataFrame, platforms: list[str] = PLATFORMS
 ) -> DataFrame:
@@ -130,13 +136,18 @@ _DATE_KEY = 8
 
 
 def _candidates(lookups: DataFrame, listed: DataFrame) -> DataFrame:
-    """Files of the code of each lookup whose name has a part that begins like its date.
+    """Files of the code of each lookup in whose name the beginning of its date follows a ``_``.
 
+    What follows each ``_`` is taken with any further ``_`` in it, since a date may have some.
     Without a date of full length, such as on the platform that has none, only
     platform and code are compared.
     """
-    tokens = F.array_distinct(F.transform(F.split("name", "_"), lambda t: F.substring(t, 1, _DATE_KEY)))
-    keyed = listed.withColumn("day", F.explode(tokens))
+    parts = F.split("name", "_")
+    after = F.transform(
+        F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
+        lambda n: F.substring(F.array_join(F.slice(parts, n, F.size(parts)), "_"), 1, _DATE_KEY),
+    )
+    keyed = listed.withColumn("day", F.explode(F.array_distinct(after)))
     long = F.length("date") >= _DATE_KEY
     by_day = lookups.where(long).withColumn("day", F.substring("date", 1, _DATE_KEY))
     found = by_day.join(keyed, ["platform", "code", "day"]).drop("day")

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.guarded import guarded
 from eventlens.functions.nulls import ratio
 from eventlens.functions.text import strip, tokens
 from eventlens.session import broadcast_within
@@ -102,6 +104,24 @@ def polarity_tone(
     return summed.select("file_stem", *_polarity(F.col("s"), F.col("n")), F.lit(method).alias("method"))
 
 
+def guarded_polarity(
+    segments: DataFrame, score: Callable[[pd.Series], pd.Series], method: str = POLARITY_METHOD
+) -> DataFrame:
+    """:func:`polarity_tone` by a scorer over texts that may fail: failing segments are left out and counted.
+
+    Adds ``errors``, the number of segments whose scoring raised, and ``error``,
+    the first of their messages in the order of text, else empty.
+    """
+    scored = segments.select("file_stem", "text", guarded(score)(F.col("text")).alias("scored"))
+    spoken = strip(F.coalesce("text", F.lit(""))) != ""
+    kept = F.when(spoken, F.col("scored.value"))
+    failed = F.when(spoken, F.col("scored.error"))
+    summed = scored.groupBy("file_stem").agg(
+        F.avg(kept).alias("s"), F.count(kept).alias("n"), F.count(failed).alias("errors"), F.coalesce(F.min(failed), F.lit("")).alias("error"),
+    )
+    return summed.select("file_stem", *_polarity(F.col("s"), F.col("n")), F.lit(method).alias("method"), "errors", "error")
+
+
 def verbal_features(
     segments: DataFrame,
     lexicon: DataFrame,

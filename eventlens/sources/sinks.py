@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 
 def _write(df: DataFrame, path: str, fmt: str, mode: str, partition_by: list[str] | None) -> None:
@@ -37,3 +37,13 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     has no row stays.
     """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def sink_counted(df: DataFrame, path: str, fmt: str = "parquet", **measures: Column) -> dict[str, int]:
+    """Replace the output by this result and give aggregates of it, observed while it is written.
+
+    No second job reads the result or computes it again.
+    """
+    seen = Observation()
+    sink_overwrite(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), path, fmt)
+    return {n: seen.get[n] for n in measures}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from eventlens.sources.sinks import replace_partitions
 from eventlens.sources.transcripts import CORRUPT, READ_SCHEMA, rejects, transcript_segments, with_stem
 
 
@@ -67,8 +69,9 @@ def process_new_batches(
 ) -> None:
     """Hand each batch of new transcripts to ``handle(batch, batch_id)``.
 
-    For results that need a whole recording at a time, such as
-    ``verbal_features`` followed by an append.
+    A batch that was handled but not yet marked as done when a run ended is
+    handed over again under the same id; what ``handle`` does must allow for that,
+    as :func:`append_new_results` does.
     """
     query = (
         transcript_stream(spark, folder, max_files)
@@ -78,3 +81,34 @@ def process_new_batches(
         .start()
     )
     query.awaitTermination()
+
+
+BATCH = "batch_id"
+
+
+def append_new_results(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    checkpoint: str,
+    transform: Callable[[DataFrame], DataFrame],
+    max_files: int = 1000,
+) -> None:
+    """Add ``transform(batch)`` of each batch of new transcripts to ``output``, each once.
+
+    For results that need a whole recording at a time, such as ``verbal_features``.
+    Results of a batch are a partition of their own, named by its id. A batch that is
+    replayed, because the run ended between writing and marking it as done, replaces
+    its partition, so nothing is lost or added twice. ``checkpoint`` belongs to ``output``:
+    neither may be used with another.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        replace_partitions(transform(batch).withColumn(BATCH, F.lit(number)), output, [BATCH])
+
+    process_new_batches(spark, folder, checkpoint, handle, max_files)
+
+
+def read_results(spark: SparkSession, output: str) -> DataFrame:
+    """What :func:`append_new_results` wrote, without the number of the batch."""
+    return spark.read.parquet(output).drop(BATCH)

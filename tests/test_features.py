@@ -7,16 +7,19 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from eventlens import schemas
+from eventlens.functions import guarded as guard
 from eventlens.operators import frames, manifest, scoring, verbal
 from eventlens.plans.pitch import pitch_factor
 from eventlens.session import scratch_path
 from eventlens.sources import media, sinks, tables
 from eventlens.sources.lexicon import read_lexicon
 from eventlens.sources.transcripts import read_transcripts, transcript_rejects, transcript_segments
-from eventlens.streaming.transcripts import process_new_batches, process_new_transcripts
+from eventlens.streaming import transcripts as stream
+from eventlens.streaming.transcripts import append_new_results, process_new_batches, process_new_transcripts, read_results
 
 SEGMENTS = "file_stem string, seg_no int, start double, end double, text string"
 
@@ -284,6 +287,18 @@ def test_segment_plan(spark):
     assert got["g"].status == got["h"].status == "missing" and got["h"].expected == 1
 
 
+def test_segment_plan_finds_dates_of_any_spelling(spark):
+    dates = ["2023_01_05", "2023-01-05", "20230105", "2023_1_5", "d_1"]
+    tasks = [(d, "全景", "000001", d, 1) for d in dates] + [("two", "上证", "000001", "2023_01_05", 2), ("other", "全景", "000001", "2023_01_06", 1)]
+    files = [("全景", f"000001_x_y_{d}.mp4") for d in dates] + [("上证", f"000001_x_2023_01_05_视频{k}.mp4") for k in (1, 2)]
+    manifest_df = spark.createDataFrame(tasks, "index2009 string, platform string, code string, date string, video_number int")
+    listed = spark.createDataFrame([(p, n, "/" + n) for p, n in files], "platform string, name string, path string")
+    got = {r.index2009: r for r in manifest.segment_plan(manifest_df, listed).collect()}
+    for d in dates:
+        assert (got[d].paths, got[d].status) == ([f"/000001_x_y_{d}.mp4"], "ok"), d
+    assert (len(got["two"].paths), got["two"].status, got["other"].status) == (2, "ok", "missing")
+
+
 def test_lookups(spark):
     files = spark.createDataFrame([("IR", "/IR/s.json"), ("上证", "/上证/s.json"), ("other", "/o/t.json")], "platform string, path string")
     items = spark.createDataFrame([("s",), ("t",)], "file_stem string")
@@ -356,6 +371,66 @@ def test_incremental_runs_once_per_file(spark, lexicon, tmp_path):
     assert {(r.file_stem, r.tone_score) for r in spark.read.parquet(scored).collect()} == {("a", 0.0), ("b", 0.0)}
 
 
+def test_a_replayed_batch_is_added_once(spark, lexicon, tmp_path, monkeypatch):
+    """The run ends after a batch is written and before it is marked as done."""
+    landing, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for stem in "abc":
+        row = [(stem, None, [(0.0, 1.0, "good bad good")])]
+        spark.createDataFrame(row, schemas.TRANSCRIPT).coalesce(1).write.mode("append").json(landing)
+    written = []
+
+    def interrupted(df, path, by):
+        sinks.replace_partitions(df, path, by)
+        written.append(df.count())
+        if len(written) == 2:
+            raise RuntimeError("lost before the commit")
+
+    features = lambda batch: verbal.verbal_features(transcript_segments(batch), lexicon, "word")
+    monkeypatch.setattr(stream, "replace_partitions", interrupted)
+    with pytest.raises(StreamingQueryException):
+        append_new_results(spark, landing, out, progress, features, max_files=1)
+    assert written == [1, 1]
+    append_new_results(spark, landing, out, progress, features, max_files=1)
+    append_new_results(spark, landing, out, progress, features, max_files=1)
+    # the second batch was handed over again
+    assert len(written) == 4
+    assert sorted(r.file_stem for r in read_results(spark, out).collect()) == ["a", "b", "c"]
+
+
+def test_failing_rows_of_a_scorer_are_told_apart(spark):
+    def fragile(texts):
+        if texts.str.contains("bad").any():
+            raise KeyError("bad")
+        return texts.str.len() / 10
+
+    rows = [("a", "fine"), ("a", "bad one"), ("a", ""), ("b", None), ("b", "bad"), ("c", "good"), ("c", "well")] * 40
+    df = spark.createDataFrame([(s, i, 0.0, 1.0, t) for i, (s, t) in enumerate(rows)], "file_stem string, seg_no int, start double, end double, text string")
+    got = by_stem(verbal.guarded_polarity(df, fragile))
+    assert (got["a"].total_words, got["a"].errors, got["a"].error) == (40, 40, "KeyError: 'bad'")
+    assert got["a"].tone_score == pytest.approx((0.4 - 0.5) * 2)
+    assert (got["b"].total_words, got["b"].errors, got["b"].tone_score) == (0, 40, 0.0)
+    assert (got["c"].errors, got["c"].error) == (0, "")
+    calls = []
+    values = pd.Series([f"t{i}" for i in range(1024)])
+    values[777] = "bad"
+    out = guard.scored_or_failed(lambda t: (calls.append(len(t)), fragile(t))[1], values)
+    assert len(calls) <= 21 and out["error"].notna().sum() == 1 and out["value"].isna().sum() == 1
+    short = guard.scored_or_failed(lambda t: [1.0], pd.Series(["x", "y"]))
+    assert short["value"].tolist() == [1.0, 1.0]
+    assert guard.scored_or_failed(fragile, pd.Series([], dtype=str)).empty
+
+
+def test_partitions_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    frame = lambda rows: spark.createDataFrame(rows, "v int, day string")
+    sinks.replace_partitions(frame([(1, "a"), (2, "b")]), path, ["day"])
+    sinks.replace_partitions(frame([(3, "b"), (4, "c")]), path, ["day"])
+    sinks.replace_partitions(frame([]), path, ["day"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b"), (4, "c")]
+    counts = sinks.sink_counted(frame([(1, "a"), (None, "b")]), str(tmp_path / "counted"), n=F.count(F.lit(1)), v=F.count("v"))
+    assert counts == {"n": 2, "v": 1}
+
+
 def test_feature_jobs_resume_and_score(spark, segments, lexicon, tmp_path):
     from eventlens.plans.features import run_pitch, run_verbal, run_visual, run_vocal
 
