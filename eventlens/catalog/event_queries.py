@@ -13,7 +13,7 @@ from eventlens.catalog.registry import query, r6, rounded
 from eventlens.functions.codes import full_code, padded_code, venue
 from eventlens.functions.times import parse_hhmm
 from eventlens.operators import bars as bar_ops
-from eventlens.operators import abnormal, cuts, estimation, pairs, rollup, selection
+from eventlens.operators import abnormal, cuts, estimation, pairs, rollup, running, selection
 from eventlens.operators.calendar import nth_trading_day as offset_days
 from eventlens.plans.event_study import run_event_study
 from eventlens.session import importable_in_workers, scratch_path, settle
@@ -342,6 +342,25 @@ def volume_baseline(spark: SparkSession, d: str) -> DataFrame:
     return rounded(estimation.volume_baseline(s.study_aligned, s.calendar, requests, fx.SPEC))
 
 
+_BOTH = [c for k in fx.SPEC.numbers for c in (f"alpha_est{k}", f"beta_est{k}", f"vol_mean_est{k}")]
+
+
+@query(f"""WITH {fx.SQL_ESTIMATION}
+SELECT instrument, event_date, {', '.join(f'n_est{k}, vol_n_est{k}' for k in fx.SPEC.numbers)}, {r6(*_BOTH)} FROM coef""")
+def running_model(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates looked up in running sums that were carried on in two steps."""
+    s = fx.Study(spark, d)
+    path = scratch_path(spark, "running")
+    first, last = s.spans.values["first"], s.spans.values["last"]
+    middle = F.lit(first + (last - first) / 2)
+    running.refresh_running(s.study_aligned.where(F.col("trade_date") < middle), s.calendar, path)
+    stored = running.refresh_running(s.study_aligned.where(F.col("trade_date") >= middle), s.calendar, path)
+    requests = s.paired.withColumnRenamed("rival_fc", "instrument")
+    found = running.estimates_from_running(stored, s.calendar, requests, fx.SPEC)
+    counts = [c for k in fx.SPEC.numbers for c in (f"n_est{k}", f"vol_n_est{k}")]
+    return rounded(found.select("instrument", "event_date", *counts, *_BOTH))
+
+
 @query(f"""WITH {fx.SQL_ESTIMATION}
 SELECT a.instrument, c.event_date, a.ts, {r6(*[f'ar_est{k}=ret - (alpha_est{k} + beta_est{k} * market_return)' for k in fx.SPEC.numbers])}
 FROM (SELECT DISTINCT rival_fc, event_date, event_start, event_end FROM pw) r
