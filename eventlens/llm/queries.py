@@ -197,7 +197,7 @@ walk AS (
   SELECT 0 AS n, kind, host, 0.15::DOUBLE * seed AS score FROM seeds
   UNION ALL
   SELECT n + 1, s.kind, s.b, sum(s.weight * w.score) FROM walk w JOIN steps s ON s.kind = w.kind AND s.a = w.host
-  WHERE n < 10 GROUP BY n, s.kind, s.b),
+  WHERE n < 400 GROUP BY n, s.kind, s.b),
 scores AS (
   SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust,
          coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 
-from eventlens.llm.queries import QUERIES, URL_RULES
+from eventlens.llm.queries import ORACLES, QUERIES, URL_RULES
 from eventlens.llm.url_filter import filter_urls, propagate
 from tests.llm import plain
 
@@ -100,3 +101,24 @@ def test_chains_longer_than_ten_hosts(spark):
             scores = {h: 0.15 * (h == seed) + sum(0.85 * scores[a] / total[a] for a, b in pairs if b == h) for h in hosts}
         assert {h: r[kind] for h, r in got.items()} == pytest.approx(scores, rel=1e-7, abs=0)
     assert {got[h]["verdict"] for h in chain} == {"block"}
+
+
+def test_sql_of_the_query_on_chains_and_rings(spark, tmp_path):
+    """Hosts with no rule are judged by links alone, over more than ten hosts and round in circles."""
+    chain = [*[f"farm{i}.org" for i in range(13)], "bad.net"]
+    links = [
+        *zip(chain, chain[1:], strict=False), ("seed.com", "r0.org"), ("r0.org", "r1.org"), ("r1.org", "r2.org"), ("r2.org", "r0.org"),
+        ("r1.org", "bad.net"), ("farm3.org", "r2.org"), ("seed.com", "f.org"), ("f.org", "f2.org"),
+    ]
+    hosts = sorted({h for pair in links for h in pair})
+    html = {h: " ".join(f'<a href="http://{b}/">x</a>' for a, b in links if a == h) for h in hosts}
+    rows = [(i, f"http://{h}{'/es/' if h == 'bad.net' else '/'}", html[h]) for i, h in enumerate(hosts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    checked = con.sql(ORACLES["op4_url_filter"])
+    names = [c[0] for c in checked.description]
+    got = sorted(map(tuple, QUERIES["op4_url_filter"](spark, str(tmp_path)).select(*names).collect()))
+    assert got == sorted(checked.fetchall())
+    verdicts = dict(zip(hosts, (r[names.index("verdict")] for r in got), strict=True))
+    assert {verdicts[h] for h in chain} == {"block"} and {verdicts[h] for h in ("r0.org", "r1.org", "f2.org")} == {"allow"}
