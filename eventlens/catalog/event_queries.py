@@ -17,7 +17,7 @@ from eventlens.operators import abnormal, cuts, estimation, pairs, rollup, runni
 from eventlens.operators.calendar import nth_trading_day as offset_days
 from eventlens.plans.event_study import run_event_study
 from eventlens.session import importable_in_workers, scratch_path, settle
-from eventlens.sources import sinks, tables
+from eventlens.sources import layouts, sinks, tables
 
 # --- scans -------------------------------------------------------------------
 
@@ -402,6 +402,28 @@ def abnormal_volume(spark: SparkSession, d: str) -> DataFrame:
     return _series(spark, d, "av")
 
 
+@query(f"""WITH {fx.SQL_ABNORMAL}
+SELECT {_ROW}, {r6('ar_est1', 'ar_est2', 'ar_est3', 'av_est1', 'av_est2', 'av_est3')} FROM eb""")
+def bars_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Event bars from bars stored in buckets, which no step moves again."""
+    s = fx.Study(spark, d)
+    path = scratch_path(spark, "bucketed")
+    name = f"bars_{path.rsplit('-', 1)[1]}"
+    stored = layouts.store_bucketed(s.study_aligned, name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rounded(abnormal.abnormal_bars(stored, s.calendar, s.paired, fx.SPEC))
+
+
+@query(f"""WITH {fx.SQL_STUDY}, sp AS (SELECT rival_fc, min(est1_start) AS a, max(event_end) AS b FROM pw GROUP BY rival_fc),
+t AS (SELECT {fx.SQL_FULL.format(k='(user_id % 10)')} AS instrument, ts, event_id AS tick_id, 100 + value AS price, 1.0::DOUBLE AS size FROM events)
+SELECT t.* FROM t JOIN sp ON t.instrument = sp.rival_fc AND CAST(ts AS DATE) BETWEEN a AND b""")
+def ticks_stored_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks of all spans from folders by day and venue."""
+    s = fx.Study(spark, d)
+    path = scratch_path(spark, "ticks")
+    layouts.store_ticks(fx.ticks(spark, d), path)
+    return layouts.stored_ticks_in_span(spark, path, s.spans)
+
+
 @query(f"""WITH {fx.SQL_DAILY}
 SELECT {_ROW}, {r6('ar_est1', 'ar_est2', 'ar_est3', 'av_est1', 'av_est2', 'av_est3')} FROM eb""")
 def daily_event_bars(spark: SparkSession, d: str) -> DataFrame:
