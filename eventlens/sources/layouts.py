@@ -41,7 +41,8 @@ def stored_ticks_in_span(spark: SparkSession, path: str, spans: DataFrame | Sett
     """``ticks_in_span`` of ticks stored by :func:`store_ticks`, opening only files that spans touch.
 
     The days and venues of all spans, at most one row per date and venue, are sent to the scan while the job
-    runs and select its folders, so gaps between spans and venues without a span are not opened.
+    runs. Folders are selected by day and by venue, so days in the gaps between spans and venues without a
+    span are not opened.
     """
     spans = settled_spans(spans)
     ticks = spark.read.parquet(path)
