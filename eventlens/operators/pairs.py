@@ -19,20 +19,19 @@ def pair_events(pairs: DataFrame, events: DataFrame, windows: DataFrame | None =
 
     Pairs are the same when their full codes are, however a code is spelt;
     codes that are no number are left out. ``events`` has one row per ``ipo_id``; pairs without a dated event are
-    dropped. With ``windows`` (see ``event_windows``) the boundaries are added
+    dropped. With ``windows`` of these events (see ``event_windows``) the boundaries are added
     and pairs of events that lack them are dropped.
     """
-    dated = (
+    coded = (
         pairs.withColumn("rival_fc", full_code(F.col("rival_stkcd")))
         .dropna(subset=["rival_fc"])
         .groupBy("ipo_id", "rival_fc")
         .agg(F.min("ipo_stkcd").alias("ipo_stkcd"), F.min("rival_stkcd").alias("rival_stkcd"))
-        .join(events.select("ipo_id", "event_date"), "ipo_id", "left")
-        .dropna(subset=["event_date"])
     )
     if windows is None:
-        return dated
-    return dated.join(windows.drop("event_date"), "ipo_id")
+        return coded.join(events.select("ipo_id", "event_date"), "ipo_id", "left").dropna(subset=["event_date"])
+    # windows are of dated events and hold their dates
+    return coded.join(windows, "ipo_id")
 
 
 def instrument_span(pair_windows: DataFrame) -> DataFrame:
