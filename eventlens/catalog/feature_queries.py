@@ -203,6 +203,15 @@ def voiced_pitch_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(frames.voiced_pitch_stats(fx.pitch_frames(spark, d)))
 
 
+_ODD_FRAMES = {"rate": 16, "hop": 7, "frame_length": 16}
+
+
+@query(f"WITH {fx.SQL_SIGNAL.replace('n // 8', 'n // 7').replace('f * 8', 'f * 7')} SELECT file_stem, {r6('rms_mean', 'rms_std')}, duration_s FROM rms")
+def frame_rms_odd(spark: SparkSession, d: str) -> DataFrame:
+    """Frames whose step and length have no divisor in common."""
+    return rounded(frames.frame_rms_stats(fx.signal(spark, d), **_ODD_FRAMES))
+
+
 @query(f"WITH {fx.SQL_SIGNAL} SELECT file_stem, {r6('rms_mean', 'rms_std', 'duration_s')} FROM rms")
 def frame_rms_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(frames.frame_rms_stats(fx.signal(spark, d), **fx.SIGNAL))

@@ -6,6 +6,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventlens.functions.labels import label_class
 from eventlens.functions.nulls import number, ratio
@@ -45,10 +46,9 @@ def frame_rms_stats(
     Frame f covers ``frame_length`` samples from ``f * hop``, moved back by half
     a frame when ``center`` is set; samples outside the clip count as zero.
     Samples are summed to blocks of the common divisor of hop and frame before
-    the shuffle, and frames are put together from blocks: overlapping frames
-    never multiply the samples. With a divisor of 1 a block is a sample, and a
-    frame adds up as many rows as it has samples; hop and frame should share a
-    large divisor. Blocks are stored, so the samples are read once.
+    the shuffle, and a frame is put together from two running sums of blocks:
+    overlapping frames never multiply the samples, whatever the divisor.
+    Blocks are stored, so the samples are read once.
 
     Expects ``file_stem, sample_idx, x``; ``x`` may be an array of consecutive
     samples from ``sample_idx`` on, which saves a row per sample. NaN counts as
@@ -65,17 +65,7 @@ def frame_rms_stats(
     ).agg(F.sum(x * x).alias("energy"), F.count(F.lit(1)).alias("samples"))
     blocks = settle(summed, "blocks")
     lengths = blocks.groupBy("file_stem").agg(F.sum("samples").alias("n"))
-    begin = F.col("block") * block + pad
-    lowest = F.greatest(F.lit(0), F.ceil((begin + block - frame_length) / hop))
-    highest = F.floor(begin / hop)
-    touched = blocks.select(
-        "file_stem",
-        "energy",
-        F.explode(
-            F.when(lowest <= highest, F.sequence(lowest.cast("bigint"), highest.cast("bigint")))
-        ).alias("frame"),
-    )
-    energies = touched.groupBy("file_stem", "frame").agg(F.sum("energy").alias("energy"))
+    energies = _frame_energies(blocks, block, hop, frame_length, pad)
     last_frame = F.floor((F.col("n") + 2 * pad - frame_length) / hop)
     rms = F.when(F.col("frame") <= last_frame, F.sqrt(F.col("energy") / frame_length))
     # an inner join, so that a clip with most of the frames can be split
@@ -91,6 +81,40 @@ def frame_rms_stats(
     return all_clips.join(stats.drop("duration_s"), "file_stem", "left").select(*stats.columns)
 
 
+def _frame_energies(blocks: DataFrame, block: int, hop: int, frame_length: int, pad: int) -> DataFrame:
+    """``file_stem, frame, energy`` of each frame that has a block, from ``file_stem, block, energy``.
+
+    Blocks are cut into chunks as long as a frame. A frame is then the end of
+    one chunk and the beginning of the next, or one whole chunk: a running sum
+    from behind and one from the front, added and never subtracted, so that quiet frames keep their
+    digits beside loud ones. Each frame takes at most one row of either, and a task
+    orders no more than the blocks of a chunk.
+    """
+    width = frame_length // block
+    chunked = blocks.select("file_stem", "block", "energy", F.floor(F.col("block") / width).alias("chunk"))
+    front = Window.partitionBy("file_stem", "chunk").orderBy("block")
+    behind = Window.partitionBy("file_stem", "chunk").orderBy(F.col("block").desc())
+    so_far = lambda order: F.sum("energy").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    summed = chunked.select(
+        "file_stem", "block", so_far(behind).alias("to_end"), so_far(front).alias("from_start"),
+        # where blocks are absent, their frames begin at the next block and end at the last one before
+        F.coalesce(F.lag("block").over(front), F.col("chunk") * width - 1).alias("previous"),
+        F.coalesce(F.lead("block").over(front), (F.col("chunk") + 1) * width - 1).alias("following"),
+    )
+
+    def numbers(after: Column, last: Column, shift: int) -> Column:
+        """Frames whose edge, ``shift`` after their start, lies behind block ``after`` and at ``last`` at most."""
+        at = lambda edge: F.floor((edge * block + pad - shift) / F.lit(hop))
+        low, high = F.greatest(at(after) + 1, F.lit(0)), at(last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+    part = lambda frames, value: F.transform(frames, lambda f: F.struct(f.alias("frame"), F.col(value).alias("energy")))
+    begins = part(numbers(F.col("previous"), F.col("block"), 0), "to_end")
+    ends = part(numbers(F.col("block"), F.col("following"), frame_length), "from_start")
+    each = summed.select("file_stem", F.explode(F.concat(begins, ends)).alias("p")).select("file_stem", "p.*")
+    return each.groupBy("file_stem", "frame").agg(F.sum("energy").alias("energy"))
+
+
 def sample_interval(fps: Column, sample_fps: float = SAMPLE_FPS) -> Column:
     """Frames between two samples, at least 1; a half is rounded to even."""
     usable = F.when(fps > 0, fps).otherwise(F.lit(DEFAULT_FPS))

@@ -179,6 +179,32 @@ def test_frame_rms(spark, hop, length, center, n):
     assert got.duration_s == pytest.approx(n / 10)
 
 
+def test_frames_of_a_step_without_common_divisor(spark):
+    """Clips with gaps; quiet frames beside loud ones keep their digits; no more rows than two for a frame."""
+    rng = random.Random(12)
+    clips = {
+        "dense": {i: rng.gauss(0, 1) for i in range(200)},
+        "gaps": {i: rng.gauss(0, 1) for i in range(300) if i % 90 < 40},
+        "quiet": {i: 1e4 if i < 32 else 1e-6 * rng.gauss(0, 1) for i in range(160)},
+        "one": {0: 3.0},
+    }
+    rows = [(c, i, v) for c, x in clips.items() for i, v in x.items()]
+    df = spark.createDataFrame(rows, "file_stem string, sample_idx long, x double")
+    blocks = df.select("file_stem", F.col("sample_idx").alias("block"), (F.col("x") * F.col("x")).alias("energy"))
+    got = {(r.file_stem, r.frame): r.energy for r in frames._frame_energies(blocks, 1, 7, 16, 8).collect()}
+    want = {}
+    for c, x in clips.items():
+        for f in range(50):
+            inside = [v * v for i, v in x.items() if 7 * f - 8 <= i < 7 * f + 8]
+            if inside:
+                want[c, f] = sum(inside)
+    assert set(got) == set(want)
+    for key, value in want.items():
+        assert got[key] == pytest.approx(value, rel=1e-12), key
+    stats = frames.frame_rms_stats(df, rate=10, hop=7, frame_length=16)
+    assert {r.file_stem: r.duration_s for r in stats.collect()} == {c: len(x) / 10 for c, x in clips.items()}
+
+
 def test_clip_shorter_than_a_frame(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0)], "file_stem string, sample_idx long, x double")
     row = frames.frame_rms_stats(df, rate=2, hop=4, frame_length=8, center=False).first()
