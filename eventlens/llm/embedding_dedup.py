@@ -17,7 +17,10 @@ Codebooks = tuple[np.ndarray, np.ndarray]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length one; squares of very large or small components would leave the range of doubles."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = np.where((largest > 1e100) | (largest < 1e-100), vectors / largest, vectors)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def fit_codebook(points: np.ndarray, size: int, rounds: int = 10) -> np.ndarray:
@@ -228,8 +231,8 @@ def link_vectors(
     size = min(size, len(fitted))
     books = tuple(fit_codebook(half, size) for half in halves(fitted))
 
-    kind = dict(points.dtypes)["label"]
-    schema = f"label {kind}, id long, weight long, embedding array<float>, own long, visits array<long>"
+    kinds = dict(points.dtypes)
+    schema = f"label {kinds['label']}, id long, weight long, embedding {kinds['embedding']}, own long, visits array<long>"
     placed = settle(in_batches(points).mapInArrow(_assign(books, radius), schema), "placed")
     blocks = settle(
         placed.groupBy("label", F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")),
@@ -282,11 +285,13 @@ def embedding_dedup(
     compared. Repeated rows count as vectors of their own and are linked; rows
     of one id are one node. Other columns are ignored.
     """
+    # floats travel as floats; what does not fit them stays in double precision
+    element = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"),
-        F.col(vector_col).cast("array<float>").alias("embedding"),
+        F.col(vector_col).cast(f"array<{element}>").alias("embedding"),
     )
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(3.4028235e38))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = (
         F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.coalesce(F.forall("embedding", finite), F.lit(False))

@@ -15,7 +15,7 @@ from eventlens.llm.line_dedup import line_dedup
 from eventlens.llm import tree_queries  # noqa: F401  registers its queries
 from eventlens.llm.packing import pack
 from eventlens.llm.quality import score_quality, train
-from eventlens.llm.secrets import BASE, KINDS, WEAK, scan_secrets, span_list
+from eventlens.llm.secrets import BASE, KINDS, LINE_END, WEAK, scan_secrets, span_list
 from eventlens.llm.simhash import simhash_dedup
 from eventlens.llm.url_filter import filter_urls
 
@@ -95,17 +95,19 @@ def _secret_sql() -> str:
     """The scan by DuckDB: matches and gaps as lists, and a plain range join for the links."""
     patterns = {k: (pattern, group, least) for k, (pattern, group, least) in BASE.items()}
     patterns |= {k: (pattern, 0, 0) for k, pattern in WEAK.items()}
+    patterns["line_end"] = (LINE_END, 0, 0)
+    kinds = [*KINDS, "line_end"]
     scans = []
     for kind, (pattern, group, least) in patterns.items():
         quoted = "'" + pattern.replace("'", "''") + "'"
-        scans.append(f"""SELECT doc_id, {KINDS.index(kind)} AS kind, string_split_regex(t, {quoted}) AS gaps,
+        scans.append(f"""SELECT doc_id, {kinds.index(kind)} AS kind, string_split_regex(t, {quoted}) AS gaps,
     regexp_extract_all(t, {quoted}, 0) AS hits, regexp_extract_all(t, {quoted}, {group}) AS counted, {least} AS least FROM d""")
     secrets = ", ".join(str(KINDS.index(k)) for k in ("assign", "hex", "weak_secret"))
     ids = ", ".join(str(KINDS.index(k)) for k in ("access", "weak_id"))
 
     def near(kinds: str) -> str:
         return f"""EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = p.doc_id AND o.kind IN ({kinds})
-      AND o.s <= p.e + 200 AND o.e >= p.s - 200 AND (o.e <= p.s OR o.s >= p.e))"""
+      AND (o.s <= p.e + 200 AND o.e >= p.s - 200 OR o.block = p.block AND o.line <> p.line) AND (o.e <= p.s OR o.s >= p.e))"""
 
     wanted = f"""CASE {KINDS.index('weak_secret')} WHEN kind THEN {near(ids)} ELSE
       CASE {KINDS.index('weak_id')} WHEN kind THEN {near(secrets)} ELSE {near(ids)} AND {near(secrets)} END END"""
@@ -117,22 +119,27 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 scans AS ({" UNION ALL ".join(scans)}),
 placed AS (
   SELECT doc_id, kind, gaps, hits, least, unnest(range(len(hits))) AS i, unnest(counted) AS c FROM scans WHERE len(hits) > 0),
-parts AS (
+spans AS (
   SELECT doc_id, kind, s, s + length(hits[i + 1]) AS e FROM (
     SELECT *, CAST(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) +
       coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0) AS BIGINT) AS s
     FROM placed) WHERE length(c) >= least),
+parts AS (
+  SELECT * FROM (SELECT *, count(*) FILTER (WHERE kind = {len(KINDS)}) OVER before AS line,
+    count(*) FILTER (WHERE kind = {len(KINDS)} AND e - s > 1) OVER before AS block FROM spans
+    WINDOW before AS (PARTITION BY doc_id ORDER BY CASE kind WHEN {len(KINDS)} THEN e ELSE s END, kind <> {len(KINDS)}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE kind < {len(KINDS)}),
 base AS (SELECT * FROM parts WHERE kind < {len(BASE)}),
 extra AS (
   SELECT DISTINCT p.* FROM parts p WHERE kind >= {len(BASE)} AND ({wanted})
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.s <= p.s AND b.e >= p.e)),
 bases AS (SELECT doc_id, {counts}, string_agg({text}, ',' ORDER BY s, kind, e) AS listed FROM base GROUP BY doc_id),
-spans AS (
+listing AS (
   SELECT doc_id, string_agg({text}, ',' ORDER BY s, kind, e) AS spans
   FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)},
   sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN spans USING (doc_id)"""
+FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN listing USING (doc_id)"""
 
 
 @query(_secret_sql())

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventlens.llm.common import free_names, id_and_text
 from eventlens.session import settle
@@ -25,6 +26,8 @@ WEAK = {
     "weak_secret": r"""(?i:(?:password|passwd|pass|pwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""",
 }
 KINDS = [*BASE, "weak_id", "weak_secret", "endpoint"]
+# What stands between two lines; more than one character stands between two blocks of lines.
+LINE_END = r"\n(?:[\x20\t\r]*\n)*"
 # A document can hold linked parts only if it has one of these at all; a cheap
 # test that lets most texts skip the patterns of weak parts.
 _SIGN = r"(?i)(?:user|login|account|client|access|host|endpoint|server|database|url|://|AKIA|pass|pwd|secret|token|key)"
@@ -76,21 +79,27 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def breaks(text: Column) -> Column:
+    """Where lines end, as :func:`_spans`, in texts that can hold linked parts at all."""
+    return _if_found(text, text.rlike(_SIGN), _spans(text, KINDS[0], LINE_END, 0, 0))
+
+
 def weak_spans(text: Column) -> Column:
     found = [_spans(text, kind, pattern, 0, 0) for kind, pattern in WEAK.items()]
     return _if_found(text, text.rlike(_SIGN), F.array_sort(F.concat(*found)))
 
 
 def linked_spans(parts: DataFrame, keys: list[str], reach: int = 200) -> DataFrame:
-    """Weak parts whose complement stands within ``reach`` characters.
+    """Weak parts whose complement stands within ``reach`` characters or on another line of the same block.
 
-    ``parts`` has ``keys`` (which name the scope), ``start, kind, end``. A weak
+    ``parts`` has ``keys`` (which name the text), ``start, kind, end``, ``line`` and ``block``. A weak
     secret is reported near an identifier, a weak identifier near a secret, and
-    an endpoint near both. An interval join does the pairing: each part is
+    an endpoint near both. An interval join does the pairing by distance: each part is
     entered in every cell of ``reach`` characters that it touches, each
     candidate looks in the cells that its span widened by ``reach`` touches, and
-    equal cells are compared by position. Semi-joins keep one row per candidate
-    and cell; a cell holds no more parts than characters, so no scope, however
+    equal cells are compared by position. Blocks, lines without a blank one between them, are scopes
+    of any length, joined by their number; on one line only the distance counts. Semi-joins keep one row per candidate
+    and cell; a cell holds no more parts than characters, so no text, however
     long, is a group. Returns distinct ``keys, start, kind, end``.
     """
     number = {name: i for i, name in enumerate(KINDS)}
@@ -102,31 +111,34 @@ def linked_spans(parts: DataFrame, keys: list[str], reach: int = 200) -> DataFra
         return frame.withColumn("cell", F.explode(F.sequence(low, F.floor((F.col("end") + margin) / reach))))
 
     def near(weak: DataFrame, kinds: list[int]) -> DataFrame:
-        others = cells(parts.filter(F.col("kind").isin(kinds)), 0).select(
-            *[F.col(k).alias(f"o_{k}") for k in keys], F.col("cell").alias("o_cell"),
-            F.col("start").alias("o_start"), F.col("end").alias("o_end"),
-        )
-        same = [F.col(k) == F.col(f"o_{k}") for k in keys] + [F.col("cell") == F.col("o_cell")]
+        named = parts.filter(F.col("kind").isin(kinds))
+        places = [F.col("start").alias("o_start"), F.col("end").alias("o_end")]
+        others = cells(named, 0).select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("cell").alias("o_cell"), *places)
+        blocks = named.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("block").alias("o_block"), F.col("line").alias("o_line"))
+        same = [F.col(k) == F.col(f"o_{k}") for k in keys]
         within = (F.col("o_start") <= F.col("end") + reach) & (F.col("o_end") >= F.col("start") - reach)
         # a span within another of the complementary kind is the same text
         apart = (F.col("o_end") <= F.col("start")) | (F.col("o_start") >= F.col("end"))
-        met = cells(weak, reach).join(others, reduce(Column.__and__, same) & within & apart, "left_semi")
-        return met.select(*keys, "start", "kind", "end").distinct()
+        by_cell = reduce(Column.__and__, same) & (F.col("cell") == F.col("o_cell")) & within & apart
+        by_block = reduce(Column.__and__, same) & (F.col("block") == F.col("o_block")) & (F.col("line") != F.col("o_line"))
+        fields = (*keys, "start", "kind", "end", "line", "block")
+        met = cells(weak, reach).join(others, by_cell, "left_semi").select(*fields)
+        return met.union(weak.join(blocks, by_block, "left_semi").select(*fields)).distinct()
 
     def of(kind: str) -> DataFrame:
-        return parts.filter(F.col("kind") == number[kind]).select(*keys, "start", "kind", "end")
+        return parts.filter(F.col("kind") == number[kind]).select(*keys, "start", "kind", "end", "line", "block")
 
     secret_found = near(of("weak_secret"), ids)
     id_found = near(of("weak_id"), secrets)
     endpoint_found = near(near(of("endpoint"), ids), secrets)
-    return secret_found.union(id_found).union(endpoint_found)
+    return secret_found.union(id_found).union(endpoint_found).drop("line", "block")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
     """Secrets of whole texts: ``doc_id, text_key, base, spans``.
 
-    ``base`` holds the spans of the base kinds, ``spans`` these and the linked
-    ones, both arrays of ``(start, kind, end)`` in code points with the end
+    ``base`` holds the spans of the base kinds, ``spans`` these and those linked
+    by distance or block (:func:`linked_spans`), both arrays of ``(start, kind, end)`` in code points with the end
     exclusive, sorted; ``kind`` is a place in KINDS. A linked span that a base
     span covers is left out. ``text_key`` is a hash of the text, for joining
     back to it.
@@ -139,7 +151,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = settle(
         rows.select(
             "doc_id", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"),
-            weak_spans(F.col("text")).alias("weak"),
+            weak_spans(F.col("text")).alias("weak"), breaks(F.col("text")).alias("breaks"),
         ),
         "spans",
     )
@@ -149,13 +161,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _extra_spans(found: DataFrame, reach: int) -> DataFrame:
-    """``scope, text_key, extra``: linked spans of the texts that have any, from ``scope, text_key, base, weak``."""
-    parts = settle(
-        found.filter(F.size("weak") > 0)
-        .select("scope", "text_key", F.explode(F.concat("base", "weak")).alias("p"))
-        .select("scope", "text_key", "p.*").distinct(),
-        "parts",
-    )
+    """``scope, text_key, extra``: linked spans of the texts that have any, from ``scope, text_key, base, weak, breaks``."""
+    kept = found.filter(F.size("weak") > 0)
+    spans = kept.select("scope", "text_key", F.explode(F.concat("base", "weak")).alias("p")).select("scope", "text_key", "p.*").distinct()
+    ends = kept.select("scope", "text_key", F.explode("breaks").alias("b")).select(
+        "scope", "text_key", F.col("b.end").alias("start"), F.lit(None).cast("int").alias("kind"), (F.col("b.end") - F.col("b.start")).alias("end"),
+    ).distinct()
+    # a part's line and block are the numbers of line ends and of blank lines before it in its text
+    order = Window.partitionBy("scope", "text_key").orderBy("start", F.col("kind").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    passed = {"line": F.col("kind").isNull(), "block": F.col("kind").isNull() & (F.col("end") > 1)}
+    placed = spans.union(ends).withColumns({c: F.count(F.when(test, 1)).over(order) for c, test in passed.items()})
+    parts = settle(placed.filter("kind IS NOT NULL"), "parts")
     return (
         linked_spans(parts, ["scope", "text_key"], reach)
         .groupBy("scope", "text_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
@@ -202,16 +218,18 @@ def redact_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     repeated ids change nothing, as spans are linked within id and text. Further columns may have any
     name; an empty table stays empty.
     """
-    id_, key, base, weak, extra = free_names(docs, "scope_id", "scope_text", "base_spans", "weak_spans", "extra_spans")
+    id_, key, base, weak, lines, extra = free_names(
+        docs, "scope_id", "scope_text", "base_spans", "weak_spans", "line_breaks", "extra_spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     stored = settle(
         docs.select(
             "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.xxhash64(text).alias(key),
-            base_spans(text).alias(base), weak_spans(text).alias(weak),
+            base_spans(text).alias(base), weak_spans(text).alias(weak), breaks(text).alias(lines),
         ),
         "scanned",
     )
-    found = stored.select(F.col(id_).alias("scope"), F.col(key).alias("text_key"), F.col(base).alias("base"), F.col(weak).alias("weak"))
+    found = stored.select(*[F.col(c).alias(n) for c, n in (
+        (id_, "scope"), (key, "text_key"), (base, "base"), (weak, "weak"), (lines, "breaks"))])
     linked = _extra_spans(found, reach).select(F.col("scope").alias(id_), F.col("text_key").alias(key), F.col("extra").alias(extra))
     none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias(extra)
     alone = stored.filter(F.size(weak) == 0).select(*stored.columns, none)

@@ -84,3 +84,10 @@ def test_bounds_never_exceed_distances():
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert plain.rows_of(QUERIES["op6_embedding_dedup"](spark, sf), *COLUMNS) == plain_links(rows)
+
+
+def test_doubles_beyond_floats(spark):
+    rows = [(1, [1e39, 0.0]), (2, [1e39, 0.0]), (3, [1e200, 1e199]), (4, [1e-200, 1e-201]), (5, [1.0, 0.1000000001]), (6, [float("inf"), 0.0]), (7, [-1e300, 0.0])]
+    df = spark.createDataFrame([(i, "x", v) for i, v in rows], "vec_id long, label string, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup(df).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (0, 6), 7: (0, 7)}

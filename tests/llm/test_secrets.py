@@ -77,3 +77,15 @@ def test_redaction_keeps_the_rest(spark, no_docs):
     got = sorted(map(tuple, redact_secrets(docs).collect()), key=str)
     assert got == sorted([(1, "é [SECRET] tail", "en", 15), (2, "clean", "de", 5), (None, None, None, None)], key=str)
     assert redact_secrets(no_docs).columns == no_docs.columns
+
+
+def test_blocks_are_scopes(spark):
+    """Parts 500 characters apart are linked within a block of lines, and not beyond a blank line."""
+    pad = "\n".join("# a line of comment" for _ in range(30))
+    assert len(pad) > 500
+    block = f"user = alice\n{pad}\npassword = short1"
+    rows = [(1, block), (2, block.replace(pad, f"{pad}\n \t\n")), (3, f"intro\n\n{block}\n\nhost=db.example\n{pad}"), (4, f"{block}\nhost=db.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = {r["doc_id"]: [KINDS[s["kind"]] for s in r["spans"]] for r in scan_secrets(docs).collect()}
+    assert kinds == {1: ["weak_id", "weak_secret"], 2: [], 3: ["weak_id", "weak_secret"], 4: ["weak_id", "weak_secret", "endpoint"]}
+    assert redact_secrets(docs).filter("doc_id = 1").first()["text"] == f"[SECRET]\n{pad}\n[SECRET]"
