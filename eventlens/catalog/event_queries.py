@@ -548,7 +548,7 @@ def event_study_job(spark: SparkSession, d: str) -> DataFrame:
         paths = run_event_study(
             fx.ticks(spark, d), s.market, s.calendar, some, index, s.events, output, fx.SPEC, fx.CUT, fx.FREQ, resume=True
         )
-    return rounded(spark.read.parquet(paths["event_windows_mean"]))
+    return rounded(spark.read.parquet(paths["event_windows_mean"]).drop("event_year"))
 
 
 # --- sinks -------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -11,7 +11,7 @@ from eventlens.operators.abnormal import abnormal_bars
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows
 from eventlens.operators.closes import closes_before, daily_closes, refresh_closes
-from eventlens.operators.cuts import CutSpec, window_cuts_wide
+from eventlens.operators.cuts import KEYS, CutSpec, window_cuts_wide
 from eventlens.operators.pairs import (
     event_rejects,
     instrument_span,
@@ -24,7 +24,7 @@ from eventlens.operators.rollup import rival_mean, year_stats
 from eventlens.operators.selection import keep_first, pending_items
 from eventlens.plans.resume import pending_filter
 from eventlens.session import scratch_scope, settle
-from eventlens.sources.sinks import sink_append, sink_overwrite
+from eventlens.sources.sinks import replace_partitions, sink_append, sink_overwrite
 from eventlens.sources.tables import read_event_bars
 
 MARKET = "SH000300"
@@ -89,6 +89,39 @@ def with_earlier_rejects(rejects: DataFrame, pairs: DataFrame, path: str) -> Dat
     return rejects.unionByName(pending_items(earlier, tried, keys).drop("rival"))
 
 
+def summarise(spark: SparkSession, paths: dict[str, str], times: DataFrame, cut: CutSpec, resume: bool) -> None:
+    """Bring windows, means and yearly statistics up to date with the stored event bars.
+
+    With ``resume`` only pairs without windows are cut, and only the years they
+    fall in are averaged and summarised again: means are stored by ``event_year`` and statistics by
+    ``year``, and files of other years stay. The years are noted before windows are added, so a run
+    that is lost on the way is made up for by the next.
+    """
+    bars = read_event_bars(spark, paths["event_bars"])
+    todo = pending_filter(spark, paths["event_windows"], KEYS)(bars) if resume else bars
+    wide = settle(window_cuts_wide(todo, times, cut), "wide")
+    years = wide.select(F.year("event_date").alias("event_year")).distinct()
+    if resume:
+        try:
+            years = years.union(spark.read.schema("event_year int").parquet(paths["open_years"])).distinct()
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+    # one row per year
+    years = settle(years, "years")
+    sink_overwrite(years, paths["open_years"])
+    (sink_append if resume else sink_overwrite)(wide, paths["event_windows"])
+    every = spark.read.schema(wide.schema).parquet(paths["event_windows"]).withColumn("event_year", F.year("event_date"))
+    means = rival_mean(every.join(F.broadcast(years), "event_year", "left_semi").drop("event_year"))
+    dated = means.withColumn("event_year", F.year("event_date"))
+    # without resume nothing of an earlier study may stay
+    write = replace_partitions if resume else lambda df, path, by: sink_overwrite(df, path, partition_by=by)
+    write(dated, paths["event_windows_mean"], ["event_year"])
+    stored = spark.read.schema(dated.schema).parquet(paths["event_windows_mean"])
+    write(year_stats(stored.join(F.broadcast(years), "event_year", "left_semi").drop("event_year")), paths["year_stats"], ["year"])
+    sink_overwrite(years.limit(0), paths["open_years"])
+
+
 def run_event_study(
     ticks: DataFrame,
     market: DataFrame,
@@ -110,14 +143,15 @@ def run_event_study(
     Each stage is read back from its table, so a lost executor repeats no
     earlier stage; tables made on the way are removed at the end. With
     ``resume`` pairs already in the output are skipped and new results are
-    appended; where there is no output yet, it is a first run. Rejects of
+    appended; where there is no output yet, it is a first run. A resumed run costs
+    what its new pairs and their years cost (:func:`summarise`); it must have the times, ``spec`` and ``cut`` of the first. Rejects of
     earlier runs stay unless their pair is tried again; they are written before
     results, so that a run that fails between the two tries those pairs again.
     The index of last closes at ``closes`` (below the output if not given) is brought up to date first,
     from the newest day on that it has.
     """
     spark = ticks.sparkSession
-    names = ("event_bars", "rejects", "event_windows", "event_windows_mean", "year_stats")
+    names = ("event_bars", "rejects", "event_windows", "event_windows_mean", "year_stats", "open_years")
     paths = {name: f"{output.rstrip('/')}/{name}" for name in names}
     closes = closes or f"{output.rstrip('/')}/closes"
     with scratch_scope(spark):
@@ -133,8 +167,5 @@ def run_event_study(
             rejects = settle(with_earlier_rejects(rejects, pairs, paths["rejects"]), "rejects")
         sink_overwrite(rejects, paths["rejects"])
         (sink_append if resume else sink_overwrite)(bars, paths["event_bars"])
-        wide = window_cuts_wide(read_event_bars(spark, paths["event_bars"]), times, cut)
-        sink_overwrite(wide, paths["event_windows"])
-        sink_overwrite(rival_mean(spark.read.parquet(paths["event_windows"])), paths["event_windows_mean"])
-        sink_overwrite(year_stats(spark.read.parquet(paths["event_windows_mean"])), paths["year_stats"])
+        summarise(spark, paths, times, cut, resume)
     return paths

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eventlens import schemas
 from eventlens.operators import abnormal, bars, cuts, estimation, pairs, rollup, selection
 from eventlens.operators.calendar import StudySpec, event_windows, nth_trading_day, trading_calendar
+from eventlens.plans import event_study as study
 from eventlens.plans.event_study import run_event_study
 
 START = dt.date(2024, 1, 1)
@@ -453,3 +454,45 @@ def test_rejects_outlive_a_resumed_run(spark, calendar, tmp_path):
     second = run(["2", "600000", "1"])
     assert second == [("1", "no estimate"), ("2", "no data"), ("n/a", "bad code")]
     assert run(["000001", "2", "n/a", "3"]) == [*second[:2], ("3", "no data"), second[2]]
+
+
+def test_summaries_of_other_years_stay_and_lost_ones_are_made_up(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    dates = [dt.date(y, 3, d) for y in (2021, 2022, 2023) for d in (3, 4)]
+    names = ["event_bars", "event_windows", "event_windows_mean", "year_stats", "open_years"]
+    whole, parts = ({n: str(tmp_path / k / n) for n in names} for k in ("whole", "parts"))
+    times = spark.createDataFrame([(f"i{d}", 570, 590) for d in dates], "ipo_id string, start_minute int, end_minute int")
+    rows = [(f"i{d}", f"SH60000{k}", d, ts, *[rng.gauss(0, 1) for _ in range(6)]) for d in dates for k in range(3) for ts in bar_times(d)]
+    of = lambda test: spark.createDataFrame([r for r in rows if test(r)], schemas.EVENT_BARS)
+    of(lambda r: True).write.parquet(whole["event_bars"])
+    study.summarise(spark, whole, times, cuts.CutSpec(), False)
+
+    def add(test):
+        of(test).write.mode("append").parquet(parts["event_bars"])
+        study.summarise(spark, parts, times, cuts.CutSpec(), True)
+
+    files = lambda year: sorted(
+        (f.name, f.stat().st_mtime_ns) for p, c in (("event_windows_mean", "event_year"), ("year_stats", "year"))
+        for f in (tmp_path / "parts" / p / f"{c}={year}").glob("part-*"))
+    add(lambda r: r[2].year == 2021 or (r[2].year == 2022 and r[1].endswith("0")))
+    before = files(2021)
+    add(lambda r: r[2].year == 2022 and not r[1].endswith("0"))
+    assert before and files(2021) == before
+    # lost after the windows of 2023 are added: the next run finds its year open
+    monkeypatch.setattr(study, "rival_mean", lambda wide: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        add(lambda r: r[2].year == 2023)
+    monkeypatch.undo()
+    study.summarise(spark, parts, times, cuts.CutSpec(), True)
+    assert files(2021) == before
+
+    def near(name):
+        left, right = (sorted(map(tuple, spark.read.parquet(p[name]).collect()), key=lambda r: tuple(map(str, r[:2] + r[-1:] + r[2:5]))) for p in (whole, parts))
+        assert len(left) == len(right) > 0
+        key = lambda r: [v if v is None or not isinstance(v, float) else pytest.approx(v, abs=1e-9) for v in r]
+        for row in left:
+            assert any(key(row) == list(other) for other in right), row[:3]
+
+    for name in ("event_windows", "event_windows_mean"):
+        near(name)
+    assert spark.read.parquet(parts["year_stats"]).count() == spark.read.parquet(whole["year_stats"]).count() == 3 * 84
