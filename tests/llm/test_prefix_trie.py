@@ -6,7 +6,6 @@ import hashlib
 import random
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 import eventlens.llm.prefix_trie as prefix_trie_module
@@ -79,10 +78,9 @@ def conversation_rows():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [4096, 2])
-def test_query_rows(spark, chunk, monkeypatch):
+def test_rebuilt_conversations(spark, monkeypatch):
     """With chunks of two, conversations and lists of ids are cut and put together."""
-    monkeypatch.setattr(prefix_trie_module, "CHUNK", chunk)
+    monkeypatch.setattr(prefix_trie_module, "CHUNK", 2)
     rows = conversation_rows()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, node string, depth int")
     conv = F.col("conv_id")
