@@ -63,7 +63,7 @@ def test_days_are_added_without_the_earlier_ones(spark, aligned, calendar, reque
     assert refresh_running(aligned.limit(0), calendar, str(tmp_path / "none")) is not None
     refresh_running(aligned.where(F.col("trade_date") < F.lit(DAYS[18])), calendar, path)
     before = stamp()
-    for first in (18, 30, 30, 39):
+    for first in (18, 30, 30):
         found = refresh_running(aligned.where(F.col("trade_date") >= F.lit(DAYS[first])), calendar, path)
         same(estimates_from_running(found, calendar, requests, SPEC), want)
     assert all(stamp()[f] == t for f, t in before.items())
