@@ -21,7 +21,7 @@ from eventlens.operators.frames import every_kth_sample, frame_rms_stats, label_
 from eventlens.operators.closes import closes_before, daily_closes
 from eventlens.operators.pairs import instrument_span, pair_events, settled_spans, ticks_in_span
 from eventlens.operators.verbal import lexicon_tone
-from eventlens.session import Settled, settle, spread
+from eventlens.session import Settled, settle, settled, spread
 
 SPEC = StudySpec(estimation=((-12, -6), (-6, -3), (-3, -2)), event=(-1, 1))
 # the tables hold round-the-clock hourly bars: a session of 9:00 to 15:00 whose
@@ -100,8 +100,9 @@ class Study:
     @cached_property
     def spelt_pairs(self) -> DataFrame:
         """The pairs, each twice, and once more without leading zeros."""
-        short = self.pairs.withColumn("rival_stkcd", F.col("rival_stkcd").cast("int").cast("string"))
-        return self.pairs.union(self.pairs).union(short)
+        code = F.col("rival_stkcd")
+        spellings = F.explode(F.array(code, code, code.cast("int").cast("string"))).alias("rival_stkcd")
+        return self.pairs.select("ipo_id", "ipo_stkcd", spellings)
 
     @cached_property
     def paired(self) -> DataFrame:
@@ -131,17 +132,16 @@ class Study:
 
         The market is one more instrument, whose ticks are all ticks.
         """
-        stock = ticks(self.spark, self.d)
-        both = stock.unionByName(stock.withColumn("instrument", F.lit("MKT")))
+        both = ticks(self.spark, self.d).withColumn("instrument", F.explode(F.array("instrument", F.lit("MKT"))))
         whole = self.spark.range(1).select(
             F.lit("MKT"), *[F.lit(self.spans.values[v]).cast("date") for v in ("first", "last")],
         )
         spans = self.spans.frame.select("rival_fc", "first_day", "last_day").union(whole)
         spans = Settled(spans, self.spans.rows + 1, self.spans.values)
-        before = closes_before(settle(daily_closes(both), "closes"), spans)
-        bars = settle(bar_returns(settle(resample_bars(ticks_in_span(both, spans), FREQ), "bars"), before=before), "returns")
+        opens = closes_before(daily_closes(both), spans)
         market = F.col("instrument") == "MKT"
-        return settle(align_market(bars.where(~market), bars.where(market)), "aligned")
+        bars = settled(bar_returns(resample_bars(ticks_in_span(both, spans), FREQ), opens=opens), "returns", market=F.count_if(market))
+        return align_market(bars.frame.where(~market), Settled(bars.frame.where(market), bars.values["market"], {}))
 
     @cached_property
     def event_bars(self) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventlens.functions.nulls import number
-from eventlens.session import BROADCAST_BYTES, broadcast_within
+from eventlens.session import BROADCAST_BYTES, Settled, broadcast_within
 
 
 def tick_order(ts: Column, tick_id: Column) -> Column:
@@ -49,7 +49,7 @@ def resample_bars(
     )
 
 
-def bar_returns(bars: DataFrame, chunk: str = "day", before: DataFrame | None = None) -> DataFrame:
+def bar_returns(bars: DataFrame, chunk: str = "day", opens: DataFrame | None = None) -> DataFrame:
     """Simple return over the previous bar of the same instrument.
 
     Adds ``trade_date``, ``prev_price`` and ``return``; the return is NULL for
@@ -57,17 +57,24 @@ def bar_returns(bars: DataFrame, chunk: str = "day", before: DataFrame | None =
     ``day``, ``month`` or ``year`` so that none is ordered in one task; the
     bar before a chunk comes from the last price of the chunk before it. The
     bars are read twice, so they should be a stored table. A NaN price is NULL.
-    ``before`` has the close before an instrument's first bar, as ``instrument, close`` (see
-    ``closes_before``), for bars that are a part of a history.
+
+    ``opens`` has the close before a day, as ``instrument, day, close`` (see
+    ``closes_before``), for bars that are a part of a history, which must then be in chunks of a day. These
+    closes stand among the bars as the first of their day, so the bars are read
+    once, shuffled once and joined with nothing.
     """
     bars = bars.withColumn("price", number(F.col("price")))
     day = F.to_date("ts")
+    if opens is not None:
+        if chunk != "day":
+            raise ValueError("closes before days need chunks of a day")
+        fronts = opens.select("instrument", F.col("day").alias("trade_date"), F.col("close").alias("price"), F.lit(True).alias("front"))
+        rows = bars.withColumns({"trade_date": day, "front": F.lit(False)}).unionByName(fronts, allowMissingColumns=True)
+        order = Window.partitionBy("instrument", "trade_date").orderBy(F.col("front").desc(), "ts")
+        return _with_return(rows.withColumn("prev_price", F.lag("price").over(order)).where(~F.col("front")))
     part = day if chunk == "day" else F.trunc(day, chunk)
     keyed = bars.withColumn("chunk", part)
     closes = keyed.groupBy("instrument", "chunk").agg(F.max_by("price", "ts").alias("close"))
-    if before is not None:
-        # as a chunk before all others, which no bar belongs to
-        closes = closes.unionByName(before.select("instrument", F.lit("0001-01-01").cast("date").alias("chunk"), "close"))
     opens = closes.select(
         "instrument",
         "chunk",
@@ -77,31 +84,27 @@ def bar_returns(bars: DataFrame, chunk: str = "day", before: DataFrame | None =
     previous = F.when(F.row_number().over(order) == 1, F.col("open_ref")).otherwise(
         F.lag("price").over(order)
     )
-    return (
-        keyed.join(opens, ["instrument", "chunk"])
-        .withColumn("prev_price", previous)
-        .select(
-            "instrument",
-            "ts",
-            F.to_date("ts").alias("trade_date"),
-            "price",
-            "volume",
-            "prev_price",
-            (F.try_divide(F.col("price"), F.col("prev_price")) - 1).alias("return"),
-        )
-    )
+    return _with_return(keyed.join(opens, ["instrument", "chunk"]).withColumns({"prev_price": previous, "trade_date": day}))
+
+
+def _with_return(bars: DataFrame) -> DataFrame:
+    change = (F.try_divide(F.col("price"), F.col("prev_price")) - 1).alias("return")
+    return bars.select("instrument", "ts", "trade_date", "price", "volume", "prev_price", change)
 
 
 def align_market(
-    bars: DataFrame, market: DataFrame, max_bytes: int = BROADCAST_BYTES, how: str = "left"
+    bars: DataFrame, market: DataFrame | Settled, max_bytes: int = BROADCAST_BYTES, how: str = "left"
 ) -> DataFrame:
     """Attach the market return of the same bar as ``market_return``.
 
     The market has one row per bar time; NaN is NULL. It is broadcast when it is shown to
-    fit and joined by shuffle on the bar time otherwise.
+    fit and joined by shuffle on the bar time otherwise. A market that is stored
+    with its number of rows is not stored again.
     """
-    series = market.select("ts", number(F.col("return")).alias("market_return"))
-    return bars.join(broadcast_within(series, max_bytes), "ts", how)
+    known = isinstance(market, Settled)
+    series = (market.frame if known else market).select("ts", number(F.col("return")).alias("market_return"))
+    series = Settled(series, market.rows, {}).broadcastable(max_bytes) if known else broadcast_within(series, max_bytes)
+    return bars.join(series, "ts", how)
 
 
 def align_series(

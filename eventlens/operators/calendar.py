@@ -32,15 +32,13 @@ class StudySpec:
 def trading_calendar(dates: DataFrame, date_col: str = "trade_date") -> DataFrame:
     """Distinct dates numbered from 1 in order: ``(trade_date, day_idx)``.
 
-    The numbering is one ordered pass over distinct dates, at most 366 rows
-    per year of history whatever the size of the input.
+    The set of dates is combined in the tasks that read them; it has at most 366
+    members per year of history whatever the size of the input.
     """
-    days = (
-        dates.select(F.col(date_col).cast("date").alias("trade_date"))
-        .where(F.col("trade_date").isNotNull())
-        .distinct()
+    days = dates.agg(F.array_sort(F.collect_set(F.col(date_col).cast("date"))).alias("days"))
+    return days.select(F.posexplode("days").alias("place", "trade_date")).select(
+        "trade_date", (F.col("place") + 1).alias("day_idx"),
     )
-    return days.withColumn("day_idx", F.row_number().over(Window.orderBy("trade_date")))
 
 
 def shifted_days(calendar: DataFrame, offsets: dict[str, int]) -> DataFrame:

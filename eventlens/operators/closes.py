@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
+from pyspark.sql.window import Window
 
 from eventlens.functions.nulls import number
 from eventlens.operators.bars import tick_order
-from eventlens.session import BROADCAST_BYTES, Settled, settle, settled
+from eventlens.operators.pairs import settled_spans
+from eventlens.session import BROADCAST_BYTES, Settled, settle
 from eventlens.sources.sinks import replace_partitions
 
 CLOSES = "instrument string, close double, day date"
@@ -63,15 +65,20 @@ def refresh_closes(ticks: DataFrame, path: str, since: dt.date | None = None, ti
 
 
 def closes_before(closes: DataFrame, spans: DataFrame | Settled) -> DataFrame:
-    """``instrument, close`` of the last day on which an instrument of ``spans`` traded before its span.
+    """``instrument, day, close`` per day of the index inside ``spans`` (see ``instrument_span``): the close of the last day traded before it.
 
-    Of the index, one row per instrument and day, the days before the latest
-    start of a span are read, whatever their distance; ticks are not.
+    The day before the first of a span lies outside it, at any distance, and is found in
+    the index, one row per instrument and day; ticks are not read. Later days of an
+    instrument beyond the last span are left out. ``close`` is NULL on an instrument's first day of all.
     """
-    spans = settled(spans, "spans", first=F.min("first_day"), latest=F.max("first_day"))
-    if spans.values["latest"] is None:
-        return closes.where(F.lit(False)).select("instrument", "close")
-    bounds = spans.broadcastable(BROADCAST_BYTES).select(F.col("rival_fc"), F.col("first_day").alias("span_first"))
-    earlier = closes.where(F.col("day") < F.lit(spans.values["latest"]))
-    met = earlier.join(bounds, (F.col("instrument") == F.col("rival_fc")) & (F.col("day") < F.col("span_first")))
-    return met.groupBy("instrument").agg(F.max_by("close", "day").alias("close"))
+    spans = settled_spans(spans)
+    if spans.values["last"] is None:
+        return closes.where(F.lit(False)).select("instrument", "day", "close")
+    bounds = spans.broadcastable(BROADCAST_BYTES).select(
+        F.col("rival_fc").alias("instrument"), F.col("first_day").alias("span_first"), F.col("last_day").alias("span_last"),
+    )
+    known = closes.where(F.col("day") <= F.lit(spans.values["last"])).join(bounds, "instrument")
+    previous = F.lag("close").over(Window.partitionBy("instrument").orderBy("day"))
+    return known.select("instrument", "day", previous.alias("close"), "span_first", "span_last").where(
+        F.col("day").between(F.col("span_first"), F.col("span_last"))
+    ).select("instrument", "day", "close")

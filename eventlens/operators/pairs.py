@@ -71,7 +71,7 @@ def events_nested(pair_windows: DataFrame, target: int = 1000) -> DataFrame:
 
 def settled_spans(spans: DataFrame | Settled) -> Settled:
     """``spans`` (see ``instrument_span``) stored, with their outer bounds."""
-    return settled(spans, "spans", first=F.min("first_day"), last=F.max("last_day"), latest=F.max("first_day"))
+    return settled(spans, "spans", first=F.min("first_day"), last=F.max("last_day"))
 
 
 def ticks_in_span(ticks: DataFrame, spans: DataFrame | Settled) -> DataFrame:
@@ -79,7 +79,7 @@ def ticks_in_span(ticks: DataFrame, spans: DataFrame | Settled) -> DataFrame:
 
     The outer bounds are literals that reach the scan, and nothing beyond them
     is read; each instrument's own span is a semi-join with one row per
-    instrument. The close before a span, which its first return needs, comes from
+    instrument. The close before a day, which its first return needs, comes from
     the index of closes (``closes_before``).
     """
     spans = settled_spans(spans)

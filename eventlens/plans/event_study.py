@@ -63,8 +63,8 @@ def study_event_bars(
     windows = settle(event_windows(events.select("ipo_id", "event_date"), calendar, spec), "windows")
     paired = settle(pair_events(pairs, events, windows), "paired")
     spans = settled_spans(instrument_span(paired))
-    before = closes_before(daily_closes(ticks) if closes is None else closes, spans)
-    bars = bar_returns(settle(resample_bars(ticks_in_span(ticks, spans), freq), "bars"), before=before)
+    opens = closes_before(daily_closes(ticks) if closes is None else closes, spans)
+    bars = bar_returns(resample_bars(ticks_in_span(ticks, spans), freq), opens=opens)
     aligned = settle(align_market(bars, market), "aligned")
     results = abnormal_bars(aligned, calendar, paired, spec, volume_method, min_obs)
     outcomes = pair_outcomes(pairs, events, windows, aligned, calendar, spec, min_obs)

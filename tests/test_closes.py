@@ -37,7 +37,7 @@ def test_first_return_after_a_long_gap(ticks, spans):
     want = of(inside(bar_returns(resample_bars(ticks))))
     near = ticks_in_span(ticks, spans)
     assert near.where(near.ts < DAY).isEmpty()
-    got = of(bar_returns(resample_bars(near), before=closes_before(daily_closes(ticks), spans)))
+    got = of(bar_returns(resample_bars(near), opens=closes_before(daily_closes(ticks), spans)))
     assert got == want and {r[0] for r in got if r[-1] is None} == {"SZ000002"}
 
 
