@@ -102,6 +102,26 @@ def test_runs_stay_disjoint_and_few(spark):
     assert counts == {k: (min(k + 1, 5, 14 - k), min(k, 4)) for k in range(14)}
 
 
+def test_runs_are_never_shuffled_again(spark):
+    runs = lines.LineRuns(spark, buckets=3)
+    for number in range(3):
+        rows = [(number, k, k) for k in range(5 * number, 5 * number + 10)]
+        runs.add(spark.createDataFrame(rows, "doc_id long, h1 long, h2 long"))
+    placed = runs._run(runs._paths("first")[0])
+    for frame in (runs.unseen(placed), runs.counts()):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert runs.counts().agg(F.sum("n_docs"), F.count("h1")).first() == (30, 20)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 8, 13])
+def test_look_up_by_halving(spark, size):
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.struct(k * 2, k)).alias("marks"))
+    asked = F.transform(F.sequence(F.lit(0), F.lit(2 * size + 3)), lambda k: F.struct(k, F.floor(k / 2).cast("int")))
+    got = row.select(F.transform(asked, lambda key: lines._among(F.col("marks"), key)).alias("found")).first()["found"]
+    assert got == [k in range(2, 2 * size + 1, 2) for k in range(2 * size + 4)]
+
+
 def test_masks_cover_every_pair_of_bits():
     masks = covering_masks(2)
     assert len(masks) == 7
