@@ -88,7 +88,7 @@ class Study:
     def pairs(self) -> DataFrame:
         own = F.col("user_id") % 10
         return (
-            self.events.select("ipo_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+            spread(self.events).select("ipo_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
             .where(F.col("k") != F.col("own"))
             .select("ipo_id", stock_code(F.col("own")).alias("ipo_stkcd"), stock_code(F.col("k")).alias("rival_stkcd"))
         )

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from eventlens.functions.nulls import nan_to_null
 from eventlens.operators.calendar import StudySpec, event_days
 from eventlens.operators.estimation import estimates
-from eventlens.session import settled
+from eventlens.session import Settled, fits, settled
 
 VOLUME_METHODS = ("diff", "ratio")
+# Results that one task makes and, where they are cut into windows, sorts: about 25 MB.
+BARS_PER_TASK = 1 << 18
 
 
 def abnormal_return_col(k: int) -> Column:
@@ -40,29 +42,42 @@ def abnormal_bars(
     """``ipo_id, rival_fc, event_date, timestamp, ar_est1.., av_est1..`` per event bar.
 
     ``pair_windows`` holds ``ipo_id, rival_fc, event_date`` of events that have
-    all their windows. Each pair is multiplied by the few days of its event
-    window and met with bars by equality on instrument and day; no range join
-    is needed. The calendar, one row per date, is broadcast.
+    all their windows. A series depends on instrument and event day only, so it
+    is made once per such pair, by equality on instrument and day; no range join
+    is needed. Pairs then meet the series, which is where rows multiply: the
+    number of results is known by then, and pairs are dealt by their keys
+    into tasks of about BARS_PER_TASK results each. What later groups by these
+    keys finds the results where they are. The calendar, one row per date, is broadcast.
     """
     pairs = pair_windows.select("ipo_id", F.col("rival_fc").alias("instrument"), "event_date")
-    coefficients = estimates(aligned, calendar, pairs, spec, min_obs)
+    asked = settled(pairs.groupBy("instrument", "event_date").agg(F.count(F.lit(1)).alias("n_pairs")), "asked")
+    coefficients = estimates(aligned, calendar, asked.frame, spec, min_obs)
     # the few days of events are picked out of all bars before these are shuffled
-    asked = pairs.select("instrument", "event_date").distinct()
-    days = settled(
-        asked.join(F.broadcast(event_days(calendar, spec)), "event_date").select("instrument", "event_date", "trade_date"), "event-days",
-    ).broadcastable()
-    wanted = pairs.join(coefficients, ["instrument", "event_date"]).join(days, ["instrument", "event_date"])
+    found = asked.frame.join(F.broadcast(event_days(calendar, spec)), "event_date")
+    first, last = spec.event
+    days = Settled(found.select("instrument", "event_date", "trade_date", "n_pairs"), asked.rows * (last - first + 1), {}).broadcastable()
+    met = aligned.select("instrument", "trade_date").join(days, ["instrument", "trade_date"])
+    size = met.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_pairs").alias("results")).first()
     bars = nan_to_null(
         aligned.select("instrument", "trade_date", "ts", "return", "volume", "market_return")
     ).join(days, ["instrument", "trade_date"], "left_semi")
-    return wanted.join(bars, ["instrument", "trade_date"]).select(
-        "ipo_id",
-        F.col("instrument").alias("rival_fc"),
+    series = coefficients.join(days, ["instrument", "event_date"]).join(bars, ["instrument", "trade_date"]).select(
+        "instrument",
         "event_date",
         F.col("ts").alias("timestamp"),
         *[abnormal_return_col(k).alias(f"ar_est{k}") for k in spec.numbers],
         *[abnormal_volume_col(k, volume_method).alias(f"av_est{k}") for k in spec.numbers],
     )
+    if fits(series, size["rows"]):
+        tasks = max(1, -(-(size["results"] or 0) // BARS_PER_TASK))
+        pairs, series = pairs.repartition(tasks, "ipo_id", "instrument", "event_date"), F.broadcast(series)
+    return pairs.join(series, ["instrument", "event_date"]).select(
+        "ipo_id",
+        F.col("instrument").alias("rival_fc"),
+        "event_date",
+        "timestamp",
+        *[f"{v}_est{k}" for v in ("ar", "av") for k in spec.numbers],
+    )
 
 
 def modelled_returns(

@@ -496,3 +496,21 @@ def test_summaries_of_other_years_stay_and_lost_ones_are_made_up(spark, tmp_path
     for name in ("event_windows", "event_windows_mean"):
         near(name)
     assert spark.read.parquet(parts["year_stats"]).count() == spark.read.parquet(whole["year_stats"]).count() == 3 * 84
+
+
+def test_pairs_multiply_in_many_tasks(spark, calendar, aligned, monkeypatch):
+    """Many pairs on few instruments and days: bars are made where they are ranked, in more than one task."""
+    rows = [(f"i{n}", name, DAYS[n % 3 + 12]) for n in range(300) for name in ("SH600000", "SZ000001")]
+    paired = spark.createDataFrame(rows, "ipo_id string, rival_fc string, event_date date").coalesce(1)
+    times = spark.createDataFrame([(f"i{n}", 9 * 60 + 40, None) for n in range(300)], "ipo_id string, start_minute int, end_minute int")
+    monkeypatch.setattr(abnormal, "BARS_PER_TASK", 2000, raising=False)
+    found = abnormal.abnormal_bars(aligned, calendar, paired, SPEC)
+    assert found.count() == 600 * 3 * 8
+    used = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) == -(-600 * 3 * 8 // 2000) and max(r["count"] for r in used) < 2 * 2000
+    chosen = cuts.bars_before(cuts.attach_times(found, times), cuts.KEYS, "event_start", 6)
+    chosen.collect()
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    ranked = final[final.index("WindowGroupLimit"):]
+    assert ranked.index("BroadcastHashJoin") < ranked.index("Exchange"), "bars are not moved between join and ranking"
