@@ -61,3 +61,31 @@ def test_labels(spark):
 def test_nan_to_null(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c")], "x double, s string")
     assert [r.x for r in nulls.nan_to_null(df).orderBy("s").collect()] == [1.0, None, None]
+
+
+def test_char_counts_without_a_row_per_letter(spark):
+    from collections import Counter
+
+    texts = ["aAbb 中文中 z9-é", "", "!!", None, "ab" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", F.inline(text.char_counts(F.col("t")))).collect()
+    assert len([r for r in rows if r["i"] == 4]) == 2
+    found = Counter()
+    for r in rows:
+        found[r["i"], r["word"]] += r["n"]
+    plain = df.select("i", F.explode(text.char_tokens(F.col("t"))).alias("word")).collect()
+    assert found == Counter((r["i"], r["word"]) for r in plain)
+
+
+def test_python_gets_few_texts_at_a_time(spark):
+    conf = spark.conf
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: conf.get(k) for k in keys}
+    try:
+        sizes = F.pandas_udf(lambda t: t.map(lambda _: [f"n{'x' * len(t)}"]), "array<string>")
+        docs = spark.range(0, 3000, 1, 1).select(F.lit("some text").alias("t"))
+        most = docs.select(F.max(F.length(text.tokens(F.col("t"), sizes)[0]) - 1)).first()[0]
+        assert most <= 256
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
