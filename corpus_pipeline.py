@@ -35,7 +35,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles; rows without id stay."""
+    """One document of each group of texts that share 0.8 of their five-word shingles; rows without id stay.
+
+    Candidates by SimHash and covering masks, beyond two bits by MinHash; every link is checked.
+    """
     return keep_one_shingled(docs)
 
 

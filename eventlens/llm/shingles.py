@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.bpe import text_blocks
 from eventlens.llm.common import id_and_text, in_batches, without_ids
 from eventlens.llm.components import components
-from eventlens.llm.simhash import SEED
+from eventlens.llm.simhash import HASHES_AT_ONCE, SEED, bit_counts, covering_links
 from eventlens.session import broadcast_within, settle
 
 SHINGLE = 5
@@ -52,6 +52,12 @@ def buckets(found: np.ndarray) -> np.ndarray:
     return (least.reshape(TABLES, MINIMA) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a long: bit j is set if over half of them have it."""
+    counts = sum(bit_counts(found[at:at + HASHES_AT_ONCE]) for at in range(0, len(found), HASHES_AT_ONCE))
+    return int(np.packbits((2 * counts > len(found)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def _value(found: np.ndarray) -> int:
     """A long that stands for a set of shingles."""
     value = xxhash.xxh64_intdigest(found.tobytes(), SEED)
@@ -65,17 +71,18 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _shingled(rows: DataFrame, name: str, of) -> DataFrame:
-    """``doc_id, value, size`` of each row and ``of`` its set, a list of longs called ``name``."""
+    """``doc_id, value, size, fingerprint`` of each row and ``of`` its set, a list of longs called ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_blocks(batches):
             sets = [shingle_set(t.encode()) for t in texts]
             values, sizes = pa.array(map(_value, sets), pa.int64()), pa.array(map(len, sets), pa.int64())
+            prints = pa.array(map(fingerprint, sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [keys, values, sizes, _lists([of(s) for s in sets])], ["doc_id", "value", "size", name],
+                [keys, values, sizes, prints, _lists([of(s) for s in sets])], ["doc_id", "value", "size", "fingerprint", name],
             )
 
-    return in_batches(rows).mapInArrow(run, f"doc_id long, value long, size long, {name} array<long>")
+    return in_batches(rows).mapInArrow(run, f"doc_id long, value long, size long, fingerprint long, {name} array<long>")
 
 
 def _common_enough(common: Column, a: Column, b: Column) -> Column:
@@ -128,6 +135,17 @@ def _with_centres(members: DataFrame, shared: DataFrame) -> DataFrame:
     return settle(kept.join(centres, ["table", "bucket"]), "centred")
 
 
+def _alike(values: DataFrame) -> DataFrame:
+    """``value, table, bucket``: one more table, whose buckets are the components of the values' fingerprints.
+
+    Fingerprints within two bits are linked by the covering masks of ``simhash``.
+    """
+    links = settle(covering_links(values.select("fingerprint").distinct()), "print-links")
+    groups = components(links)
+    met = values.join(groups, F.col("fingerprint") == F.col("node"), "left")
+    return met.select("value", F.lit(TABLES).alias("table"), F.coalesce("label", "fingerprint").alias("bucket"))
+
+
 def near_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all near copies that meet in a bucket, as components.
 
@@ -189,7 +207,9 @@ def shingle_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``doc_id, component_id``, one row per row with an id: the smallest id reachable over near copies.
 
     Two texts are near copies when at least 0.8 of all five-word shingles that
-    either has are in both. Candidates come from tables of MinHash buckets; every link is checked on the
+    either has are in both. Candidates are texts whose SimHash over these shingles differs in at most two bits,
+    found by covering masks and joined over such links (:func:`_alike`); texts at 0.8 may differ in a dozen
+    bits, and tables of MinHash buckets find these. Every link, of either kind, is checked on the
     whole sets (:func:`near_links`), which are made again for texts with company only. Equal sets
     meet once, as one value.
 
@@ -201,11 +221,11 @@ def shingle_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     found = settle(_shingled(rows, "buckets", buckets), "buckets")
     values = settle(
-        found.groupBy("value").agg(F.min("doc_id").alias("first")), "values",
+        found.groupBy("value").agg(F.min("doc_id").alias("first"), F.min("fingerprint").alias("fingerprint")), "values",
     )
     chosen = found.join(values, (found["value"] == values["value"]) & (F.col("doc_id") == F.col("first")), "left_semi")
     keyed = chosen.select("value", F.posexplode("buckets").alias("table", "bucket"))
-    members = settle(_accompanied(keyed).distinct(), "members")
+    members = settle(_accompanied(keyed.unionByName(_alike(values))).distinct(), "members")
     met = members.select("value").distinct().join(values, "value").select(F.col("first").alias("doc_id"), F.col("value").alias("of"))
     wanted = broadcast_within(met)
     texts = rows.join(wanted.select("doc_id"), "doc_id", "left_semi")

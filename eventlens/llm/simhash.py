@@ -37,16 +37,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     for joined in shingles:
         block.append(xxhash.xxh64_intdigest(joined, SEED))
         if len(block) == HASHES_AT_ONCE:
-            counts += _bit_counts(block)
+            counts += bit_counts(block)
             total, block = total + len(block), []
     if block:
-        counts += _bit_counts(block)
+        counts += bit_counts(block)
         total += len(block)
     bits = np.packbits((2 * counts > total).astype(np.uint8), bitorder="little")
     return int(bits.view("<u8")[0])
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     bytes_of = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, BITS // 8)
     return np.unpackbits(bytes_of, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 

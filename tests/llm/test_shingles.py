@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+from eventlens.llm import shingles as near_copies
 from eventlens.llm.shingles import shingle_dedup
 from tests.llm import plain
 
@@ -58,3 +60,14 @@ def test_against_all_pairs(spark, odd_docs):
 
 def test_no_rows(spark, no_docs):
     assert shingle_dedup(no_docs).collect() == []
+
+
+def test_simhash_finds_candidates_by_itself(spark, monkeypatch):
+    """Without a MinHash bucket in common, texts within two bits are joined if they share enough, and only then."""
+    monkeypatch.setattr(near_copies, "buckets", lambda found: np.full(near_copies.TABLES, found.sum(dtype=np.uint64).view(np.int64)))
+    words = [f"w{i}x{i % 89}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words, "tail"]), "another text of its own"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert plain.rows_of(shingle_dedup(docs), "doc_id", "component_id") == [(0, 0), (1, 0), (2, 2)]
+    monkeypatch.setattr(near_copies, "NEAR", (10001, 10002))
+    assert plain.rows_of(shingle_dedup(docs), "doc_id", "component_id") == [(0, 0), (1, 1), (2, 2)]
