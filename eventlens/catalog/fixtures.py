@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import word_tokens
-from eventlens.operators.abnormal import abnormal_bars
+from eventlens.operators.abnormal import abnormal_bars, event_series
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows, trading_calendar
 from eventlens.operators.cuts import CutSpec
@@ -147,6 +147,12 @@ class Study:
     def event_bars(self) -> DataFrame:
         return abnormal_bars(self.study_aligned, self.calendar, self.paired, SPEC)
 
+    @cached_property
+    def series(self) -> Settled:
+        """The abnormal series of instruments and event days, stored."""
+        lazy = event_series(self.study_aligned, self.calendar, self.paired, SPEC)
+        return Settled(settle(lazy.frame, "series"), lazy.rows, lazy.values)
+
 
 def raw_index(spark: SparkSession, d: str, purchases: bool = True) -> DataFrame:
     """An event sheet as text, one row per purchase or per event, with malformed entries."""

@@ -43,14 +43,28 @@ def abnormal_bars(
 
     ``pair_windows`` holds ``ipo_id, rival_fc, event_date`` of events that have
     all their windows. A series depends on instrument and event day only, so it
-    is made once per such pair, by equality on instrument and day; no range join
-    is needed. Pairs then meet the series, which is where rows multiply: the
-    number of results is known by then, and pairs are dealt by their keys
-    into tasks of about BARS_PER_TASK results each. What later groups by these
-    keys finds the results where they are. The calendar, one row per date, is broadcast.
+    is made once per such pair (:func:`event_series`); pairs then meet the series (:func:`bars_of_pairs`).
     """
-    pairs = pair_windows.select("ipo_id", F.col("rival_fc").alias("instrument"), "event_date")
-    asked = settled(pairs.groupBy("instrument", "event_date").agg(F.count(F.lit(1)).alias("n_pairs")), "asked")
+    return bars_of_pairs(pair_windows, event_series(aligned, calendar, pair_windows, spec, volume_method, min_obs))
+
+
+def event_series(
+    aligned: DataFrame,
+    calendar: DataFrame,
+    pair_windows: DataFrame,
+    spec: StudySpec = StudySpec(),
+    volume_method: str = "diff",
+    min_obs: int = 2,
+) -> Settled:
+    """``rival_fc, event_date, timestamp, ar_est1.., av_est1..``: one series per instrument and event day that pairs ask for.
+
+    Bars are found by equality on instrument and day; no range join is needed. The calendar, one
+    row per date, is broadcast. The frame is not stored; its rows are counted, and ``results`` is the
+    number of rows that all pairs will have. Store it (``settled``) where more than one step reads it.
+    """
+    asked = settled(
+        pair_windows.select(F.col("rival_fc").alias("instrument"), "event_date")
+        .groupBy("instrument", "event_date").agg(F.count(F.lit(1)).alias("n_pairs")), "asked")
     coefficients = estimates(aligned, calendar, asked.frame, spec, min_obs)
     # the few days of events are picked out of all bars before these are shuffled
     found = asked.frame.join(F.broadcast(event_days(calendar, spec)), "event_date")
@@ -62,22 +76,26 @@ def abnormal_bars(
         aligned.select("instrument", "trade_date", "ts", "return", "volume", "market_return")
     ).join(days, ["instrument", "trade_date"], "left_semi")
     series = coefficients.join(days, ["instrument", "event_date"]).join(bars, ["instrument", "trade_date"]).select(
-        "instrument",
+        F.col("instrument").alias("rival_fc"),
         "event_date",
         F.col("ts").alias("timestamp"),
         *[abnormal_return_col(k).alias(f"ar_est{k}") for k in spec.numbers],
         *[abnormal_volume_col(k, volume_method).alias(f"av_est{k}") for k in spec.numbers],
     )
-    if fits(series, size["rows"]):
-        tasks = max(1, -(-(size["results"] or 0) // BARS_PER_TASK))
-        pairs, series = pairs.repartition(tasks, "ipo_id", "instrument", "event_date"), F.broadcast(series)
-    return pairs.join(series, ["instrument", "event_date"]).select(
-        "ipo_id",
-        F.col("instrument").alias("rival_fc"),
-        "event_date",
-        "timestamp",
-        *[f"{v}_est{k}" for v in ("ar", "av") for k in spec.numbers],
-    )
+    return Settled(series, size["rows"], {"results": size["results"] or 0})
+
+
+def bars_of_pairs(pair_windows: DataFrame, series: Settled) -> DataFrame:
+    """The series of every pair, which is where rows multiply: ``ipo_id`` and the columns of ``series``.
+
+    The number of results is known by then, and pairs are dealt by their keys into tasks of about
+    BARS_PER_TASK results each. What later groups by these keys finds the results where they are.
+    """
+    pairs, bars = pair_windows.select("ipo_id", "rival_fc", "event_date"), series.frame
+    if fits(bars, series.rows):
+        tasks = max(1, -(-series.values["results"] // BARS_PER_TASK))
+        pairs, bars = pairs.repartition(tasks, "ipo_id", "rival_fc", "event_date"), F.broadcast(bars)
+    return pairs.join(bars, ["rival_fc", "event_date"]).select("ipo_id", *series.frame.columns)
 
 
 def modelled_returns(

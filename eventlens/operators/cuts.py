@@ -12,9 +12,14 @@ from pyspark.sql.window import Window
 
 from eventlens.functions.nulls import nan_to_null
 from eventlens.functions.times import at_minute, is_minute
-from eventlens.session import broadcast_within
+from eventlens.operators.abnormal import BARS_PER_TASK
+from eventlens.session import Settled, broadcast_within, fits, settled
 
 KEYS = ["ipo_id", "rival_fc", "event_date"]
+# What a pair's windows depend on: a series, and how many of its bars are earlier than the event's times (-1 without a time).
+CUT_KEYS = ["rival_fc", "event_date", "event_start_n", "event_end_n"]
+# Pairs that get their sums in one task: about 6 MB of 84 numbers each.
+PAIRS_PER_TASK = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -148,7 +153,57 @@ def window_cuts_wide(
     instrument on the few days of an event window, whatever the data size.
     """
     bars = attach_times(nan_to_null(event_bars).dropna(subset=KEYS), times)
-    ranked = ranked_bars(bars, KEYS, ["event_start", "event_end"])
+    return _window_sums(ranked_bars(bars, KEYS, ["event_start", "event_end"]), KEYS, spec)
+
+
+def distinct_cuts(
+    pairs: DataFrame, series: Settled, times: DataFrame, spec: CutSpec = CutSpec()
+) -> tuple[Settled, Settled]:
+    """The windows of pairs before these multiply: pairs with CUT_KEYS, and one row of sums per CUT_KEYS.
+
+    ``pairs`` are distinct; ``series`` is stored (``abnormal.event_series``). Two pairs of one series have
+    equal windows when the same bars are earlier than their times, so each series is cut once per such
+    position, of which it has few, however many pairs there are. ``cuts_of_pairs`` gives the sums to pairs.
+    """
+    bars, group = nan_to_null(series.frame).dropna(subset=KEYS[1:]), KEYS[1:]
+    small = fits(bars, series.rows)
+    hint = F.broadcast if small else (lambda df: df)
+    stamps = bars.groupBy(*group).agg(F.collect_list("timestamp").alias("stamps"))
+    timed = attach_times(pairs.select(*KEYS).dropna(), times).join(hint(stamps), group)
+
+    def earlier(threshold: str) -> Column:
+        count = F.size(F.filter("stamps", lambda ts: ts < F.col(threshold)))
+        return F.when(F.col(threshold).isNotNull(), count).otherwise(-1).alias(f"{threshold}_n")
+
+    thresholds = ["event_start", "event_end"]
+    members = settled(timed.select(*KEYS, *map(earlier, thresholds), *thresholds, F.size("stamps").alias("n_bars")), "members")
+    # any times of a position stand for all of them
+    positions = settled(
+        members.frame.groupBy(*CUT_KEYS).agg(*[F.min(c).alias(c) for c in (*thresholds, "n_bars")]), "positions",
+        bars=F.sum("n_bars"))
+    asked = positions.frame.drop("n_bars")
+    if small:
+        asked = asked.repartition(max(1, -(-(positions.values["bars"] or 0) // BARS_PER_TASK)), *CUT_KEYS)
+    order = Window.partitionBy(*group).orderBy("timestamp", *_ties(bars))
+    numbered = bars.select("*", F.row_number().over(order).alias("bar_no"))
+    sums = _window_sums(asked.join(hint(numbered), group), CUT_KEYS, spec)
+    return members, settled(sums, "cuts")
+
+
+def cuts_of_pairs(members: Settled, sums: Settled) -> DataFrame:
+    """One row of window sums per pair, from the two frames of :func:`distinct_cuts`.
+
+    Pairs are dealt by event into tasks of about PAIRS_PER_TASK before they get their sums, so that
+    rivals of an event are averaged where they are.
+    """
+    pairs, few = members.frame.select("ipo_id", *CUT_KEYS), sums.broadcastable()
+    if fits(sums.frame, sums.rows):
+        pairs = pairs.repartition(max(1, -(-members.rows // PAIRS_PER_TASK)), "ipo_id", "event_date")
+    return pairs.join(few, CUT_KEYS).select(*KEYS, *[c for c in sums.frame.columns if c not in CUT_KEYS])
+
+
+def _window_sums(ranked: DataFrame, keys: list[str], spec: CutSpec) -> DataFrame:
+    """The conditional sums of ranked bars per group."""
     day, ts = F.col("event_date"), F.col("timestamp")
     member = {"full_day": ts.between(at_minute(day, spec.day_open), at_minute(day, spec.day_close))}
     for label, n in spec.spans:
@@ -161,8 +216,8 @@ def window_cuts_wide(
     flags = [member[w] for w in spec.windows] + [is_minute(ts, spec.excluded)]
     mask = reduce(add, [F.when(flag, 1 << i).otherwise(0) for i, flag in enumerate(flags)])
     classes = (
-        ranked.select(*KEYS, mask.alias("mask"), *values)
-        .groupBy(*KEYS, "mask")
+        ranked.select(*keys, mask.alias("mask"), *values)
+        .groupBy(*keys, "mask")
         .agg(*[F.sum(v).alias(v) for v in values])
     )
 
@@ -178,7 +233,7 @@ def window_cuts_wide(
                 for metric, value in METRICS.items():
                     name = f"{metric}_{window}_{variant}_est{k}"
                     sums.append(F.sum(F.when(counted, F.col(f"{value}_est{k}"))).alias(name))
-    return classes.groupBy(*KEYS).agg(*sums)
+    return classes.groupBy(*keys).agg(*sums)
 
 
 def window_cuts(wide: DataFrame, spec: CutSpec = CutSpec()) -> DataFrame:

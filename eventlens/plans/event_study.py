@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from eventlens.functions.codes import full_code
-from eventlens.operators.abnormal import abnormal_bars
+from eventlens.operators.abnormal import bars_of_pairs, event_series
 from eventlens.operators.bars import align_market, bar_returns, resample_bars
 from eventlens.operators.calendar import StudySpec, event_windows
 from eventlens.operators.closes import closes_before, daily_closes, refresh_closes
-from eventlens.operators.cuts import KEYS, CutSpec, window_cuts_wide
+from eventlens.operators.cuts import KEYS, CutSpec, cuts_of_pairs, distinct_cuts, window_cuts_wide
 from eventlens.operators.pairs import (
     event_rejects,
     instrument_span,
@@ -23,9 +23,9 @@ from eventlens.operators.pairs import (
 from eventlens.operators.rollup import rival_mean, year_stats
 from eventlens.operators.selection import keep_first, pending_items
 from eventlens.plans.resume import pending_filter
-from eventlens.session import scratch_scope, settle
+from eventlens.session import Settled, scratch_scope, settle, settled
 from eventlens.sources.sinks import replace_partitions, sink_append, sink_overwrite
-from eventlens.sources.tables import read_event_bars
+from eventlens.sources.tables import finished_keys, read_event_bars
 
 MARKET = "SH000300"
 FREQ = "5 minutes"
@@ -42,7 +42,7 @@ def first_events(index: DataFrame) -> DataFrame:
     return keep_first(dated, ["ipo_id"], ["event_date"])
 
 
-def study_event_bars(
+def study_series(
     ticks: DataFrame,
     market: DataFrame,
     calendar: DataFrame,
@@ -53,8 +53,8 @@ def study_event_bars(
     volume_method: str = "diff",
     min_obs: int = 2,
     closes: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Abnormal returns and volumes per event bar, and the rejected pairs.
+) -> tuple[DataFrame, Settled, DataFrame]:
+    """The dated pairs, abnormal returns and volumes per instrument and event day, and the rejected pairs.
 
     Only the instruments of ``pairs`` are read, each over the days its own
     events need. ``market`` holds bars with returns of the index. ``closes`` is
@@ -66,9 +66,10 @@ def study_event_bars(
     opens = closes_before(daily_closes(ticks) if closes is None else closes, spans)
     bars = bar_returns(resample_bars(ticks_in_span(ticks, spans), freq), opens=opens)
     aligned = settle(align_market(bars, market), "aligned")
-    results = abnormal_bars(aligned, calendar, paired, spec, volume_method, min_obs)
+    lazy = event_series(aligned, calendar, paired, spec, volume_method, min_obs)
+    series = Settled(settle(lazy.frame, "series"), lazy.rows, lazy.values)
     outcomes = pair_outcomes(pairs, events, windows, aligned, calendar, spec, min_obs)
-    return results, event_rejects(outcomes)
+    return paired, series, event_rejects(outcomes)
 
 
 def with_earlier_rejects(rejects: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
@@ -89,17 +90,46 @@ def with_earlier_rejects(rejects: DataFrame, pairs: DataFrame, path: str) -> Dat
     return rejects.unionByName(pending_items(earlier, tried, keys).drop("rival"))
 
 
-def summarise(spark: SparkSession, paths: dict[str, str], times: DataFrame, cut: CutSpec, resume: bool) -> None:
+def cut_pairs(
+    spark: SparkSession, paths: dict[str, str], paired: DataFrame, series: Settled, times: DataFrame, cut: CutSpec, resume: bool
+) -> DataFrame:
+    """Windows of the pairs of a run, cut from their series, and with ``resume`` those that a lost run left out.
+
+    Pairs that have event bars but no windows are cut from the bars stored for them, whose keys alone
+    are looked through. To be called before the bars of the run are added to these.
+    """
+    if not resume:
+        return cuts_of_pairs(*distinct_cuts(paired, series, times, cut))
+    pending = pending_filter(spark, paths["event_windows"], KEYS)
+    fresh = cuts_of_pairs(*distinct_cuts(pending(paired.select(*KEYS)), series, times, cut))
+    try:
+        known = finished_keys(spark, paths["event_bars"], KEYS)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return fresh
+    left = settled(pending(known), "left")
+    if not left.rows:
+        return fresh
+    bars = read_event_bars(spark, paths["event_bars"]).join(left.broadcastable(), KEYS, "left_semi")
+    return fresh.unionByName(window_cuts_wide(bars, times, cut))
+
+
+def summarise(
+    spark: SparkSession, paths: dict[str, str], times: DataFrame, cut: CutSpec, resume: bool, wide: DataFrame | None = None
+) -> None:
     """Bring windows, means and yearly statistics up to date with the stored event bars.
 
+    ``wide`` has the windows to add (:func:`cut_pairs`); without it they are cut from the stored bars.
     With ``resume`` only pairs without windows are cut, and only the years they
     fall in are averaged and summarised again: means are stored by ``event_year`` and statistics by
     ``year``, and files of other years stay. The years are noted before windows are added, so a run
     that is lost on the way is made up for by the next.
     """
-    bars = read_event_bars(spark, paths["event_bars"])
-    todo = pending_filter(spark, paths["event_windows"], KEYS)(bars) if resume else bars
-    wide = settle(window_cuts_wide(todo, times, cut), "wide")
+    if wide is None:
+        bars = read_event_bars(spark, paths["event_bars"])
+        todo = pending_filter(spark, paths["event_windows"], KEYS)(bars) if resume else bars
+        wide = settle(window_cuts_wide(todo, times, cut), "wide")
     years = wide.select(F.year("event_date").alias("event_year")).distinct()
     if resume:
         try:
@@ -161,11 +191,12 @@ def run_event_study(
             pending = pending_filter(spark, paths["event_bars"], ["ipo_id", "rival_fc"])
             pairs = settle(pending(coded).select(*pairs.columns), "pending")
         stored = refresh_closes(ticks, closes)
-        bars, rejects = study_event_bars(
+        paired, series, rejects = study_series(
             ticks, market, calendar, pairs, events, spec, freq, volume_method, min_obs, stored)
         if resume:
             rejects = settle(with_earlier_rejects(rejects, pairs, paths["rejects"]), "rejects")
         sink_overwrite(rejects, paths["rejects"])
-        (sink_append if resume else sink_overwrite)(bars, paths["event_bars"])
-        summarise(spark, paths, times, cut, resume)
+        wide = settle(cut_pairs(spark, paths, paired, series, times, cut, resume), "wide")
+        (sink_append if resume else sink_overwrite)(bars_of_pairs(paired, series), paths["event_bars"])
+        summarise(spark, paths, times, cut, resume, wide)
     return paths

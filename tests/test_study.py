@@ -514,3 +514,57 @@ def test_pairs_multiply_in_many_tasks(spark, calendar, aligned, monkeypatch):
     final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     ranked = final[final.index("WindowGroupLimit"):]
     assert ranked.index("BroadcastHashJoin") < ranked.index("Exchange"), "bars are not moved between join and ranking"
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_pairs_of_equal_windows_are_cut_once(spark, calendar, aligned, monkeypatch, small):
+    """Windows cut per series and position are those cut from every pair's own bars; many pairs share one cut."""
+    if not small:
+        for module in (abnormal, cuts):
+            monkeypatch.setattr(module, "fits", lambda df, rows: False)
+    names = ("SH600000", "SZ000001")
+    rows = [(f"i{n}", name, DAYS[n % 3 + 12]) for n in range(120) for name in names]
+    paired = spark.createDataFrame(rows, "ipo_id string, rival_fc string, event_date date")
+    minutes = [None, 0, 9 * 60 + 30, 9 * 60 + 31, 9 * 60 + 42, 10 * 60, 1439]
+    # events without times, with one of the two, before the first and after the last bar; some twice
+    times = spark.createDataFrame(
+        [(f"i{n}", minutes[n % 7], minutes[5 * (n // 7 % 2)]) for n in range(110)] + [("i5", 1439, 1439), ("other", 1, 2)],
+        "ipo_id string, start_minute int, end_minute int")
+    series = abnormal.event_series(aligned, calendar, paired, SPEC)
+    members, sums = cuts.distinct_cuts(paired, series, times)
+    assert members.rows == len(rows) and sums.rows < len(rows) / 2
+    read = lambda df: {tuple(r[k] for k in cuts.KEYS): r.asDict() for r in df.collect()}
+    got, want = read(cuts.cuts_of_pairs(members, sums)), read(cuts.window_cuts_wide(abnormal.bars_of_pairs(paired, series), times))
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    for key, row in want.items():
+        assert set(got[key]) == set(row)
+        for name, value in row.items():
+            assert got[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (key, name)
+
+
+def test_windows_of_a_lost_run_are_made_up(spark, calendar, tmp_path, monkeypatch):
+    """A run lost after its event bars are stored: the next cuts them from there, beside its own pairs."""
+    rng, ticks = random.Random(8), []
+    for name in ("SH600000", "SZ000001", "SZ000002", "SH000300"):
+        for n, ts in enumerate(t for day in DAYS for t in bar_times(day)):
+            ticks.append((name, ts, n, 10 + rng.random(), float(rng.randint(1, 9))))
+    ticks = spark.createDataFrame(ticks, schemas.TICKS)
+    market = bars.bar_returns(bars.resample_bars(ticks.where("instrument = 'SH000300'")))
+    index = spark.createDataFrame([("a", "9", DAYS[12]), ("b", "8", DAYS[14])], "ipo_id string, ipo_stkcd_raw string, roadshow_date date")
+    times = spark.createDataFrame([("a", 570, 590), ("b", None, 575)], "ipo_id string, start_minute int, end_minute int")
+    given = [("a", "9", "600000"), ("b", "8", "600000"), ("b", "8", "1"), ("a", "9", "2")]
+
+    def run(rows, out, resume=True):
+        return run_event_study(ticks, market, calendar, spark.createDataFrame(rows, schemas.PAIRS), index, times, str(tmp_path / out), SPEC, resume=resume)
+
+    run(given[:1], "parts")
+    monkeypatch.setattr(study, "summarise", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run(given[:3], "parts")
+    monkeypatch.undo()
+    parts, whole = run(given, "parts"), run(given, "whole", False)
+    for name, keys, n in (("event_windows", cuts.KEYS, 4), ("event_windows_mean", cuts.KEYS[::2], 2)):
+        left, right = ({tuple(r[k] for k in keys): r.asDict() for r in spark.read.parquet(p[name]).collect()} for p in (parts, whole))
+        assert left.keys() == right.keys() and len(left) == n == spark.read.parquet(parts[name]).count()
+        for key, row in right.items():
+            assert left[key] == {c: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for c, v in row.items()}
